@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from visitlens.llm.packing import op10_cutting_stock_packing
 from visitlens.llm.repair import op6_repair_token_ids
 
 QUERIES = {
     "op6_repair_token_ids": op6_repair_token_ids,
+    "op10_cutting_stock_packing": op10_cutting_stock_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
