@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from visitlens.llm.media import op9_media_columns
 from visitlens.llm.packing import op10_cutting_stock_packing
 from visitlens.llm.repair import op6_repair_token_ids
+from visitlens.llm.simhash import op8_simhash_near_duplicates
 
 QUERIES = {
     "op6_repair_token_ids": op6_repair_token_ids,
+    "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
+    "op9_media_columns": op9_media_columns,
     "op10_cutting_stock_packing": op10_cutting_stock_packing,
 }
 
