@@ -6,11 +6,13 @@ from visitlens.llm.media import op9_media_columns
 from visitlens.llm.packing import op10_cutting_stock_packing
 from visitlens.llm.quality import op4_nbsvm_quality
 from visitlens.llm.repair import op6_repair_token_ids
+from visitlens.llm.rules import op3_decision_list_rules
 from visitlens.llm.simhash import op8_simhash_near_duplicates
 from visitlens.llm.toxicity import op1_kneser_ney_toxicity
 
 QUERIES = {
     "op1_kneser_ney_toxicity": op1_kneser_ney_toxicity,
+    "op3_decision_list_rules": op3_decision_list_rules,
     "op4_nbsvm_quality": op4_nbsvm_quality,
     "op6_repair_token_ids": op6_repair_token_ids,
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
