@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from visitlens.llm.licenses import op5_license_index
 from visitlens.llm.lines import op7_repeated_line_runs
 from visitlens.llm.media import op9_media_columns
 from visitlens.llm.packing import op10_cutting_stock_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_kneser_ney_toxicity": op1_kneser_ney_toxicity,
     "op3_decision_list_rules": op3_decision_list_rules,
     "op4_nbsvm_quality": op4_nbsvm_quality,
+    "op5_license_index": op5_license_index,
     "op6_repair_token_ids": op6_repair_token_ids,
     "op7_repeated_line_runs": op7_repeated_line_runs,
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
