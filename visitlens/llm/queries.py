@@ -6,6 +6,7 @@ from visitlens.llm.licenses import op5_license_index
 from visitlens.llm.lines import op7_repeated_line_runs
 from visitlens.llm.media import op9_media_columns
 from visitlens.llm.packing import op10_cutting_stock_packing
+from visitlens.llm.pieces import op2_sentencepiece_unigram
 from visitlens.llm.quality import op4_nbsvm_quality
 from visitlens.llm.repair import op6_repair_token_ids
 from visitlens.llm.rules import op3_decision_list_rules
@@ -14,6 +15,7 @@ from visitlens.llm.toxicity import op1_kneser_ney_toxicity
 
 QUERIES = {
     "op1_kneser_ney_toxicity": op1_kneser_ney_toxicity,
+    "op2_sentencepiece_unigram": op2_sentencepiece_unigram,
     "op3_decision_list_rules": op3_decision_list_rules,
     "op4_nbsvm_quality": op4_nbsvm_quality,
     "op5_license_index": op5_license_index,
