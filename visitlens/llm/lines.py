@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlens.llm.common import stored, table
+from visitlens.llm.common import fresh, stored, table
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 WINDOWS = "doc bigint, h bigint, start int, length int, a bigint, b bigint"
@@ -130,29 +130,37 @@ def repeated_lines(docs: DataFrame, least_words: int = 50) -> DataFrame:
     return runs.mapInArrow(run, "doc bigint, h bigint, gone array<boolean>")
 
 
-def _cleaned(docs: DataFrame, least_words: int) -> DataFrame:
-    """docs with _lines (all of them) and _gone (the mask, or null where no line goes)."""
-    gone = repeated_lines(docs, least_words).select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
+def _marked(docs: DataFrame, least_words: int) -> tuple[DataFrame, str]:
+    """docs with the mask of the lines that go (null where none does), and the name of that column."""
+    names = {x: fresh(docs, x) for x in ("doc", "h", "doc2", "h2", "gone")}
+    found = repeated_lines(docs, least_words)
+    gone = found.select(F.col("doc").alias(names["doc2"]), F.col("h").alias(names["h2"]), F.col("gone").alias(names["gone"]))
     doc, h = _document()
-    return docs.withColumns({"_d": doc, "_t": h}).join(gone, (F.col("_d") == F.col("_doc")) & (F.col("_t") == F.col("_h")), "left")
+    keyed = docs.withColumns({names["doc"]: doc, names["h"]: h})
+    same = (keyed[names["doc"]] == gone[names["doc2"]]) & (keyed[names["h"]] == gone[names["h2"]])
+    return keyed.join(gone, same, "left").drop(*(names[x] for x in ("doc", "h", "doc2", "h2"))), names["gone"]
 
 
-_KEPT = "CASE WHEN _gone IS NULL THEN text ELSE array_join(filter(split(text, '\\n', -1), (x, i) -> NOT coalesce(get(_gone, i), false)), '\\n') END"
+def _kept_text(gone: str) -> Column:
+    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.get(gone, i), F.lit(False)))
+    return F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
 
 
 def without_repeated_lines(docs: DataFrame, least_words: int = 50) -> DataFrame:
     """The documents with later copies of repeated runs taken out of their texts; n_chars, where there is one, follows."""
-    out = _cleaned(docs, least_words).withColumn("text", F.expr(_KEPT))
+    marked, gone = _marked(docs, least_words)
+    changed = {"text": _kept_text(gone)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        length = F.length(_kept_text(gone)).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(length)
+    return marked.withColumns(changed).select(*docs.columns)
 
 
 def op7_repeated_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _cleaned(docs, 50).select(
+    marked, gone = _marked(table(spark, sf_dir, "documents").select("doc_id", "text"), 50)
+    return marked.select(
         "doc_id",
-        F.expr(_KEPT).alias("text"),
-        F.expr("coalesce(length(text) - length(replace(text, '\\n', '')) + 1, 0)").cast("bigint").alias("n_lines"),
-        F.expr("coalesce(size(filter(_gone, x -> x)), 0)").cast("bigint").alias("n_removed_lines"),
+        _kept_text(gone).alias("text"),
+        F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size(F.filter(gone, lambda x: x)), F.lit(0)).cast("bigint").alias("n_removed_lines"),
     )

@@ -119,7 +119,7 @@ def gram_lists(rows: DataFrame, keep: str) -> DataFrame:
     return rows.select(keep, F.col("text").cast("binary").alias("text")).mapInArrow(run, f"{keep} {kind}, grams array<int>")
 
 
-def dual_coordinate_descent(flat: np.ndarray, ends: np.ndarray, value: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 30, seed: int = 7) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(flat: np.ndarray, ends: np.ndarray, value: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 30, seed: int = 7, tolerance: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and bias of the hinge loss; row i has value[f] at each f in flat[ends[i - 1]:ends[i]], y is 1 or -1."""
     w, bias, alpha = np.zeros(len(value)), 0.0, np.zeros(len(y))
     rows = np.split(flat, ends[:-1])
@@ -137,7 +137,7 @@ def dual_coordinate_descent(flat: np.ndarray, ends: np.ndarray, value: np.ndarra
                 alpha[i] = new
                 w[rows[i]] += step * values[i]
                 bias += step
-        if worst < 0.05:
+        if worst < tolerance:
             break
     return w, bias
 

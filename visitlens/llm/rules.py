@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from visitlens.llm.common import stored, table, training_rows
+from visitlens.llm.common import fresh, stored, table, training_rows
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _LATER_BYTES = bytes(range(0x80, 0xC0))
@@ -56,8 +56,8 @@ def statistics(text: bytes) -> tuple[int, int, int, int, int]:
     return n, chars, len(_SYMBOLS.findall(text)), dup_lines, repeated
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column `stats`, a struct of the five counts. No shuffle."""
+def with_statistics(docs: DataFrame, text: str = "text", name: str = "stats") -> DataFrame:
+    """docs with a column of this name, a struct of the five counts. No shuffle."""
     columns = docs.columns
     kind = T.StructType([T.StructField(x, T.LongType()) for x in STATISTICS])
 
@@ -67,9 +67,9 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             rows = [statistics(x.as_py() or b"") for x in texts]
             parts = zip(*rows, strict=True) if rows else [[]] * len(STATISTICS)
             stats = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in parts], names=list(STATISTICS))
-            yield pa.record_batch([*batch.columns, stats], names=[*columns, "stats"])
+            yield pa.record_batch([*batch.columns, stats], names=[*columns, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("stats", kind)]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
 
 
 #: Attribute name and what it is: a count, or a count for each word of the text.
@@ -198,7 +198,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", rows
 
 def passing_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    return with_statistics(docs).where(verdict(learn_rules(docs, labels))).select(*docs.columns)
+    name = fresh(docs, "stats")
+    return with_statistics(docs, name=name).where(verdict(learn_rules(docs, labels), name)).drop(name)
 
 
 def op3_decision_list_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from visitlens.llm.common import stored, table
+from visitlens.llm.common import fresh, stored, table
 from visitlens.llm.components import connected_components
 
 _ROWS = 1 << 15
@@ -131,10 +131,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: in
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The documents without those that link to one of a lower id; of rows with one id, one stays."""
-    verdict = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    joined = docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    copy, kept = fresh(docs, "copy"), fresh(docs, "kept_id")
+    verdict = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
+    joined = docs.join(verdict, docs["doc_id"].eqNullSafe(verdict[kept]), "left_semi")
     copies = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return joined.withColumn("_copy", F.row_number().over(copies)).where("_copy = 1").drop("_copy")
+    return joined.withColumn(copy, F.row_number().over(copies)).where(F.col(copy) == 1).drop(copy)
 
 
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
