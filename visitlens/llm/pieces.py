@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visitlens.llm.common import flat_text, ragged, steps, table
 from visitlens.llm.wordhash import WordCache
@@ -307,7 +308,7 @@ def decode_documents(encoded: DataFrame, vocabulary) -> DataFrame:
                 data, sizes = decode(v, ids, np.diff(offsets[a : b + 1]) // 4)
                 yield pa.record_batch([*(c.slice(a, b - a) for c in batch.columns), _binary(data, sizes, 1)], names=[*columns, "text"])
 
-    decoded = encoded.mapInArrow(run, encoded.schema.add("text", "binary"))
+    decoded = encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("text", T.BinaryType())]))
     return decoded.withColumn("text", F.col("text").cast("string"))
 
 
