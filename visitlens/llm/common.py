@@ -55,7 +55,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) ->
     """(text, y, order) of at most about `rows` labelled documents outside the held-out fold.
 
     The bound is met by keeping the rows whose hashed id is lowest, so a rerun takes the same rows.
-    Labels that are null or ids that repeat are dropped before the join, so that no row is learnt twice.
+    They are at most `rows` ids and labels, and so are broadcast: no text is shuffled. Labels that are null or ids that repeat are dropped before the join, so that no row is learnt twice.
     """
     y = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -65,7 +65,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) ->
     order = F.xxhash64(F.col("doc_id"))
     chosen = y.withColumn("order", order).orderBy("order", "doc_id").limit(rows)
     text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return text.join(chosen, "doc_id").select("doc_id", "text", "y", "order")
+    return text.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", "order")
 
 
 def steps(sizes: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
