@@ -140,9 +140,32 @@ def license_labels(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
         F.array_max(places).cast("bigint").alias("last_word"),
         _labels(F.col("_base"), templates).alias("base_labels"),
         _labels(F.col("_found"), templates).alias("labels"),
-        F.least(F.lit(1.0), F.greatest(best(other), 0.5 * best("_base"))).alias("score"),
+        F.round(F.least(F.lit(1.0), F.greatest(best(other), 0.5 * best("_base"))), 9).alias("score"),
     )
 
 
+def license_sql(templates: tuple[Template, ...] = TEMPLATES, rare: int = 3, coverage: float = 0.6) -> str:
+    """The same rows by joins: every word against the index, alignments verified word by word. For tables with unique ids."""
+    weight = idf(templates)
+    texts = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    shares = lambda t: "[" + ", ".join(f"{weight[w] / sum(weight[x] for x in t.words)!r}::DOUBLE" for w in t.words) + "]"
+    rows = ", ".join(f"({k}, '{t.label}', {texts(t.words)}, {texts(t.key.split())}, {t.key_at}, {str(t.base).lower()}, {shares(t)})" for k, t in enumerate(templates))
+    index = ", ".join(f"('{w}', {k}, {j})" for w, entries in rare_word_index(templates, rare).items() for k, j in entries)
+    return f"""WITH t AS (SELECT * FROM (VALUES {rows}) v(t, label, words, key_words, key_at, base, shares)),
+r AS (SELECT * FROM (VALUES {index}) v(word, t, j)),
+d AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD[1:-1]}') AS w FROM documents),
+u AS (SELECT doc_id, UNNEST(w) AS word, UNNEST(range(len(w))) AS i FROM d),
+a AS (SELECT DISTINCT doc_id, r.t, u.i - r.j AS p FROM u JOIN r USING (word)),
+s AS (SELECT a.doc_id, a.p, t.label, t.base,
+  list_sum(list_transform(range(1, len(t.words) + 1), lambda k: CASE WHEN a.p + k >= 1 AND d.w[a.p + k] = t.words[k] THEN t.shares[k] ELSE 0.0::DOUBLE END)) AS share,
+  len(list_filter(range(1, len(t.key_words) + 1), lambda k: a.p + t.key_at + k >= 1 AND COALESCE(d.w[a.p + t.key_at + k] = t.key_words[k], false))) = len(t.key_words) AS is_keyed
+  FROM a JOIN t ON t.t = a.t JOIN d ON d.doc_id = a.doc_id),
+f AS (SELECT doc_id, COUNT(*) FILTER (WHERE base) AS n_base, MIN(p) FILTER (WHERE base) AS first_word, MAX(p) FILTER (WHERE base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+  MAX(CASE WHEN base THEN 0.5 * share ELSE share END) AS score FROM s WHERE is_keyed AND share >= {coverage} GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, COALESCE(n_base, 0) AS n_base, first_word, last_word, COALESCE(base_labels, '') AS base_labels, COALESCE(labels, '') AS labels,
+  ROUND(LEAST(1.0::DOUBLE, COALESCE(score, 0)), 9) AS score FROM d LEFT JOIN f USING (doc_id)"""
+
+
 def op5_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from visitlens.llm.licenses import op5_license_index
+from visitlens.llm.licenses import license_sql, op5_license_index
 from visitlens.llm.lines import op7_repeated_line_runs
 from visitlens.llm.media import op9_media_columns
 from visitlens.llm.packing import op10_cutting_stock_packing
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_cutting_stock_packing": op10_cutting_stock_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_license_index": license_sql()}
