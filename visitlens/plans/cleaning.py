@@ -85,7 +85,7 @@ def json_entries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string, string>")).alias("key", "value"))
 
 
-@query("proj_gps_split", with_views("SELECT visit_id, ROUND(latitude, 3) AS lat, ROUND(longitude, 3) AS lon, CAST(k AS DOUBLE) AS altitude, 5.0 AS accuracy FROM visits"))
+@query("proj_gps_split", with_views("SELECT visit_id, ROUND(latitude, 3) AS lat, ROUND(longitude, 3) AS lon, CAST(k AS DOUBLE) AS altitude, 5.0::DOUBLE AS accuracy FROM visits"))
 def gps_split(spark: SparkSession, d: str) -> DataFrame:
     """Four numbers in one text: latitude, longitude, altitude, accuracy."""
     text = visits(spark, d).select("visit_id", F.concat_ws(" ", F.round("latitude", 3).cast("string"), F.round("longitude", 3).cast("string"), F.col("k").cast("string"), F.lit("5.0")).alias("gps"))

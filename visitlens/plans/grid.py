@@ -185,7 +185,7 @@ def cluster_growth(spark: SparkSession, d: str) -> DataFrame:
     return labels.select("id", F.when(n >= 3, F.col("component")).alias("cluster"))
 
 
-@query("scal_wkt_centroid", with_views("SELECT row, col, ROUND(col + 0.5, 4) AS x, ROUND(row + 0.5, 4) AS y FROM cells"))
+@query("scal_wkt_centroid", with_views("SELECT row, col, ROUND((col + 0.5)::DOUBLE, 4) AS x, ROUND((row + 0.5)::DOUBLE, 4) AS y FROM cells"))
 def wkt_centroid(spark: SparkSession, d: str) -> DataFrame:
     """Mean of the first four vertices of a polygon in text form."""
     corner = lambda dx, dy: F.concat((F.col("col") + dx).cast("string"), F.lit(" "), (F.col("row") + dy).cast("string"))
