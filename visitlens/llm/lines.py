@@ -105,16 +105,26 @@ def windows_of_stretches(rows: DataFrame, least_words: int) -> DataFrame:
     return rows.select("doc", "h", "ids", "words", "places").mapInArrow(run, WINDOWS)
 
 
+def _join_counted(left: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """left joined with counted, whose n says how many rows of left each of its keys has. Keys with a thousandth of these
+    rows or more, at most a thousand keys, are broadcast, so that no task gets all rows of one; the others are shuffled."""
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    least = max(2, total // 1000)
+    hot, rest = F.broadcast(counted.where(F.col("n") >= least)), counted.where(F.col("n") < least)
+    return left.join(hot, keys).unionByName(left.join(hot.select(keys), keys, "left_anti").join(rest, keys))
+
+
 def repeated_lines(docs: DataFrame, least_words: int = 50) -> DataFrame:
     """(doc, h, gone): for each document that loses lines, whether each line goes, up to the last that does."""
     lines = stored(line_table(docs), "lines")
     each = lines.select("doc", "h", F.posexplode("ids").alias("place", "id"))
-    twice = each.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    places = each.join(twice, "id").groupBy("doc", "h").agg(F.collect_list("place").alias("places"))
+    twice = stored(each.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "line-counts")
+    places = _join_counted(each, twice, ["id"]).groupBy("doc", "h").agg(F.collect_list("place").alias("places"))
     windows = stored(windows_of_stretches(lines.join(places, ["doc", "h"]), least_words), "windows")
     place = F.struct("doc", "h", "start")
-    firsts = windows.groupBy("a", "b", "length").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
-    later = windows.join(firsts, ["a", "b", "length"]).where(place != F.col("first"))
+    firsts = windows.groupBy("a", "b", "length").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    firsts = stored(firsts.where("first != last").drop("last"), "run-counts")
+    later = _join_counted(windows, firsts, ["a", "b", "length"]).where(place != F.col("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,6 +166,21 @@ def without_repeated_lines(docs: DataFrame, least_words: int = 50) -> DataFrame:
     return marked.withColumns(changed).select(*docs.columns)
 
 
+def lines_sql(least_words: int = 50) -> str:
+    """The same rows by texts instead of names, every run compared as a whole. For tables with unique ids."""
+    return f"""WITH l AS (SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line, UNNEST(range(len(string_split(text, chr(10))))) AS i FROM documents),
+c AS (SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n FROM l),
+r AS (SELECT doc_id, i, line, SUM(n) OVER (PARTITION BY doc_id ORDER BY i) AS reach, SUM(n) OVER (PARTITION BY doc_id ORDER BY i) - n AS before FROM c),
+w AS (SELECT a.doc_id, a.i AS s, MIN(b.i) AS e FROM r a JOIN r b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.reach >= a.before + {least_words} GROUP BY a.doc_id, a.i
+  UNION SELECT b.doc_id, MAX(a.i), b.i FROM r a JOIN r b ON a.doc_id = b.doc_id AND b.i >= a.i AND a.before <= b.reach - {least_words} GROUP BY b.doc_id, b.i),
+t AS (SELECT w.doc_id, s, e, array_to_string(string_split(text, chr(10))[s + 1 : e + 1], chr(10)) AS run FROM w JOIN documents d ON d.doc_id = w.doc_id),
+p AS (SELECT *, MIN(doc_id) OVER (PARTITION BY run) AS first_doc FROM t),
+q AS (SELECT *, MIN(s) OVER (PARTITION BY run, doc_id) AS first_s FROM p),
+g AS (SELECT DISTINCT doc_id, UNNEST(range(s, e + 1)) AS i FROM q WHERE doc_id <> first_doc OR s <> first_s),
+k AS (SELECT r.doc_id, COUNT(*) AS n_lines, COUNT(g.i) AS n_removed_lines, COALESCE(string_agg(line, chr(10) ORDER BY r.i) FILTER (WHERE g.i IS NULL), '') AS text FROM r LEFT JOIN g ON g.doc_id = r.doc_id AND g.i = r.i GROUP BY r.doc_id)
+SELECT d.doc_id, k.text, COALESCE(n_lines, 0) AS n_lines, COALESCE(n_removed_lines, 0) AS n_removed_lines FROM documents d LEFT JOIN k USING (doc_id)"""
+
+
 def op7_repeated_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked, gone = _marked(table(spark, sf_dir, "documents").select("doc_id", "text"), 50)
     return marked.select(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from visitlens.llm.licenses import license_sql, op5_license_index
-from visitlens.llm.lines import op7_repeated_line_runs
+from visitlens.llm.lines import lines_sql, op7_repeated_line_runs
 from visitlens.llm.media import op9_media_columns
 from visitlens.llm.packing import op10_cutting_stock_packing
 from visitlens.llm.pieces import op2_sentencepiece_unigram
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_cutting_stock_packing": op10_cutting_stock_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_license_index": license_sql()}
+ORACLE_SQL: dict[str, str] = {"op5_license_index": license_sql(), "op7_repeated_line_runs": lines_sql()}
