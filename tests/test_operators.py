@@ -76,3 +76,18 @@ def test_nearest_in_rings(spark):
 def test_token_sort_ratio():
     assert token_sort_ratio("Foo bar", "bar FOO") == 100 and token_sort_ratio("", "a") == 0
     assert token_sort_ratio("abcd", "abxd") == 75
+
+
+def test_inside_by_the_even_odd_rule(spark):
+    from visitlens.plans.further import inside
+
+    xs, ys = F.array(*map(F.lit, (0.0, 4.0, 4.0, 2.0, 0.0))), F.array(*map(F.lit, (0.0, 0.0, 4.0, 2.0, 4.0)))
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0), (3.5, 3.0), (5.0, 1.0), (-1.0, 2.0)], "x double, y double")
+    assert [r[0] for r in df.select(inside(F.col("x"), F.col("y"), xs, ys)).collect()] == [True, False, True, False, False]
+
+
+def test_geodesic_on_known_distances():
+    from visitlens.plans.further import geodesic_km
+
+    got = geodesic_km(*(np.array(x) for x in ([0.0, 0.0, 50.0], [0.0, 0.0, 5.0], [0.0, 1.0, 50.0], [1.0, 0.0, 5.0])))
+    assert np.allclose(got, [111.3194908, 110.5743886, 0.0], atol=1e-4)

@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    for module in ("activity", "areas", "ordered", "quality", "grid", "cleaning", "sources", "streams", "learning"):
+    for module in ("activity", "areas", "ordered", "quality", "grid", "cleaning", "sources", "streams", "learning", "further"):
         import_module(f"visitlens.plans.{module}")
 
 
