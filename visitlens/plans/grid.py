@@ -248,9 +248,7 @@ def convex_hull(spark: SparkSession, d: str) -> DataFrame:
 def nearest_neighbour_tour(spark: SparkSession, d: str) -> DataFrame:
     """Greedy tour of a worker's day: always on to the nearest place not yet seen, from the first one in time."""
 
-    def tour(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["visit_date", "visit_id"])
-        p = np.radians(g[["latitude", "longitude"]].to_numpy())
+    def length(p: np.ndarray) -> float:
         left, at, km = np.ones(len(p), bool), 0, 0.0
         left[0] = False
         while left.any():
@@ -259,10 +257,16 @@ def nearest_neighbour_tour(spark: SparkSession, d: str) -> DataFrame:
             at = int(far.argmin())
             km += far[at]
             left[at] = False
-        return pd.DataFrame({"flw_id": [g["flw_id"].iloc[0]], "visit_day": [g["visit_day"].iloc[0]], "stops": [len(p)], "km": [round(km, 5)]})
+        return round(km, 5)
+
+    def tours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            km = [length(np.radians(np.stack([np.array([q[k] for q in p]) for k in ("latitude", "longitude")], 1))) for p in b["places"]]
+            yield pd.DataFrame({"flw_id": b["flw_id"], "visit_day": b["visit_day"], "stops": [len(p) for p in b["places"]], "km": km})
 
-    v = visits(spark, d).select("flw_id", "visit_day", "visit_date", "visit_id", "latitude", "longitude")
-    return v.groupBy("flw_id", "visit_day").applyInPandas(tour, "flw_id bigint, visit_day date, stops bigint, km double")
+    place = F.struct("visit_date", "visit_id", "latitude", "longitude")
+    days = visits(spark, d).groupBy("flw_id", "visit_day").agg(F.sort_array(F.collect_list(place)).alias("places"))
+    return days.mapInPandas(tours, "flw_id bigint, visit_day date, stops bigint, km double")
 
 
 @query("udf_seed_radius_clusters")
