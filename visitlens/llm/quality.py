@@ -68,7 +68,7 @@ class Grams:
     """Distinct n-gram buckets of documents; per-word hashes are computed once for each distinct word of a worker."""
 
     def __init__(self):
-        self.looks = WordCache(lambda raw, s, n: (np.stack([word_looks(raw, s, n), word_hashes(raw, s, n)[1]], 1).ravel(), np.full(len(s), 2)), np.uint64, 600_000)
+        self.looks = WordCache(lambda raw, s, n: (np.stack([word_looks(raw, s, n), word_hashes(raw, s, n)[1]], 1).ravel(), np.full(len(s), 2)), np.uint64, 300_000)
 
     def buckets(self, raw: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(document, bucket) pairs, each once; wanted: which buckets matter."""

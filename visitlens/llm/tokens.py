@@ -61,7 +61,7 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Encoder:
     """Documents to ids; `path` is a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, words: int = 800_000):
+    def __init__(self, path: str, words: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
