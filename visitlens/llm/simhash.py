@@ -22,7 +22,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visitlens.llm.common import fresh, stored, table
@@ -48,15 +48,18 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) of every row, fp the fingerprint's bits as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, also: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, fp) of every row, fp the fingerprint's bits as a signed 64-bit integer; `also`: further bigint columns."""
+    also = also or {}
+    names = ["doc_id", "fp", *also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(x or b"", words, seed) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(fp), *batch.columns[2:]], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    taken = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"), *(c.alias(name) for name, c in also.items()))
+    return taken.mapInArrow(run, ", ".join(f"{name} bigint" for name in names))
 
 
 def block_count(nodes: int, distance: int) -> int:
@@ -119,23 +122,38 @@ def links(nodes: DataFrame, distance: int = 4, bucket: int = 4096) -> DataFrame:
     return edges
 
 
+def _rooted(nodes: DataFrame, distance: int) -> DataFrame:
+    """nodes, one row for each fingerprint, and the root of each one's component."""
+    roots = connected_components(links(nodes, distance))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id: the smallest id among the documents it is linked with."""
     rows = stored(fingerprints(docs, words, seed), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = connected_components(links(nodes, distance))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes"), distance)
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(rooted.join(ids, "root").select("fp", "component_id"), "fp")
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The documents without those that link to one of a lower id; of rows with one id, one stays."""
-    copy, kept = fresh(docs, "copy"), fresh(docs, "kept_id")
-    verdict = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
-    joined = docs.join(verdict, docs["doc_id"].eqNullSafe(verdict[kept]), "left_semi")
-    copies = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return joined.withColumn(copy, F.row_number().over(copies)).where(F.col(copy) == 1).drop(copy)
+def one_of_each_group(docs: DataFrame, words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
+    """Exactly one row of each component: that of the lowest id (null is the highest), of those the one of the lowest text hash.
+
+    A row is known by its id and 128 bits of hash of its text, so rows of different components never compete, whatever ids they share.
+    """
+    key = {"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}
+    rows = stored(fingerprints(docs, words, seed, key), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *key)).alias("first")
+    chosen = _rooted(stored(rows.groupBy("fp").agg(first), "nodes"), distance).groupBy("root").agg(F.min("first").alias("first"))
+    own = {c: fresh(docs, c) for c in ("kept_id", *key)}
+    chosen = chosen.select(*(F.col(f"first.{c}").alias(f"{own[k]}_") for c, k in (("doc_id", "kept_id"), *((c, c) for c in key))))
+    hashed = docs.withColumns({own[c]: x for c, x in key.items()})
+    same = hashed["doc_id"].cast("bigint").eqNullSafe(chosen[f"{own['kept_id']}_"])
+    for c in key:
+        same &= hashed[own[c]] == chosen[f"{own[c]}_"]
+    copy = fresh(hashed, "copy")
+    copies = Window.partitionBy("doc_id", *(own[c] for c in key)).orderBy(F.lit(0))
+    return hashed.join(chosen, same, "left_semi").withColumn(copy, F.row_number().over(copies)).where(F.col(copy) == 1).select(*docs.columns)
 
 
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
