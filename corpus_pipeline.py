@@ -38,7 +38,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of at most 1024 ids."""
-    return packed_digests(docs)
+    return packed_digests(docs, special=True)
 
 
 STAGES = [

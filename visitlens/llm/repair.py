@@ -125,11 +125,11 @@ class Grammar:
         return self.expand(symbols[a:b])[skip : skip + stop - start]
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_ids: int = 1 << 21) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_ids: int = 1 << 21, special: bool = False) -> None:
     """Writes the ids of every text, each followed by end_id, as a table of grammar blocks under path."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special)
         vocab = max(len(enc.width) - 1, end_id + 1)
         width = 2 if vocab < 65_000 else 4
         part, held, number = TaskContext.get().partitionId(), [], 0
@@ -210,5 +210,5 @@ def op6_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
-    write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path(), special=True)
     return id_digests(spark, path)

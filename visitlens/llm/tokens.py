@@ -3,12 +3,16 @@
 A byte-level BPE vocabulary with the usual pre-tokenising pattern never merges across a pre-token, so a
 text may be cut wherever the pattern is sure to end one: before white space that follows a visible
 character, and between a letter and an ASCII sign or digit. Other places are left whole.
+
+With `special` the added tokens of the file that stand in a text become their ids, as the library does by default: texts
+are cut around them first. Without it they are spelled like any other text.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +45,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and lengths of independently encodable pieces, and whether a piece may be joined to others."""
+def added_spans(raw: np.ndarray, offsets: np.ndarray, added: re.Pattern | None) -> list[tuple[int, int]]:
+    """Where added tokens stand in the documents; none runs over the end of a document."""
+    if added is None or not added.search(raw):
+        return []
+    return [m.span() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for m in added.finditer(raw, a, b)]
+
+
+def pieces(raw: np.ndarray, offsets: np.ndarray, added: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of independently encodable pieces, and whether a piece may be joined to others.
+
+    An added token is a piece of its own, never joined.
+    """
     n = len(raw)
     c = _CLASS[raw]
     letter = (c & _IS_LETTER) != 0
@@ -52,21 +66,28 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     cut = np.zeros(n, bool)
     cut[1:] = ((c[1:] & _IS_WS) != 0) & visible[:-1] | letter[:-1] & ((c[1:] & _IS_SIGN) != 0)
     cut[offsets[:-1][offsets[:-1] < n]] = True
+    spans = added_spans(raw, offsets, added)
+    for a, b in spans:
+        cut[a:b] = False
+        cut[[a, b] if b < n else a] = True
     starts = np.flatnonzero(cut)
     lengths = np.diff(np.append(starts, n))
     joinable = visible[starts + lengths - 1] & ((c[starts] & (_IS_GRAPH | _IS_WS | _IS_LEAD2)) != 0)
+    joinable[np.searchsorted(starts, [a for a, _ in spans])] = False
     return starts, lengths, joinable
 
 
 class Encoder:
     """Documents to ids; `path` is a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, words: int = 500_000):
+    def __init__(self, path: str, words: int = 500_000, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True) if special else []
+        self.added = re.compile("|".join(map(re.escape, added)).encode()) if added else None
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         self.width = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
@@ -116,7 +137,7 @@ class Encoder:
         docs = len(offsets) - 1
         if not len(raw):
             return np.zeros(0, self.dtype), np.zeros(docs, np.int64)
-        self._starts, lengths, self._joinable = pieces(raw, offsets)
+        self._starts, lengths, self._joinable = pieces(raw, offsets, self.added)
         row = self.cache.rows(raw, self._starts, lengths)
         counts = self.cache.count[row].astype(np.int64)
         ids = self.cache.pool[ragged(self.cache.offset[row], counts)]
@@ -136,11 +157,11 @@ class Encoder:
             yield a, ids, counts
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = False) -> Encoder:
     """One for each worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = Encoder(path, special=special)
+    return _ENCODERS[path, special]
