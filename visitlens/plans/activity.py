@@ -239,6 +239,12 @@ def daily_heatmap(spark: SparkSession, d: str) -> DataFrame:
     return v.join(F.broadcast(v.agg(F.min("visit_day").alias("d0")))).groupBy("flw_id").agg(*(F.count_if(day == i).alias(f"day_{i}") for i in range(14)))
 
 
+@query("aggr_daily_matrix", with_views("SELECT flw_id, visit_day, COUNT(*) AS n FROM visits GROUP BY ALL"))
+def daily_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Worker by day over all days there are, as long rows; a pair without a row is a zero."""
+    return visits(spark, d).groupBy("flw_id", "visit_day").agg(F.count("*").alias("n"))
+
+
 @query("aggr_flw_timeline_array", with_views("SELECT flw_id, COUNT(DISTINCT visit_day) AS days, string_agg(visit_id::VARCHAR, ',' ORDER BY visit_date, visit_id) AS visit_ids FROM visits GROUP BY flw_id"))
 def flw_timeline(spark: SparkSession, d: str) -> DataFrame:
     """Each worker's visits in order of time."""

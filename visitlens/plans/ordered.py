@@ -104,6 +104,13 @@ def timeline_by_day_number(spark: SparkSession, d: str) -> DataFrame:
     return visits(spark, d).select("flw_id", day.alias("day")).groupBy("flw_id").agg(*(F.count_if(F.col("day") == i).alias(f"day_{i}") for i in range(1, 16)))
 
 
+@query("win_timeline_30_days", with_views("""x AS (SELECT flw_id, date_diff('day', MIN(visit_day) OVER (PARTITION BY flw_id), visit_day) + 1 AS day FROM visits) SELECT flw_id, """ + ", ".join(f"COUNT(*) FILTER (WHERE day = {i}) AS day_{i}" for i in range(1, 31)) + " FROM x GROUP BY flw_id"))
+def timeline_30_days(spark: SparkSession, d: str) -> DataFrame:
+    """A worker's first thirty days from the first visit on, zero where there is none."""
+    day = F.date_diff("visit_day", F.min("visit_day").over(Window.partitionBy("flw_id"))) + 1
+    return visits(spark, d).select("flw_id", day.alias("day")).groupBy("flw_id").agg(*(F.count_if(F.col("day") == i).alias(f"day_{i}") for i in range(1, 31)))
+
+
 @query("win_first_strong_negative", with_views("""b AS (SELECT flw_id, ROW_NUMBER() OVER (PARTITION BY flw_id ORDER BY visit_day) AS batch, AVG(k) > 60 AS sn FROM visits GROUP BY flw_id, visit_day),
 f AS (SELECT *, MIN(CASE WHEN sn THEN batch END) OVER (PARTITION BY flw_id) AS first_sn FROM b)
 SELECT flw_id, batch, CASE WHEN first_sn IS NULL THEN 'all_ok' WHEN batch < first_sn THEN 'before' WHEN batch = first_sn THEN 'first' WHEN sn THEN 'repeat' ELSE 'after' END AS label FROM f"""))
