@@ -139,23 +139,54 @@ def nearest_cell(spark: SparkSession, d: str) -> DataFrame:
     return nearest_in_rings(a, b, width=8)
 
 
-def nearest_in_rings(a: DataFrame, b: DataFrame, width: int, rings: int = 12) -> DataFrame:
+@query("join_nearest_multi_cell", with_views("""a AS (SELECT row, col FROM cells WHERE population = 1), b AS (SELECT row, col FROM cells WHERE population > 1), x AS (SELECT a.row, a.col, b.row AS r, b.col AS c, (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) AS d2 FROM a, b)
+SELECT row, col, arg_min(r || '_' || c, row(d2, r, c)) AS nearest, ROUND(SQRT(MIN(d2)), 4) AS distance FROM x GROUP BY row, col"""))
+def nearest_multi_cell(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest cell of more than one for every cell of one."""
+    c = cells(spark, d)
+    return nearest_in_rings(c.where("population = 1").select("row", "col"), c.where("population > 1").select(F.col("row").alias("r"), F.col("col").alias("c")), width=8)
+
+
+def nearest_in_rings(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
     """a (row, col) and b (r, c): an unanswered row looks one ring of buckets further each round; a hit within the rings
-    seen so far can't be beaten from outside them. What no ring answers is left out."""
+    seen so far can't be beaten from outside them. What three rings don't answer goes down a pyramid of boxes, at any distance."""
     bucket = lambda x: F.floor(F.col(x) / width).cast("int")
     right = b.withColumns({"br": bucket("r"), "bc": bucket("c")})
     todo, found = a, None
-    for k in (1, 3, rings):
+    for k in (1, 3):
         span = F.sequence(F.lit(-k), F.lit(k))
         spread = todo.withColumn("br", F.explode(F.transform(span, lambda i: bucket("row") + i))).withColumn("bc", F.explode(F.transform(span, lambda i: bucket("col") + i)))
         d2 = (F.col("row") - F.col("r")) * (F.col("row") - F.col("r")) + (F.col("col") - F.col("c")) * (F.col("col") - F.col("c"))
         best = spread.join(right, ["br", "bc"]).withColumn("d2", d2).groupBy("row", "col").agg(F.min_by(F.concat("r", F.lit("_"), "c"), F.struct("d2", "r", "c")).alias("nearest"), F.min("d2").alias("d2"))
-        sure = best if k == rings else best.where(F.col("d2") <= (k * width) ** 2)
+        sure = best.where(F.col("d2") <= (k * width) ** 2)
         found = sure if found is None else found.unionByName(sure)
         todo = todo.join(sure, ["row", "col"], "left_anti")
+    found = found.unionByName(_nearest_down_the_pyramid(todo, b))
     return found.select("row", "col", "nearest", F.round(F.sqrt("d2"), 4).alias("distance"))
 
 
+def _nearest_down_the_pyramid(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(row, col, nearest, d2): boxes around the places of b are opened from one over all of them down to single places;
+    a row follows those boxes that may hold a place no farther than another box's farthest, so ties stay and no pair is cut."""
+    r0, r1, c0, c1 = b.agg(F.min("r"), F.max("r"), F.min("c"), F.max("c")).first()
+    size = 4
+    while r0 is not None and size <= max(r1 - r0, c1 - c0):
+        size *= 4
+    d2 = lambda dr, dc: dr * dr + dc * dc
+    gap = lambda x, low, high: F.greatest(F.col(low) - F.col(x), F.col(x) - F.col(high), F.lit(0))
+    reach = lambda x, low, high: F.greatest(F.abs(F.col(x) - F.col(low)), F.abs(F.col(x) - F.col(high)))
+    places, each = b.distinct(), Window.partitionBy("row", "col")
+    state = a.withColumns({"pr": F.lit(0).cast("bigint"), "pc": F.lit(0).cast("bigint")})
+    while size > 1:
+        size //= 4
+        at = lambda x, low, s: F.floor((F.col(x) - F.lit(low)) / s)
+        boxes = places.groupBy(at("r", r0, size).alias("br"), at("c", c0, size).alias("bc"), at("r", r0, size * 4).alias("pr"), at("c", c0, size * 4).alias("pc")).agg(F.min("r").alias("top"), F.max("r").alias("bottom"), F.min("c").alias("left"), F.max("c").alias("right"))
+        opened = state.join(boxes, ["pr", "pc"]).withColumns({"near": d2(gap("row", "top", "bottom"), gap("col", "left", "right")), "far": d2(reach("row", "top", "bottom"), reach("col", "left", "right"))})
+        kept = opened.withColumn("bound", F.min("far").over(each)).where("near <= bound")
+        state = kept.select("row", "col", F.col("br").alias("pr"), F.col("bc").alias("pc"), F.col("top").alias("r"), F.col("left").alias("c"), F.col("near").alias("d2")) if size == 1 else kept.select("row", "col", F.col("br").alias("pr"), F.col("bc").alias("pc"))
+    return state.groupBy("row", "col").agg(F.min_by(F.concat("r", F.lit("_"), "c"), F.struct("d2", "r", "c")).alias("nearest"), F.min("d2").alias("d2"))
+
+
 @query("cell_components", "WITH RECURSIVE " + with_views("""c AS (SELECT ward_id, row, col, row * 50 + col AS id FROM cells WHERE population > 0), e AS (SELECT a.id AS u, b.id AS v FROM c a JOIN c b ON a.ward_id = b.ward_id AND ABS(a.row - b.row) + ABS(a.col - b.col) = 1),
 r AS (SELECT id, id AS root FROM c UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.id) SELECT id, MIN(root) AS component FROM r GROUP BY id""").removeprefix("WITH "))
 def cell_components(spark: SparkSession, d: str) -> DataFrame:
