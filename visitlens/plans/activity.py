@@ -300,10 +300,10 @@ def active_days_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("aggr_opportunity_comparison", with_views("""x AS (SELECT service_area_id, COUNT(*) AS dus, COUNT(*) FILTER (WHERE status = 'completed') AS done, COUNT(DISTINCT flw_id) AS flws FROM dus GROUP BY service_area_id)
-SELECT COUNT(*) AS areas, CAST(SUM(dus) AS BIGINT) AS dus, ROUND(100.0 * SUM(done) / SUM(dus), 6) AS coverage_pct, ROUND(AVG(100.0 * done / dus), 6) AS mean_coverage_pct, MAX(flws) AS most_flws FROM x"""))
+SELECT COUNT(*) AS areas, CAST(SUM(dus) AS BIGINT) AS dus, ROUND(100.0 * SUM(done) / SUM(dus), 6) AS done_pct, ROUND(AVG(100.0 * done / dus), 6) AS mean_done_pct, MAX(flws) AS most_flws FROM x"""))
 def opportunity_comparison(spark: SparkSession, d: str) -> DataFrame:
     x = delivery_units(spark, d).groupBy("service_area_id").agg(F.count("*").alias("dus"), F.count_if(F.col("status") == "completed").alias("done"), F.count_distinct("flw_id").alias("flws"))
-    return x.agg(F.count("*").alias("areas"), F.sum("dus").alias("dus"), F.round(100.0 * F.sum("done") / F.sum("dus"), 6).alias("coverage_pct"), F.round(F.avg(100.0 * F.col("done") / F.col("dus")), 6).alias("mean_coverage_pct"), F.max("flws").alias("most_flws"))
+    return x.agg(F.count("*").alias("areas"), F.sum("dus").alias("dus"), F.round(100.0 * F.sum("done") / F.sum("dus"), 6).alias("done_pct"), F.round(F.avg(100.0 * F.col("done") / F.col("dus")), 6).alias("mean_done_pct"), F.max("flws").alias("most_flws"))
 
 
 @query("aggr_visit_ratio_by_area", with_views("SELECT service_area_id, COUNT(*) AS dus, ROUND(COALESCE(SUM(delivery_count) * 1.0 / NULLIF(SUM(buildings), 0), 0), 6) AS deliveries_per_building FROM dus GROUP BY service_area_id"))

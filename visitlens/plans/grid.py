@@ -91,12 +91,12 @@ def grid_opportunity_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("aggr_ward_summary", with_views(VISIT_CELLS_SQL + """, a AS (SELECT row, col, COUNT(*) AS n FROM vc GROUP BY row, col)
-SELECT ward_id, COUNT(*) AS cells, COUNT(n) AS visited_cells, ROUND(COUNT(n) * 1.0 / COUNT(*), 6) AS cell_coverage, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS visits, ROUND(COALESCE(SUM(n), 0) / (0.18 * SUM(population)), 6) AS crude_coverage, SUM(population) FILTER (WHERE n IS NULL) AS unreached_population FROM cells c LEFT JOIN a ON a.row = c.row AND a.col = c.col GROUP BY ward_id"""))
+SELECT ward_id, COUNT(*) AS cells, COUNT(n) AS visited_cells, ROUND(COUNT(n) * 1.0 / COUNT(*), 6) AS visited_share, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS visits, ROUND(COALESCE(SUM(n), 0) / (0.18 * SUM(population)), 6) AS visits_per_eligible, SUM(population) FILTER (WHERE n IS NULL) AS unreached_population FROM cells c LEFT JOIN a ON a.row = c.row AND a.col = c.col GROUP BY ward_id"""))
 def ward_summary(spark: SparkSession, d: str) -> DataFrame:
     a = visit_cells(visits(spark, d)).groupBy("row", "col").agg(F.count("*").alias("n"))
     seen = F.coalesce(F.sum("n"), F.lit(0))
     return cells(spark, d).join(a, ["row", "col"], "left").groupBy("ward_id").agg(
-        F.count("*").alias("cells"), F.count("n").alias("visited_cells"), F.round(F.count("n") / F.count("*"), 6).alias("cell_coverage"), seen.alias("visits"), F.round(seen / (0.18 * F.sum("population")), 6).alias("crude_coverage"), F.sum(F.when(F.col("n").isNull(), F.col("population"))).alias("unreached_population")
+        F.count("*").alias("cells"), F.count("n").alias("visited_cells"), F.round(F.count("n") / F.count("*"), 6).alias("visited_share"), seen.alias("visits"), F.round(seen / (0.18 * F.sum("population")), 6).alias("visits_per_eligible"), F.sum(F.when(F.col("n").isNull(), F.col("population"))).alias("unreached_population")
     )
 
 
