@@ -90,7 +90,7 @@ def _strings(rows: list[list[str]]) -> Column:
     return F.array(*(F.array(*map(F.lit, r)) for r in rows))
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, rare: int = 3, coverage: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, rare: int = 3, least_share: float = 0.6) -> DataFrame:
     """docs with _words and _found: (template, place, share of the IDF weight) of every verified alignment."""
     weight, index = idf(templates), rare_word_index(templates, rare)
     # An alignment is one number: the template, and its place moved up so that it isn't negative.
@@ -115,7 +115,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, rare: int
         key = F.forall(F.transform(F.get(keys, t), lambda w, j: F.coalesce(F.get("_words", at + F.get(key_at, t) + j) == w, F.lit(False))), lambda ok: ok)
         return F.struct(t.alias("template"), at.alias("place"), F.when(key, there).otherwise(0.0).alias("share"))
 
-    found = F.filter(F.transform("_numbers", verify), lambda x: x["share"] >= coverage)
+    found = F.filter(F.transform("_numbers", verify), lambda x: x["share"] >= least_share)
     return docs.withColumn("_words", words).withColumn("_numbers", numbers).withColumn("_found", found).drop("_numbers")
 
 
@@ -144,7 +144,7 @@ def license_labels(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     )
 
 
-def license_sql(templates: tuple[Template, ...] = TEMPLATES, rare: int = 3, coverage: float = 0.6) -> str:
+def license_sql(templates: tuple[Template, ...] = TEMPLATES, rare: int = 3, least_share: float = 0.6) -> str:
     """The same rows by joins: every word against the index, alignments verified word by word. For tables with unique ids."""
     weight = idf(templates)
     texts = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
@@ -162,7 +162,7 @@ s AS (SELECT a.doc_id, a.p, t.label, t.base,
   FROM a JOIN t ON t.t = a.t JOIN d ON d.doc_id = a.doc_id),
 f AS (SELECT doc_id, COUNT(*) FILTER (WHERE base) AS n_base, MIN(p) FILTER (WHERE base) AS first_word, MAX(p) FILTER (WHERE base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
-  MAX(CASE WHEN base THEN 0.5 * share ELSE share END) AS score FROM s WHERE is_keyed AND share >= {coverage} GROUP BY doc_id)
+  MAX(CASE WHEN base THEN 0.5 * share ELSE share END) AS score FROM s WHERE is_keyed AND share >= {least_share} GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, COALESCE(n_base, 0) AS n_base, first_word, last_word, COALESCE(base_labels, '') AS base_labels, COALESCE(labels, '') AS labels,
   ROUND(LEAST(1.0::DOUBLE, COALESCE(score, 0)), 9) AS score FROM d LEFT JOIN f USING (doc_id)"""
 
