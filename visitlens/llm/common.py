@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share, named in spark.checkpoint.dir. Only in one local process, where that is unset,
+    it is a temporary folder; on a cluster that is an error."""
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir")
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="visitlens-"))
-        path = sc._jsc.sc().getCheckpointDir().get()
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="visitlens-"))
+        path = sc.getCheckpointDir()
     return path.rstrip("/")
 
 
@@ -51,21 +53,27 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def labelled_ids(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y, order) of the labelled ids outside the held-out fold, one row each: the highest label of a repeated id,
+    and a hash to put them in order. Null labels and ids are left out."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    y = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+    return y.withColumn("order", F.xxhash64("doc_id"))
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids, a table of few and distinct doc_id, with each one's text; of a repeated id the least text. No text is shuffled
+    but those of ids, and a row leaves its task once, however often it stands in docs."""
+    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return text.join(F.broadcast(ids), "doc_id").groupBy(ids.columns).agg(F.min("text").alias("text"))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(text, y, order) of at most about `rows` labelled documents outside the held-out fold.
+    """(doc_id, y, order, text) of at most `rows` labelled documents outside the held-out fold, whatever ids repeat.
 
-    The bound is met by keeping the rows whose hashed id is lowest, so a rerun takes the same rows.
-    They are at most `rows` ids and labels, and so are broadcast: no text is shuffled. Labels that are null or ids that repeat are dropped before the join, so that no row is learnt twice.
+    They are the ids whose hash is lowest, so a rerun takes the same ones. At most `rows` ids and labels are broadcast.
     """
-    y = (
-        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-        .groupBy("doc_id")
-        .agg(F.max(label).cast("int").alias("y"))
-    )
-    order = F.xxhash64(F.col("doc_id"))
-    chosen = y.withColumn("order", order).orderBy("order", "doc_id").limit(rows)
-    text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return text.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", "order")
+    return texts_of(docs, labelled_ids(labels, label).orderBy("order", "doc_id").limit(rows))
 
 
 def steps(sizes: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
