@@ -1,9 +1,12 @@
 """Operator 3: quality rules as a learned decision list.
 
-Statistics of every whole text (words, their code points, signs, repeated lines, repeated three-word windows) and their
-rates per word are the attributes. Sequential covering learns ordered rules from labelled rows: a rule grows by the
-threshold that gains most information about the class it rejects or keeps, is pruned against rows it did not grow on,
-and takes the rows it covers away before the next one grows. The list becomes one ordered Spark conditional expression.
+Statistics of every whole text are the attributes: the four counts of the base check and their rates, shares of letters,
+digits, capitals, punctuation and distinct words, words and characters of its lines, its longest word, the entropy of its
+bytes. Sequential covering learns ordered rules from labelled rows: a rule grows by the threshold that gains most
+information about the rows it is to reject, is pruned against rows it did not grow on, and takes the rows it covers away
+before the next one grows. Where good rows are left among those that a rule covers, a rule for these is grown in the same
+way and stands before it, as its exception. Covering goes on while a rule of enough precision is found. The list becomes
+one ordered Spark conditional expression; what no rule covers is kept.
 
 A base check stands before the list: fewer than 50 words, or more than half of the words in repeated windows.
 
@@ -25,15 +28,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from visitlens.llm.common import fresh, stored, table, training_rows
+from visitlens.llm.common import fresh, table, training_rows
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MORE = ("n_bytes", "n_letters", "n_digits", "n_capitals", "n_punctuation", "n_lines", "n_distinct", "longest_word", "entropy")
 _LATER_BYTES = bytes(range(0x80, 0xC0))
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
+_B = np.arange(256)
+_KINDS = {
+    "n_letters": (((_B | 32) >= 97) & ((_B | 32) <= 122) & (_B < 128)) | (_B >= 0xC0),
+    "n_digits": (_B >= 48) & (_B <= 57),
+    "n_capitals": (_B >= 65) & (_B <= 90),
+    "n_punctuation": np.isin(_B, list(b".,;:!?'\"()-")),
+}
 
 
-def statistics(text: bytes) -> tuple[int, int, int, int, int]:
-    """The five counts of one text, in the order of STATISTICS."""
+def statistics(text: bytes) -> tuple[float, ...]:
+    """The counts of one text, in the order of STATISTICS and MORE. Characters are those that begin in a byte."""
     words = text.split()
     n = len(words)
     joined = b"".join(words)
@@ -53,38 +64,59 @@ def statistics(text: bytes) -> tuple[int, int, int, int, int]:
                 if counts[w] > 1:
                     repeated += i + 3 - max(i, covered)
                     covered = i + 3
-    return n, chars, len(_SYMBOLS.findall(text)), dup_lines, repeated
+    byte = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+    p = byte[byte > 0] / max(1, len(text))
+    kinds = (int(byte[_KINDS[x]].sum()) for x in MORE[1:5])
+    return n, chars, len(_SYMBOLS.findall(text)), dup_lines, repeated, len(text), *kinds, len(lines), len(set(words)), max(map(len, words), default=0), float(-(p * np.log2(p)).sum())
 
 
 def with_statistics(docs: DataFrame, text: str = "text", name: str = "stats") -> DataFrame:
-    """docs with a column of this name, a struct of the five counts. No shuffle."""
-    columns = docs.columns
-    kind = T.StructType([T.StructField(x, T.LongType()) for x in STATISTICS])
+    """docs with a column of this name, a struct of all counts. No shuffle."""
+    columns, fields = docs.columns, [*STATISTICS, *MORE]
+    kinds = [T.DoubleType() if x == "entropy" else T.LongType() for x in fields]
+    kind = T.StructType([T.StructField(x, k) for x, k in zip(fields, kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(columns.index(text)).cast(pa.binary())
             rows = [statistics(x.as_py() or b"") for x in texts]
-            parts = zip(*rows, strict=True) if rows else [[]] * len(STATISTICS)
-            stats = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in parts], names=list(STATISTICS))
+            parts = zip(*rows, strict=True) if rows else [[]] * len(fields)
+            types = [pa.float64() if x == "entropy" else pa.int64() for x in fields]
+            stats = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(parts, types, strict=True)], names=fields)
             yield pa.record_batch([*batch.columns, stats], names=[*columns, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
 
 
-#: Attribute name and what it is: a count, or a count for each word of the text.
-ATTRIBUTES = ("n_words", "chars_per_word", "symbols_per_word", "dup_lines", "dup_lines_per_word", "repeat_share")
-
-
-def attributes(stats: np.ndarray) -> np.ndarray:
-    n = np.maximum(stats[:, 0], 1)
-    return np.stack([stats[:, 0], stats[:, 1] / n, stats[:, 2] / n, stats[:, 3], stats[:, 3] / n, stats[:, 4] / n], 1).astype(float)
+#: Attributes: a count, or a count for each of another (1 where that is 0).
+ATTRIBUTES = {
+    "n_words": ("n_words", None),
+    "chars_per_word": ("word_chars", "n_words"),
+    "symbols_per_word": ("n_symbols", "n_words"),
+    "dup_lines": ("n_dup_lines", None),
+    "dup_lines_per_word": ("n_dup_lines", "n_words"),
+    "repeat_share": ("n_repeat_words", "n_words"),
+    "dup_line_share": ("n_dup_lines", "n_lines"),
+    "letter_share": ("n_letters", "n_bytes"),
+    "digit_share": ("n_digits", "n_bytes"),
+    "capital_share": ("n_capitals", "n_bytes"),
+    "punctuation_share": ("n_punctuation", "n_bytes"),
+    "distinct_share": ("n_distinct", "n_words"),
+    "words_per_line": ("n_words", "n_lines"),
+    "bytes_per_line": ("n_bytes", "n_lines"),
+    "longest_word": ("longest_word", None),
+    "entropy": ("entropy", None),
+}
+_NAMES = list(ATTRIBUTES)
+
+
+def attributes(stats: dict[str, np.ndarray]) -> np.ndarray:
+    return np.stack([stats[a] / (np.maximum(stats[b], 1) if b else 1.0) for a, b in ATTRIBUTES.values()], 1).astype(float)
 
 
 def attribute_columns(stats: str = "stats") -> dict[str, Column]:
-    n = F.greatest(F.col(f"{stats}.n_words"), F.lit(1))
     of = lambda x: F.col(f"{stats}.{x}").cast("double")
-    return dict(zip(ATTRIBUTES, (of("n_words"), of("word_chars") / n, of("n_symbols") / n, of("n_dup_lines"), of("n_dup_lines") / n, of("n_repeat_words") / n), strict=True))
+    return {name: of(a) / F.greatest(of(b), F.lit(1.0)) if b else of(a) for name, (a, b) in ATTRIBUTES.items()}
 
 
 @dataclass(frozen=True)
@@ -101,7 +133,7 @@ class Rule:
         return held
 
     def __str__(self) -> str:
-        return " and ".join(f"{ATTRIBUTES[a]} {'>' if above else '<='} {t:.6g}" for a, above, t in self.conditions) + f" -> {'keep' if self.good else 'reject'}"
+        return " and ".join(f"{_NAMES[a]} {'>' if above else '<='} {t:.6g}" for a, above, t in self.conditions) + f" -> {'keep' if self.good else 'reject'}"
 
 
 def _grow(x: np.ndarray, y: np.ndarray, most: int) -> tuple[tuple[int, bool, float], ...]:
@@ -143,26 +175,37 @@ def _prune(conditions: tuple, x: np.ndarray, y: np.ndarray) -> tuple:
     return conditions[: int(np.argmax(worth)) + 1] if worth else ()
 
 
-def decision_list(x: np.ndarray, y: np.ndarray, precision: float = 0.8, support: int = 5, most_rules: int = 12, most_conditions: int = 4, seed: int = 11) -> list[Rule]:
-    """Rules that reject, in order; what none covers is kept. y: True for good rows.
+def _rule(x: np.ndarray, y: np.ndarray, rows: np.ndarray, good: bool, precision: float, support: int, most: int, rng: np.random.Generator) -> Rule | None:
+    """A rule for the rows of one class, grown on two thirds of `rows` and pruned on the rest, if it is right on `precision`
+    of what it covers in both and covers `support` rows of its class."""
+    at, wanted = rng.permutation(rows), y if good else ~y
+    grow, prune = at[: 2 * len(at) // 3], at[2 * len(at) // 3 :]
+    conditions = _prune(_grow(x[grow], wanted[grow], most), x[prune], wanted[prune])
+    if not conditions:
+        return None
+    rule = Rule(conditions, good)
+    parts = [wanted[part][rule.covers(x[part])] for part in (grow, prune)]
+    enough = sum(int(p.sum()) for p in parts) >= support and all(len(p) and p.mean() >= precision for p in parts)
+    return rule if enough else None
+
 
-    A rule must be right on `precision` of the rows it covers, both where it grew and where it was pruned, and cover
-    `support` of them at least; covering ends with the first rule that isn't.
+def decision_list(x: np.ndarray, y: np.ndarray, precision: float = 0.8, support: int = 5, most_conditions: int = 4, seed: int = 11) -> list[Rule]:
+    """Rules in order, the first that covers a row decides; what none covers is kept. y: True for good rows.
+
+    Covering ends when no rule against the rows left has `precision` and `support`, after three tries at other splits.
     """
     rng = np.random.default_rng(seed)
-    rules, left = [], np.ones(len(y), bool)
-    while len(rules) < most_rules and (~y[left]).sum() >= support:
-        at = rng.permutation(np.flatnonzero(left))
-        grow, prune = at[: 2 * len(at) // 3], at[2 * len(at) // 3 :]
-        conditions = _prune(_grow(x[grow], ~y[grow], most_conditions), x[prune], ~y[prune])
-        if not conditions:
-            break
-        rule = Rule(conditions, False)
+    rules, left, failed = [], np.ones(len(y), bool), 0
+    while failed < 3 and (~y[left]).sum() >= support:
+        rule = _rule(x, y, np.flatnonzero(left), False, precision, support, most_conditions, rng)
+        if rule is None:
+            failed += 1
+            continue
         held = left & rule.covers(x)
-        bad = ~y[held]
-        on_prune = rule.covers(x[prune])
-        if bad.sum() < support or bad.mean() < precision or not on_prune.any() or (~y[prune])[on_prune].mean() < precision:
-            break
+        if (y & held).sum() >= support:
+            but = _rule(x, y, np.flatnonzero(held), True, precision, support, most_conditions, rng)
+            if but is not None:
+                rules.append(Rule((*rule.conditions, *but.conditions), True))
         rules.append(rule)
         left &= ~held
     return rules
@@ -180,7 +223,7 @@ def verdict(rules: list[Rule], stats: str = "stats") -> Column:
     for r in rules:
         test = F.lit(True)
         for a, above, t in r.conditions:
-            c = columns[ATTRIBUTES[a]]
+            c = columns[_NAMES[a]]
             test = test & ((c > t) if above else (c <= t))
         out = out.when(test, F.lit(r.good))
     return out.otherwise(F.lit(True))
@@ -188,12 +231,11 @@ def verdict(rules: list[Rule], stats: str = "stats") -> Column:
 
 def learn_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 16_000) -> list[Rule]:
     """The decision list of at most `rows` labelled documents outside the held-out fold that pass the base check."""
-    sample = with_statistics(training_rows(docs, labels, label, rows).select("text", "y", "order"))
-    got = stored(sample.where(~base_failed()).select("stats.*", "y", "order"), "rule-rows").orderBy("order").toArrow()
+    sample = with_statistics(training_rows(docs, labels, label, rows))
+    got = sample.where(~base_failed()).select("stats.*", "y", "order", "doc_id").toArrow().sort_by([("order", "ascending"), ("doc_id", "ascending")])
     if not got.num_rows:
         return []
-    stats = np.stack([got[c].to_numpy() for c in STATISTICS], 1)
-    return decision_list(attributes(stats), got["y"].to_numpy() == 1)
+    return decision_list(attributes({c: got[c].to_numpy() for c in (*STATISTICS, *MORE)}), got["y"].to_numpy() == 1)
 
 
 def passing_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -205,4 +247,6 @@ def passing_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op3_decision_list_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rules = learn_rules(docs, table(spark, sf_dir, "labels"))
-    return with_statistics(docs).select("doc_id", "stats.*", base_failed().alias("base_failed"), verdict(rules).alias("kept"))
+    counts = [F.col(f"stats.{x}").alias(x) for x in STATISTICS]
+    more = [F.round(c, 6).alias(name) for name, c in attribute_columns().items() if name not in STATISTICS]
+    return with_statistics(docs).select("doc_id", *counts, base_failed().alias("base_failed"), verdict(rules).alias("kept"), *more)
