@@ -9,8 +9,8 @@ over the margins of rows that were left out turns margins into scores.
 Labels come from at most `rows` documents outside the held-out fold; every whole text is scored.
 
 Nulls: a null text is an empty one, whose score is that of no n-grams. Null labels are not learnt from; with one class
-only, the score is that class's share. Repeated rows stay, each scored. An empty table gives an empty result. Extra
-columns stay in `with_quality`, whose own column takes a name that the caller chooses.
+only, the score is that class's share. Repeated rows stay, each scored; a repeated id is learnt from once. An empty table
+gives an empty result. Extra columns stay in `with_quality`, one named like the score among them.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from visitlens.llm.common import flat_text, held_out, ragged, steps, stored, table, training_rows
+from visitlens.llm.common import flat_text, fresh, held_out, ragged, steps, stored, table, training_rows
 from visitlens.llm.toxicity import curve, logistic
 from visitlens.llm.wordhash import WordCache, word_hashes, words_between
 
@@ -142,12 +142,22 @@ def dual_coordinate_descent(flat: np.ndarray, ends: np.ndarray, value: np.ndarra
     return w, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 12_000, least: int = 10, cost: float = 0.02):
-    """(weights of the buckets, bias, shape and weights of the logistic curve); only rows outside the held-out fold are read."""
-    sample = training_rows(docs, labels, label, rows).select("text", F.struct("y", (F.pmod("order", F.lit(4)) == 0).alias("calibrates")).alias("of"))
-    lists = stored(gram_lists(sample, "of").select(F.monotonically_increasing_id().alias("row"), "of.y", "of.calibrates", "grams"), "quality-grams")
+def squashed(margins: np.ndarray) -> np.ndarray:
+    """Margins with far ones drawn in; the order stays, and no two become one."""
+    return np.arcsinh(margins)
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 12_000, least: int = 2, cost: float = 0.02):
+    """(weights of the buckets, bias, shape and weights of the logistic curve); only rows outside the held-out fold are read.
+
+    An n-gram of fewer than `least` of the documents that the classifier learns from has no weight. All rows are put in the
+    order of their hashed ids, so that a rerun learns the same on any number of partitions.
+    """
+    sample = training_rows(docs, labels, label, rows).select("text", F.struct("doc_id", "order", "y", (F.pmod("order", F.lit(4)) == 0).alias("calibrates")).alias("of"))
+    lists = stored(gram_lists(sample, "of").select("of.*", "grams"), "quality-grams")
     counts = lists.where("not calibrates").select("y", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.sum("y").alias("good"))
-    found = counts.where(F.col("n") >= least).toArrow()  # at most 2 ** BITS rows
+    counts = stored(counts.where(F.col("n") >= least), "quality-counts")
+    found = counts.toArrow()  # at most 2 ** BITS rows
     gram, n, good = (found[c].to_numpy() for c in ("gram", "n", "good"))
     size = 1 << BITS
     plus, minus = np.ones(size), np.ones(size)
@@ -156,9 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     wanted = np.zeros(size, bool)
     wanted[gram] = True
     ratio = np.where(wanted, np.log(plus / plus[wanted].sum()) - np.log(minus / minus[wanted].sum()), 0.0) if len(gram) else np.zeros(size)
-    allowed = F.broadcast(counts.where(F.col("n") >= least).select("gram"))
-    kept = lists.select("row", F.explode("grams").alias("gram")).join(allowed, "gram").groupBy("row").agg(F.sort_array(F.collect_list("gram")).alias("grams"))
-    got = lists.select("row", "y", "calibrates").join(kept, "row", "left").select("y", "calibrates", F.coalesce("grams", F.array().cast("array<int>")).alias("grams")).toArrow().combine_chunks()
+    allowed = F.broadcast(counts.select("gram"))
+    kept = lists.select("doc_id", F.explode("grams").alias("gram")).join(allowed, "gram").groupBy("doc_id").agg(F.sort_array(F.collect_list("gram")).alias("grams"))
+    got = lists.drop("grams").join(kept, "doc_id", "left").withColumn("grams", F.coalesce("grams", F.array().cast("array<int>"))).toArrow()
+    got = got.sort_by([("order", "ascending"), ("doc_id", "ascending")]).combine_chunks()
     if not got.num_rows:
         return np.zeros(size), 0.0, (np.array([[0.0], [1.0]]), np.array([0.0, 0.0]))
     y, held = got["y"].to_numpy(), got["calibrates"].to_numpy()
@@ -175,11 +186,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     if len(set(y[use])) < 2:
         p = float(np.clip(y.mean(), 0.01, 0.99))
         return np.zeros(size), 0.0, (np.array([[0.0], [1.0]]), np.array([0.0, np.log(p / (1 - p))]))
-    return w, bias, logistic(np.clip(margins[use], -4, 4)[:, None], y[use])
+    return w, bias, logistic(squashed(margins[use])[:, None], y[use])
 
 
 def with_quality(docs: DataFrame, model, name: str = "score", least: float | None = None, text: str = "text") -> DataFrame:
-    """docs with a score column, or without it but only the rows whose score is at least `least`. No shuffle."""
+    """docs with a score column, or without it but only the rows whose score is at least `least`. No shuffle.
+
+    Where docs has a column `name` itself, the score's name gets underscores at its end.
+    """
+    name = fresh(docs, name)
     w, bias, (shape, line) = model
     shared = docs.sparkSession.sparkContext.broadcast((w.astype(np.float32), w != 0))
     columns = docs.columns
@@ -192,7 +207,7 @@ def with_quality(docs: DataFrame, model, name: str = "score", least: float | Non
             for a, b in steps(np.diff(offsets)):
                 doc, bucket = _grams().buckets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], wanted)
                 margin = np.bincount(doc, weight[bucket].astype(float), b - a) + bias
-                scores[a:b] = curve(np.clip(margin, -4, 4)[:, None], shape, line)
+                scores[a:b] = curve(squashed(margin)[:, None], shape, line)
             if least is None:
                 yield pa.record_batch([*batch.columns, pa.array(scores)], names=[*columns, name])
             else:
