@@ -1,15 +1,22 @@
 """Operator 7: line dedup. Runs of lines that an earlier place of the corpus has go; the first copy stays.
 
-Documents are sequences of line ids. Lines that the corpus has once end every repeated run, so only stretches of lines
-found twice or more take part, and of those only the ones with `least_words` words in all. In them the suffixes get names
-by prefix doubling: the name of the first 2^(k+1) lines is made of the names of two runs of 2^k lines, so equal names
-stand for equal prefixes. A run of any length is named by the two doubled runs that cover it. The suffixes that share a
-run's name are an interval of the suffix array whose longest common prefix reaches that length.
+Documents are sequences of line ids (128 bits of hash). Lines that the corpus has once end every repeated run, so only
+stretches of lines found twice or more take part, and of those only the ones with `least_words` words in all.
+
+Their suffixes are sorted by distributed prefix doubling. Level 0 ranks the suffixes by their first line. Level k + 1 ranks
+them by their first 2^(k+1) lines: each suffix pairs its rank at level k with that of the suffix 2^k lines on (0 beyond
+the stretch), the distinct pairs are sorted over range partitions, and a pair's place in that order is the new rank. So a
+level is the suffix array to that depth, and rows of one rank are an interval of it whose longest common prefix has 2^k
+lines or more. Doubling ends with the deepest prefix that is asked for. The suffixes that share their first m lines, for
+any m, are the interval where two intervals meet: that of the first 2^k lines and that of the last 2^k of the m lines.
 
 A maximal repeated run counts if it has `least_words` words or more. It is the union of the shortest runs with that many
-words that begin or end at each of its lines, so two names for each line find all of them: of the places with one name,
+words that begin or end at each of its lines, so the intervals of these depths find all of them: of an interval's places
 the first in the order of (doc_id, text hash, line) stays and the lines of all others are deleted.
 
+Only what is rare is brought together: ranks go to suffixes by joins on distinct pairs, of which the frequent ones are
+broadcast, and intervals are reduced to their first places where they lie.
+
 Nulls: a null text stays null. Null ids come first. Rows that repeat both id and text are one document and get the same
 result. Deleting all lines leaves an empty text. An empty table gives an empty result; other columns stay as they are.
 """
@@ -26,19 +33,24 @@ from pyspark.sql import functions as F
 
 from visitlens.llm.common import fresh, stored, table
 
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+LINES = "doc bigint, h bigint, ids array<bigint>, ids2 array<bigint>, words array<int>"
+STRETCHES = "doc bigint, h bigint, start int, words array<int>, ranks array<bigint>"
 WINDOWS = "doc bigint, h bigint, start int, length int, a bigint, b bigint"
 
 
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
 def _document(text: str = "text") -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)).cast("bigint")).alias("doc"), F.xxhash64(text).alias("h")]
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc, h, ids, words): the id and the number of words of every line."""
+    """(doc, h, ids, ids2, words): both halves of the id, and the number of words, of every line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             ids, words, ends = [], [], [0]
             for text in batch.column(2).to_pylist():
@@ -46,85 +58,132 @@ def line_table(docs: DataFrame) -> DataFrame:
                 ids += map(digest, lines)
                 words += [len(x.split()) for x in lines]
                 ends.append(len(ids))
-            at = pa.array(ends, pa.int32())
-            yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(at, pa.array(np.array(ids, np.uint64).view(np.int64))), pa.ListArray.from_arrays(at, pa.array(words, pa.int32()))],
-                names=["doc", "h", "ids", "words"],
-            )
+            at, halves = pa.array(ends, pa.int32()), np.frombuffer(b"".join(ids), "<i8").reshape(-1, 2)
+            lists = (pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(words, pa.int32()))
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.ListArray.from_arrays(at, x) for x in lists)], names=_names(LINES))
 
     rows = docs.where(F.col("text").isNotNull()).select(*_document(), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc bigint, h bigint, ids array<bigint>, words array<int>")
+    lines = stored(rows.mapInArrow(run, LINES), "lines")
+    repeated = stored(lines.groupBy("doc", "h").agg(F.count("*").alias("n")).where("n > 1").select("doc", "h"), "repeated-documents")
+    if repeated.isEmpty():
+        return lines
+    once = lines.join(repeated, ["doc", "h"], "left_semi").groupBy("doc", "h").agg(*(F.first(c).alias(c) for c in _names(LINES)[2:]))
+    return stored(lines.join(repeated, ["doc", "h"], "left_anti").unionByName(once), "lines")
+
+
+def _join_counted(left: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """left joined with counted, whose n says how many rows of left each of its keys has. Keys with a thousandth of these
+    rows or more, at most a thousand keys, are broadcast, so that no task gets all rows of one; the others are shuffled."""
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    least = max(2, total // 1000)
+    hot, rest = F.broadcast(counted.where(F.col("n") >= least)), counted.where(F.col("n") < least)
+    return left.join(hot, keys).unionByName(left.join(hot.select(keys), keys, "left_anti").join(rest, keys))
+
 
+def ranked(counted: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """counted, a table of distinct keys, with `rank`: numbers that rise with the keys, from 1, over range partitions."""
+    ordered = counted.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return stored(ordered.withColumn("rank", F.monotonically_increasing_id() + 1), tag)
 
-def _join_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a * _M1 ^ (b + _M2)) * _M2
-    x ^= x >> np.uint64(29)
-    x *= _M1
-    return x ^ (x >> np.uint64(32))
 
+def stretches(lines: DataFrame, least_words: int) -> DataFrame:
+    """(sid, doc, h, start, words, ranks): the runs of lines that the corpus has twice or more, with the rank of each line."""
+    each = lines.select("doc", "h", F.posexplode(F.arrays_zip("ids", "ids2")).alias("place", "x")).select("doc", "h", "place", F.col("x.ids").alias("id"), F.col("x.ids2").alias("id2"))
+    twice = ranked(each.groupBy("id", "id2").agg(F.count("*").alias("n")).where("n > 1"), ["id", "id2"], "line-ranks")
+    found = _join_counted(each, twice, ["id", "id2"]).groupBy("doc", "h").agg(F.collect_list(F.struct("place", "rank")).alias("found"))
 
-def named_windows(ids: np.ndarray, words: np.ndarray, least_words: int) -> list[tuple[int, int, int, int]]:
-    """(start, length, name of the first doubled run, name of the last one) of the shortest runs with least_words words
-    that begin or end at each line of one stretch; ids are the lines' names."""
-    n = len(ids)
-    reach = np.concatenate([[0], np.cumsum(words)])
-    if reach[-1] < least_words:
-        return []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, h, words, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found.sort(key=lambda x: x["place"])
+                at, counts = np.array([x["place"] for x in found]), np.array(words, np.int64)
+                for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 1) + 1):
+                    a, b = int(at[part[0]]), int(at[part[-1]]) + 1
+                    if counts[a:b].sum() >= least_words:
+                        out.append((doc, h, a, words[a:b], [found[i]["rank"] for i in part]))
+            c = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=_names(STRETCHES))
+
+    rows = lines.select("doc", "h", "words").join(found, ["doc", "h"]).mapInArrow(run, STRETCHES)
+    return stored(rows.withColumn("sid", F.monotonically_increasing_id()), "stretches")
+
+
+def spans(words: np.ndarray, least_words: int) -> np.ndarray:
+    """(start, length) of the shortest runs with least_words words that begin or end at each line of a stretch."""
+    n, reach = len(words), np.concatenate([[0], np.cumsum(words)])
     i = np.arange(n)
     stop = np.searchsorted(reach, reach[:-1] + least_words)  # shortest run from i: lines i .. stop - 1
     first = np.searchsorted(reach, reach[1:] - least_words, side="right") - 1  # shortest run that ends with line i
     forward, backward = stop <= n, reach[1:] >= least_words
-    spans = np.unique(np.concatenate([np.stack([i, stop - i], 1)[forward], np.stack([first, i + 1 - first], 1)[backward]]), axis=0)
-    names, level = [ids], 1
-    while level * 2 <= spans[:, 1].max():
-        names.append(_join_names(names[-1][:-level], names[-1][level:]))
-        level *= 2
-    out = []
-    for s, m in spans.tolist():
-        k = m.bit_length() - 1
-        out.append((s, m, int(names[k][s]), int(names[k][s + m - (1 << k)])))
-    return out
+    return np.unique(np.concatenate([np.stack([i, stop - i], 1)[forward], np.stack([first, i + 1 - first], 1)[backward]]), axis=0)
 
 
-def windows_of_stretches(rows: DataFrame, least_words: int) -> DataFrame:
-    """rows: (doc, h, ids, words, places), places being the lines found twice or more in the corpus."""
+def deepest(found: DataFrame, least_words: int) -> int:
+    """The number of lines of the longest of these runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc, h, ids, words, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = np.unique(np.array(places, np.int64))
-                names, counts = np.array(ids, np.int64).view(np.uint64), np.array(words, np.int64)
-                for stretch in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                    a, b = stretch[0], stretch[-1] + 1
-                    out += [(doc, h, int(a) + s, m, x, y) for s, m, x, y in named_windows(names[a:b], counts[a:b], least_words)]
-            c = list(zip(*out, strict=True)) if out else [[]] * 6
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), signed(c[4]), signed(c[5])], names=[x.split()[0] for x in WINDOWS.split(", ")])
+            most = max((int(spans(np.array(w, np.int64), least_words)[:, 1].max()) for w in batch.column(0).to_pylist()), default=0)
+            yield pa.record_batch([pa.array([most], pa.int64())], names=["most"])
 
-    return rows.select("doc", "h", "ids", "words", "places").mapInArrow(run, WINDOWS)
+    return found.select("words").mapInArrow(run, "most bigint").agg(F.max("most")).first()[0] or 0
 
 
-def _join_counted(left: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
-    """left joined with counted, whose n says how many rows of left each of its keys has. Keys with a thousandth of these
-    rows or more, at most a thousand keys, are broadcast, so that no task gets all rows of one; the others are shuffled."""
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    least = max(2, total // 1000)
-    hot, rest = F.broadcast(counted.where(F.col("n") >= least)), counted.where(F.col("n") < least)
-    return left.join(hot, keys).unionByName(left.join(hot.select(keys), keys, "left_anti").join(rest, keys))
+def doubled(level: DataFrame, step: int) -> DataFrame:
+    """(sid, ranks) of the suffixes by twice as many lines; level: (sid, ranks) by `step` lines."""
+    on = F.concat(F.slice("ranks", F.lit(step + 1), F.greatest(F.size("ranks") - step, F.lit(0))), F.array_repeat(F.lit(0).cast("bigint"), F.least(F.lit(step), F.size("ranks"))))
+    pairs = level.select("sid", F.posexplode(F.arrays_zip(F.col("ranks").alias("r"), on.alias("s"))).alias("place", "x")).select("sid", "place", F.col("x.r").alias("r"), F.col("x.s").alias("s"))
+    counted = ranked(pairs.groupBy("r", "s").agg(F.count("*").alias("n")), ["r", "s"], "pair-ranks")
+    back = _join_counted(pairs, counted, ["r", "s"]).groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("place", "rank"))).alias("x"))
+    return stored(back.select("sid", F.col("x.rank").alias("ranks")), "suffix-ranks")
+
+
+def suffix_levels(found: DataFrame, depth: int) -> list[DataFrame]:
+    """(sid, ranks) at each level whose prefixes have at most `depth` lines: 1, 2, 4, ..."""
+    levels = [found.select("sid", "ranks")]
+    while 1 << len(levels) <= depth:
+        levels.append(doubled(levels[-1], 1 << (len(levels) - 1)))
+    return levels
+
+
+def suffix_array(docs: DataFrame, depth: int, least_words: int = 50) -> DataFrame:
+    """(rank, doc, h, line) of every suffix of the stretches, in the order of their first lines, 2^k of them, 2^k <= depth."""
+    found = stretches(line_table(docs), least_words)
+    last = suffix_levels(found, depth)[-1].select("sid", F.posexplode("ranks").alias("i", "rank"))
+    return last.join(found.select("sid", "doc", "h", "start"), "sid").select("rank", "doc", "h", (F.col("start") + F.col("i")).alias("line")).orderBy("rank", "doc", "h", "line")
+
+
+def run_places(found: DataFrame, levels: list[DataFrame], least_words: int) -> DataFrame:
+    """(doc, h, start, length, a, b): the shortest runs of each stretch and the two ranks that make the interval of each one."""
+    together = found.select("sid", "doc", "h", "start", "words", F.col("ranks").alias("r0"))
+    for k, level in enumerate(levels[1:], 1):
+        together = together.join(level.select("sid", F.col("ranks").alias(f"r{k}")), "sid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[np.ndarray] = []
+            for doc, h, start, words, *ranks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = spans(np.array(words, np.int64), least_words)
+                level = np.frexp(at[:, 1].astype(float))[1] - 1  # 2 ** level is the largest power of two in the length
+                table_ = np.array(ranks, np.int64)
+                a, b = table_[level, at[:, 0]], table_[level, at[:, 0] + at[:, 1] - (1 << level)]
+                parts.append(np.stack([np.full(len(at), doc), np.full(len(at), h), at[:, 0] + start, at[:, 1], a, b], 1))
+            rows = np.concatenate(parts) if parts else np.zeros((0, 6), np.int64)
+            yield pa.record_batch([pa.array(rows[:, k]).cast(pa.int32()) if k in (2, 3) else pa.array(rows[:, k]) for k in range(6)], names=_names(WINDOWS))
+
+    return together.drop("sid").mapInArrow(run, WINDOWS)
 
 
 def repeated_lines(docs: DataFrame, least_words: int = 50) -> DataFrame:
     """(doc, h, gone): for each document that loses lines, whether each line goes, up to the last that does."""
-    lines = stored(line_table(docs), "lines")
-    each = lines.select("doc", "h", F.posexplode("ids").alias("place", "id"))
-    twice = stored(each.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "line-counts")
-    places = _join_counted(each, twice, ["id"]).groupBy("doc", "h").agg(F.collect_list("place").alias("places"))
-    windows = stored(windows_of_stretches(lines.join(places, ["doc", "h"]), least_words), "windows")
+    found = stretches(line_table(docs), least_words)
+    windows = stored(run_places(found, suffix_levels(found, deepest(found, least_words)), least_words), "run-places")
     place = F.struct("doc", "h", "start")
-    firsts = windows.groupBy("a", "b", "length").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
-    firsts = stored(firsts.where("first != last").drop("last"), "run-counts")
-    later = _join_counted(windows, firsts, ["a", "b", "length"]).where(place != F.col("first"))
+    intervals = windows.groupBy("a", "b", "length").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    intervals = stored(intervals.where("n > 1"), "intervals")
+    later = _join_counted(windows, intervals, ["a", "b", "length"]).where(place != F.col("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
