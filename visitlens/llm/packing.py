@@ -30,7 +30,7 @@ from visitlens.llm.tokens import encoder, tokenizer_path
 PIECES = "part int, doc_id bigint, start bigint, length int, doc_tokens bigint, local_rank bigint, ids binary"
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, special: bool = False) -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, special: bool = True) -> DataFrame:
     """Full sequences and the rest of every document, with ids (little-endian, 32 bits) and the rank of each
     piece among those of its length in its partition."""
 
@@ -225,12 +225,12 @@ def place(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     ).drop("part", "local_rank", "base", "rank", "of", "low", "high", "each", "first_sequence", "first_offset")
 
 
-def packed_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = 1024, special: bool = False) -> DataFrame:
+def packed_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = 1024, special: bool = True) -> DataFrame:
     """One row per piece with its ids and its place."""
     return place(stored(cut_documents(docs, tokenizer or tokenizer_path(), end_id, capacity, special), "pieces"), capacity)
 
 
-def packed_digests(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = 1024, special: bool = False) -> DataFrame:
+def packed_digests(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = 1024, special: bool = True) -> DataFrame:
     """As packed_pieces, with a checksum in place of the ids."""
     pieces = stored(cut_documents(docs, tokenizer or tokenizer_path(), end_id, capacity, special), "pieces")
     narrow = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -240,4 +240,4 @@ def packed_digests(docs: DataFrame, tokenizer: str | None = None, end_id: int =
 
 
 def op10_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_digests(table(spark, sf_dir, "documents"), special=True)
+    return packed_digests(table(spark, sf_dir, "documents"))

@@ -1,15 +1,18 @@
 """Operator 6: token ids as Re-Pair grammars, one for each block of a shard.
 
-Documents are dealt by range of doc_id and sorted, so that the shards follow one another in ascending
-doc_id order. A shard's documents are encoded and gathered into blocks of about `block_ids` ids. In each
-block frequent pairs of neighbouring symbols are replaced by nonterminals, round after round: a round
-counts all pairs, takes the most frequent ones and replaces their places from left to right. No pair
-crosses the end of a document, so every document is a run of symbols of its own.
+Documents are dealt by range of doc_id and sorted, so that the shards follow one another in ascending doc_id order. A
+shard's documents are encoded and gathered into blocks of about `block_ids` ids. In each block pairs of neighbouring
+symbols are replaced by nonterminals, round after round, until no pair has `least` places or more that don't overlap. A
+round counts all pairs and gives every frequent one a nonterminal; where places overlap, the more frequent pair has its
+way, and a pair that is left with fewer than `least` places waits for the next round. No pair crosses the end of a
+document, so every document is a run of symbols of its own.
 
-A block is a row of a Parquet table: the rules (two symbols each), the length each rule expands to, the
-sequence of symbols, and for each document its id, its number of ids and where its symbols end. A
-document is decoded from its own symbols; the expansion lengths give the place of any id without
-expanding what lies before it.
+A block is a row of a Parquet table: the rules (two symbols each), the length each rule expands to, the sequence of
+symbols, for each document its id, its number of ids and where its symbols end, and the lowest and highest id. Symbols are
+32 bits wide and lie byte plane by byte plane, so that the file's codec shortens the small ones.
+
+`read_ids` reads all documents back, `read_documents` some, `read_span` a range of ids. The last two open only the blocks
+that hold what is asked for, and of these expand only that: symbol ends lead to a document, expansion lengths to a place.
 
 Nulls: a null text is an empty one, null ids come first. Repeated rows stay, each with its own ids. An
 empty table gives an empty result; extra columns are ignored.
@@ -29,72 +32,81 @@ from pyspark.sql import functions as F
 from visitlens.llm.common import ragged, shared_dir, table
 from visitlens.llm.tokens import encoder, tokenizer_path
 
-BLOCKS = "part int, block int, vocab int, doc_ids array<bigint>, n_ids array<int>, symbol_ends array<int>, rounds array<int>, rules binary, rule_lengths array<int>, symbols binary, width int"
-_SLOT_BITS = 18
+BLOCKS = "part int, block int, vocab int, first_doc bigint, last_doc bigint, doc_ids array<bigint>, n_ids array<int>, symbol_ends array<int>, rounds array<int>, rules binary, rule_lengths array<int>, symbols binary"
+_NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
+_SLOT_BITS = 21
+_NONE = np.uint64(2**64 - 1)
+_HALF, _LOW = np.uint64(32), np.uint64(2**32 - 1)
+
+
+def planes(symbols: np.ndarray) -> bytes:
+    """32-bit numbers, all lowest bytes first."""
+    return np.ascontiguousarray(symbols.astype("<u4").reshape(-1).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
-def _top_pairs(key: np.ndarray, bar: int, most: int, least: int) -> np.ndarray:
-    """The most frequent keys, at most `most`, each found `least` times or oftener; ties go to the lower key."""
+def _pairs(seq: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The pair that begins at each symbol but the last; _NONE over a document's end and, in a run of one symbol, at every
+    other place, so that places of one pair never overlap."""
+    key = (seq[:-1] << _HALF) | seq[1:]
+    key[last[:-1]] = _NONE
+    same = np.flatnonzero((seq[:-1] == seq[1:]) & (key != _NONE))
+    fresh = np.concatenate([[True], same[1:] != same[:-1] + 1])[: len(same)]
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(same)), 0))
+    key[same[(np.arange(len(same)) - first) % 2 == 1]] = _NONE
+    return key
+
+
+def _frequent(key: np.ndarray, least: int) -> np.ndarray:
+    """The keys with `least` places or more, the most frequent last; ties by key."""
     s = np.sort(key)
     at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     n = np.diff(np.append(at, len(s)))
-    enough = (n >= least) & (s[at] != bar)
+    enough = (n >= least) & (s[at] != _NONE)
     pairs, n = s[at[enough]], n[enough]
-    return pairs[np.lexsort((pairs, -n))[:most]]
-
+    return pairs[np.lexsort((pairs, n))]
 
-def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, rounds: int = 8, least: int = 12, width: int = 2):
-    """(symbols, rules, expansion lengths, rules of each round, symbol ends) of ids whose documents end before `ends`.
 
-    width: bytes of a symbol; with 2 there are 65,535 symbols, of which `vocab` stand for themselves.
-    """
-    half = 8 * width
-    kind = np.uint32 if width == 2 else np.uint64
-    bar = (1 << 2 * half) - 1
-    room = min((1 << half) - 1 - vocab, 1 << 20)
-    seq = ids.astype(kind)
+def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, least: int = 12):
+    """(symbols, rules, expansion lengths, rules of each round, symbol ends) of ids whose documents end before `ends`."""
+    seq = ids.astype(np.uint64)
     last = np.zeros(len(seq), bool)
     last[ends[ends > 0] - 1] = True
-    length = np.ones(vocab + room, np.int64)
+    length = np.ones(vocab, np.int64)
     rules, per_round = [], []
-    done = 0
-    for k in range(rounds):
-        if len(seq) < 2 or done >= room:
+    in_slot, rank_of = np.zeros(1 << _SLOT_BITS, np.uint64), np.zeros(1 << _SLOT_BITS, np.int32)
+    slot = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).view(np.int64)
+    while len(seq) > 1:
+        key = _pairs(seq, last)
+        pairs = _frequent(key, least)
+        if not len(pairs):
             break
-        key = (seq[:-1] << kind(half)) | seq[1:]
-        key[last[:-1]] = bar
-        chosen = _top_pairs(key, bar, min(room - done, max(1024, room // 3)), least)
-        odd = kind(0x9E3779B1 if width == 2 else 0x9E3779B97F4A7C15)
-        slot_of = lambda x: ((x * odd) >> kind(2 * half - _SLOT_BITS)).astype(np.int64)  # noqa: B023,E731
-        _, first = np.unique(slot_of(chosen), return_index=True)
-        chosen = chosen[np.sort(first)]  # a pair whose slot is taken waits for the next round
-        if not len(chosen):
-            break
-        in_slot, name = np.full(1 << _SLOT_BITS, bar, kind), np.zeros(1 << _SLOT_BITS, kind)
-        slots = slot_of(chosen)
-        in_slot[slots], name[slots] = chosen, np.arange(vocab + done, vocab + done + len(chosen), dtype=kind)
-        slots = slot_of(key)
-        at = np.flatnonzero((in_slot[slots] == key) & (key != bar))
-        fresh = np.concatenate([[True], at[1:] != at[:-1] + 1])
-        run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run) % 2 == 0]  # places that overlap: every other one, from the left
-        seq[at] = name[slots[at]]
+        in_slot[:], slots = _NONE, slot(pairs)
+        in_slot[slots], rank_of[slots] = pairs, np.arange(1, len(pairs) + 1)  # of two in one slot the more frequent stays
+        slots = slot(key)
+        rank = np.where((in_slot[slots] == key) & (key != _NONE), rank_of[slots], 0)
+        before, after = np.append(0, rank[:-1]), np.append(rank[1:], 0)
+        at = np.flatnonzero((rank > before) & (rank > after))
+        places = np.bincount(rank[at] - 1, minlength=len(pairs))
+        chosen = places >= least  # the most frequent pair always is
+        name = (len(length) - 1 + np.cumsum(chosen)).astype(np.uint64)
+        at = at[chosen[rank[at] - 1]]
+        seq[at] = name[rank[at] - 1]
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
-        pair = np.stack([chosen >> kind(half), chosen & kind((1 << half) - 1)], 1)
-        length[vocab + done : vocab + done + len(chosen)] = length[pair[:, 0]] + length[pair[:, 1]]
+        pair = np.stack([pairs[chosen] >> _HALF, pairs[chosen] & _LOW], 1).astype(np.int64)
+        length = np.concatenate([length, length[pair].sum(1)])
         rules.append(pair)
-        per_round.append(len(chosen))
-        done += len(chosen)
-        if len(at) < len(seq) // 100:
-            break
+        per_round.append(len(pair))
     stops = np.zeros(len(ends), np.int64)
     stops[ends > np.concatenate([[0], ends[:-1]])] = np.flatnonzero(last) + 1
-    store = np.uint16 if width == 2 else np.uint32
-    table_ = np.concatenate(rules).astype(store) if rules else np.zeros((0, 2), store)
-    return seq.astype(store), table_, length[vocab : vocab + done], per_round, np.maximum.accumulate(stops)
+    table_ = np.concatenate(rules).astype(np.uint32) if rules else np.zeros((0, 2), np.uint32)
+    return seq.astype(np.uint32), table_, length[vocab:], per_round, np.maximum.accumulate(stops)
 
 
 class Grammar:
@@ -117,30 +129,48 @@ class Grammar:
         s = symbols.astype(np.int64)
         return self.pool[ragged(self.offset[s], self.count[s])]
 
-    def span(self, symbols: np.ndarray, start: int, stop: int) -> np.ndarray:
-        """Ids start..stop of a run of symbols; only the symbols that hold them are expanded."""
-        reach = np.cumsum(self.count[symbols.astype(np.int64)])
-        a, b = np.searchsorted(reach, start, side="right"), np.searchsorted(reach, stop, side="left") + 1
-        skip = start - (reach[a - 1] if a else 0)
-        return self.expand(symbols[a:b])[skip : skip + stop - start]
 
-
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_ids: int = 1 << 21, special: bool = False) -> None:
+def span_of(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, vocab: int, start: int, stop: int) -> np.ndarray:
+    """Ids start .. stop - 1 of a run of symbols. Lengths lead to the symbols that hold them, and within these to the
+    parts of their rules that do; nothing else is expanded."""
+    size = lambda s: 1 if s < vocab else int(lengths[s - vocab])
+    s = symbols.astype(np.int64)
+    reach = np.concatenate([[0], np.cumsum(np.where(s < vocab, 1, lengths[np.maximum(s - vocab, 0)] if len(lengths) else 1))])
+    a, b = int(np.searchsorted(reach, start, side="right")) - 1, int(np.searchsorted(reach, stop, side="left"))
+    todo = [(int(s[i]), max(0, start - int(reach[i])), min(int(reach[i + 1]), stop) - int(reach[i])) for i in range(b - 1, a - 1, -1)]
+    out: list[int] = []
+    while todo:
+        symbol, low, high = todo.pop()
+        if symbol < vocab:
+            out.append(symbol)
+            continue
+        left, right = (int(x) for x in rules[symbol - vocab])
+        n = size(left)
+        if high > n:
+            todo.append((right, max(0, low - n), high - n))
+        if low < n:
+            todo.append((left, low, min(high, n)))
+    return np.array(out, "<u4")
+
+
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_ids: int = 1 << 21, special: bool = True) -> None:
     """Writes the ids of every text, each followed by end_id, as a table of grammar blocks under path."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, special)
         vocab = max(len(enc.width) - 1, end_id + 1)
-        width = 2 if vocab < 65_000 else 4
         part, held, number = TaskContext.get().partitionId(), [], 0
 
         def block() -> pa.RecordBatch:
             ids, n = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
             doc_ids = pa.chunked_array([x[0] for x in held]).combine_chunks()
-            symbols, rules, lengths, rounds, ends = compress(ids, np.cumsum(n), vocab, width=width)
-            row = [[part], [number], [vocab], [doc_ids], [n], [ends], [rounds], [rules.tobytes()], [lengths], [symbols.tobytes()], [width]]
-            types = [pa.int32()] * 3 + [pa.list_(pa.int64())] + [pa.list_(pa.int32())] * 3 + [pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.int32()]
-            return pa.record_batch([pa.array([np.asarray(c[0]) if isinstance(c[0], list) else c[0]] if not isinstance(c[0], pa.Array) else [c[0].to_pylist()], t) for c, t in zip(row, types, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
+            symbols, rules, lengths, rounds, ends = compress(ids, np.cumsum(n), vocab)
+            known = doc_ids.drop_null().to_numpy()
+            low, high = (int(known.min()), int(known.max())) if len(known) else (None, None)
+            row = [part, number, vocab, low, high, doc_ids.to_pylist(), n, ends, rounds, planes(rules), lengths, planes(symbols)]
+            lists = [pa.list_(pa.int64())] + [pa.list_(pa.int32())] * 3
+            types = [pa.int32()] * 3 + [pa.int64()] * 2 + lists + [pa.binary(), pa.list_(pa.int32()), pa.binary()]
+            return pa.record_batch([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=_NAMES)
 
         for batch in batches:
             for a, ids, counts in enc.batches(batch.column(1)):
@@ -168,40 +198,87 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block
     ranged.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(blocks, BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids) of a written table: ids as little-endian 32-bit integers, start: ids of all documents before."""
-    return _read(spark, path, "doc_id bigint, start bigint, n_tokens bigint, ids binary", lambda raw: raw.tobytes(), pa.binary())
-
-
-def _read(spark: SparkSession, path: str, schema: str, last, kind: pa.DataType) -> DataFrame:
+def block_starts(spark: SparkSession, path: str, most: int = 100_000) -> DataFrame:
+    """(part, block, base, size): the number of ids before each block and in it. Broadcast where there are `most` blocks or fewer."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
     sizes = blocks.select("part", "block", F.aggregate("n_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("size"))
     # One sum for each partition of the writing job comes to the driver, however many documents there are.
-    totals = sorted((r.part, r.size) for r in sizes.groupBy("part").agg(F.sum("size").alias("size")).collect())
+    totals = sorted((r.part, r.size, r.n) for r in sizes.groupBy("part").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect())
     bases, done = [], 0
-    for part, size in totals:
+    for part, size, _ in totals:
         bases.append((part, done))
         done += size
     base = spark.createDataFrame(bases, "part int, base bigint")
     before = F.coalesce(F.sum("size").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.join(F.broadcast(base), "part").select("part", "block", (F.col("base") + before).alias("base"))
+    starts = sizes.join(F.broadcast(base), "part").select("part", "block", (F.col("base") + before).alias("base"), "size")
+    return F.broadcast(starts) if sum(n for *_, n in totals) <= most else starts
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, ids) of a written table: ids as little-endian 32-bit integers, start: ids of all documents before."""
+    return _read(spark, path, "doc_id bigint, start bigint, n_tokens bigint, ids binary", lambda raw: raw.tobytes(), pa.binary())
+
+
+def _read(spark: SparkSession, path: str, schema: str, last, kind: pa.DataType) -> DataFrame:
+    blocks, starts = spark.read.schema(BLOCKS).parquet(path), block_starts(spark, path).drop("size")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                store = np.uint16 if row["width"] == 2 else np.uint32
-                symbols, rules = np.frombuffer(row["symbols"], store), np.frombuffer(row["rules"], store).reshape(-1, 2)
-                grammar = Grammar(rules, row["rounds"], row["vocab"])
+                grammar = Grammar(from_planes(row["rules"]).reshape(-1, 2), row["rounds"], row["vocab"])
                 n = np.array(row["n_ids"], np.int64)
                 reach = np.concatenate([[0], np.cumsum(n)])
-                ids = grammar.expand(symbols).astype("<u4", copy=False)
+                ids = grammar.expand(from_planes(row["symbols"])).astype("<u4", copy=False)
                 values = [last(ids[a:b]) for a, b in zip(reach, reach[1:], strict=False)]
                 yield pa.record_batch([pa.array(row["doc_ids"], pa.int64()), pa.array(row["base"] + reach[:-1], pa.int64()), pa.array(n, pa.int64()), pa.array(values, kind)], names=names)
 
     return blocks.join(starts, ["part", "block"]).mapInArrow(documents, schema)
 
 
+def _parts(blocks: DataFrame, wanted) -> DataFrame:
+    """(doc_id, start, ids): wanted(row) yields (document's place in the block, first and last + 1 of its ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                rules, lengths, symbols = from_planes(row["rules"]).reshape(-1, 2), np.array(row["rule_lengths"], np.int64), from_planes(row["symbols"])
+                ends, before, out = [0, *row["symbol_ends"]], np.concatenate([[0], np.cumsum(row["n_ids"])]), []
+                for i, a, b in wanted(row):
+                    ids = span_of(symbols[ends[i] : ends[i + 1]], rules, lengths, row["vocab"], a, b)
+                    out.append((row["doc_ids"][i], row["base"] + int(before[i]) + a, ids.tobytes()))
+                c = list(zip(*out, strict=True)) if out else [[]] * 3
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "start", "ids"])
+
+    return blocks.mapInArrow(run, "doc_id bigint, start bigint, ids binary")
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """As read_ids for the documents of a few ids: only blocks whose ids reach over one of them are opened."""
+    asked = set(doc_ids)
+    near = F.lit(False)
+    for i in asked:
+        near |= (F.col("first_doc") <= i) & (F.col("last_doc") >= i)
+    blocks = spark.read.schema(BLOCKS).parquet(path).where(near).where(F.arrays_overlap("doc_ids", F.array(*map(F.lit, asked)).cast("array<bigint>")))
+    found = blocks.join(block_starts(spark, path), ["part", "block"])
+    return _parts(found, lambda row: ((i, 0, row["n_ids"][i]) for i, d in enumerate(row["doc_ids"]) if d in asked))
+
+
+def read_span(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """(doc_id, start, ids) of the ids from start to stop - 1 in the order of the whole table, in a row for each document."""
+    inside = block_starts(spark, path).where((F.col("base") < stop) & (F.col("base") + F.col("size") > start))
+
+    def wanted(row: dict) -> Iterator[tuple[int, int, int]]:
+        before = row["base"]
+        for i, n in enumerate(row["n_ids"]):
+            a, b = max(start - before, 0), min(stop - before, n)
+            if a < b:
+                yield i, a, b
+            before += n
+
+    return _parts(spark.read.schema(BLOCKS).parquet(path).join(inside, ["part", "block"]), wanted)
+
+
 def id_digests(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint", zlib.crc32, pa.int64())
 
@@ -210,5 +287,5 @@ def op6_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
-    write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path(), special=True)
+    write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path())
     return id_digests(spark, path)

@@ -80,7 +80,7 @@ def pieces(raw: np.ndarray, offsets: np.ndarray, added: re.Pattern | None = None
 class Encoder:
     """Documents to ids; `path` is a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, words: int = 500_000, special: bool = False):
+    def __init__(self, path: str, words: int = 500_000, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -160,7 +160,7 @@ class Encoder:
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, special: bool = False) -> Encoder:
+def encoder(path: str, special: bool = True) -> Encoder:
     """One for each worker process."""
     if (path, special) not in _ENCODERS:
         _ENCODERS[path, special] = Encoder(path, special=special)
