@@ -119,17 +119,6 @@ def flag_rollup(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("aggr_quality_score", with_views("""f AS (SELECT flw_id, COUNT(*) AS n, AVG(muac_cm) AS muac, COUNT(*) FILTER (WHERE status = 'approved') * 1.0 / COUNT(*) AS approved, COUNT(*) FILTER (WHERE unwell = 'yes') * 1.0 / COUNT(*) AS unwell FROM visits GROUP BY flw_id)
-SELECT flw_id, NULLIF(CASE WHEN n >= 60 THEN 10 ELSE 0 END + CASE WHEN muac BETWEEN 15.2 AND 15.8 THEN 15 ELSE 0 END + CASE WHEN approved >= 0.2 THEN 10 ELSE 0 END + CASE WHEN unwell <= 0.2 THEN 15 ELSE 0 END, 0) AS score FROM f"""))
-def quality_score(spark: SparkSession, d: str) -> DataFrame:
-    """Points for each rule that holds; null where none does."""
-    share = lambda c: F.count_if(c) / F.count("*")
-    f = visits(spark, d).groupBy("flw_id").agg(F.count("*").alias("n"), F.avg("muac_cm").alias("muac"), share(F.col("status") == "approved").alias("approved"), share(F.col("unwell") == "yes").alias("unwell"))
-    rules = ((F.col("n") >= 60, 10), (F.col("muac").between(15.2, 15.8), 15), (F.col("approved") >= 0.2, 10), (F.col("unwell") <= 0.2, 15))
-    total = sum((F.when(c, points).otherwise(0) for c, points in rules), F.lit(0))
-    return f.select("flw_id", F.nullif(total, F.lit(0)).alias("score"))
-
-
 @query("join_left_dims", "SELECT l_orderkey, l_linenumber, c_name, n_name, r_name FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE r_name LIKE 'A%'")
 def left_dims(spark: SparkSession, d: str) -> DataFrame:
     """A chain of left joins with a filter on the last table, which makes them inner."""

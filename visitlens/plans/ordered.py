@@ -158,23 +158,23 @@ def first_n(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batches(v: DataFrame, most: int, least: int) -> DataFrame:
-    """Whole days from the newest backwards, a new batch where a day would overflow `most`; a last one under `least` is
-    dropped, and the oldest batch that stays is number 1. One row per worker and batch."""
+    """Whole days from the newest backwards, a new batch where a day would overflow `most`. The first batch under `least` ends
+    the walk: it and all older days are dropped. The oldest batch that stays is number 1. One row per worker and batch."""
     days = v.groupBy("flw_id", "visit_day").agg(F.count("*").alias("n"))
     folded = days.groupBy("flw_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("visit_day", F.col("n").cast("bigint").alias("n"))))).alias("days"))
     fold = f"""aggregate(days, array(named_struct('size', 0L, 'from', CAST(NULL AS DATE), 'to', CAST(NULL AS DATE))),
         (a, x) -> CASE WHEN element_at(a, -1).size = 0 OR element_at(a, -1).size + x.n > {most} THEN
             concat(filter(a, b -> b.size > 0), array(named_struct('size', x.n, 'from', x.visit_day, 'to', x.visit_day)))
           ELSE concat(slice(a, 1, size(a) - 1), array(named_struct('size', element_at(a, -1).size + x.n, 'from', x.visit_day, 'to', element_at(a, -1).to))) END)"""
-    kept = folded.withColumn("b", F.expr(fold)).withColumn("b", F.expr(f"CASE WHEN element_at(b, -1).size < {least} THEN slice(b, 1, size(b) - 1) ELSE b END"))
+    kept = folded.withColumn("b", F.expr(fold)).withColumn("b", F.expr(f"slice(b, 1, IF(exists(b, x -> x.size < {least}), CAST(array_position(transform(b, x -> x.size < {least}), true) AS INT) - 1, size(b)))"))
     return kept.select("flw_id", F.posexplode(F.reverse("b")).alias("i", "x")).select("flw_id", (F.col("i") + 1).cast("bigint").alias("batch"), "x.size", F.col("x.from").alias("first_day"), F.col("x.to").alias("last_day"))
 
 
 @query("win_greedy_batches", "WITH RECURSIVE " + with_views("""days AS (SELECT flw_id, visit_day, COUNT(*) AS n, ROW_NUMBER() OVER (PARTITION BY flw_id ORDER BY visit_day DESC) AS i FROM visits GROUP BY flw_id, visit_day),
 r AS (SELECT flw_id, visit_day, i, n AS size, CAST(1 AS BIGINT) AS b FROM days WHERE i = 1 UNION ALL SELECT d.flw_id, d.visit_day, d.i, CASE WHEN r.size + d.n > 20 THEN d.n ELSE r.size + d.n END, CASE WHEN r.size + d.n > 20 THEN r.b + 1 ELSE r.b END FROM r JOIN days d ON d.flw_id = r.flw_id AND d.i = r.i + 1),
 g AS (SELECT flw_id, b, MAX(size) AS size, MIN(visit_day) AS first_day, MAX(visit_day) AS last_day FROM r GROUP BY flw_id, b),
-k AS (SELECT *, MAX(b) OVER (PARTITION BY flw_id) AS top FROM g)
-SELECT flw_id, ROW_NUMBER() OVER (PARTITION BY flw_id ORDER BY b DESC) AS batch, size, first_day, last_day FROM k WHERE NOT (b = top AND size < 10)""").removeprefix("WITH "))
+k AS (SELECT *, bool_and(size >= 10) OVER (PARTITION BY flw_id ORDER BY b) AS stays FROM g)
+SELECT flw_id, ROW_NUMBER() OVER (PARTITION BY flw_id ORDER BY b DESC) AS batch, size, first_day, last_day FROM k WHERE stays""").removeprefix("WITH "))
 def greedy_batches(spark: SparkSession, d: str) -> DataFrame:
     return batches(visits(spark, d), 20, 10)
 

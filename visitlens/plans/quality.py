@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visitlens.functions.columns import Z99, ladder, ratio, right_closed_bin, wilson
-from visitlens.plans.ordered import batches
 from visitlens.registry import query
 from visitlens.sources.views import visits, with_views
 
@@ -46,65 +45,6 @@ def low_young_child(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy("flw_id").agg(young.alias("young"), F.when(F.count("*") == 0, "no_assessment").when(young < 0.05 * F.count("*"), "strong_negative").otherwise("ok").alias("result"))
 
 
-def in_batches(v: DataFrame) -> DataFrame:
-    b = batches(v, 20, 10)
-    at = v["visit_day"].between(b["first_day"], b["last_day"])
-    return v.join(b, (v["flw_id"] == b["flw_id"]) & at).select(v["*"], "batch")
-
-
-BATCH_SQL = """days AS (SELECT flw_id, visit_day, COUNT(*) AS n, ROW_NUMBER() OVER (PARTITION BY flw_id ORDER BY visit_day DESC) AS i FROM visits GROUP BY flw_id, visit_day),
-r AS (SELECT flw_id, visit_day, i, n AS size, CAST(1 AS BIGINT) AS b FROM days WHERE i = 1 UNION ALL SELECT d.flw_id, d.visit_day, d.i, CASE WHEN r.size + d.n > 20 THEN d.n ELSE r.size + d.n END, CASE WHEN r.size + d.n > 20 THEN r.b + 1 ELSE r.b END FROM r JOIN days d ON d.flw_id = r.flw_id AND d.i = r.i + 1),
-g AS (SELECT flw_id, b, MAX(size) AS size, MIN(visit_day) AS f, MAX(visit_day) AS t FROM r GROUP BY flw_id, b),
-k AS (SELECT *, MAX(b) OVER (PARTITION BY flw_id) AS top FROM g),
-bt AS (SELECT flw_id, f, t, ROW_NUMBER() OVER (PARTITION BY flw_id ORDER BY b DESC) AS batch FROM k WHERE NOT (b = top AND size < 10)),
-x AS (SELECT v.*, bt.batch FROM visits v JOIN bt ON bt.flw_id = v.flw_id AND v.visit_day BETWEEN bt.f AND bt.t)"""
-
-
-def _recursive(sql: str) -> str:
-    return "WITH RECURSIVE " + with_views(sql).removeprefix("WITH ")
-
-
-@query("aggr_batch_metrics_long", _recursive(BATCH_SQL + """, w AS (SELECT flw_id, batch, COUNT(*) * 1.0 AS visits, COUNT(DISTINCT visit_day) * 1.0 AS days, COUNT(*) * 1.0 / COUNT(DISTINCT visit_day) AS per_day, AVG(muac_cm) AS muac FROM x GROUP BY ALL)
-SELECT flw_id, batch, metric, ROUND(val, 6) AS val FROM (SELECT flw_id, batch, UNNEST(['visits', 'days', 'per_day', 'muac']) AS metric, UNNEST([visits, days, per_day, muac]) AS val FROM w)"""))
-def batch_metrics_long(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics of each worker's batches, wide by one aggregation and then one row each."""
-    w = in_batches(visits(spark, d)).groupBy("flw_id", "batch").agg(
-        F.count("*").cast("double").alias("visits"), F.count_distinct("visit_day").cast("double").alias("days"), (F.count("*") / F.count_distinct("visit_day")).alias("per_day"), F.avg("muac_cm").alias("muac")
-    )
-    return w.unpivot(["flw_id", "batch"], ["visits", "days", "per_day", "muac"], "metric", "val").withColumn("val", F.round("val", 6))
-
-
-@query("aggr_assessment_runner", _recursive(BATCH_SQL + """, a AS (SELECT flw_id, COALESCE(CAST(batch AS VARCHAR), 'all') AS batch, COUNT(*) AS n, COUNT(*) FILTER (WHERE age_months < 12) AS young FROM x GROUP BY GROUPING SETS ((flw_id, batch), (flw_id)))
-SELECT flw_id, batch, n, CASE WHEN young < 0.2 * n THEN 'strong_negative' ELSE 'ok' END AS result FROM a"""))
-def assessment_runner(spark: SparkSession, d: str) -> DataFrame:
-    """Every batch and all of them together, by grouping sets."""
-    x = in_batches(visits(spark, d))
-    a = x.groupingSets([["flw_id", "batch"], ["flw_id"]], "flw_id", "batch").agg(F.count("*").alias("n"), F.count_if(F.col("age_months") < 12).alias("young"))
-    return a.select("flw_id", F.coalesce(F.col("batch").cast("string"), F.lit("all")).alias("batch"), "n", F.when(F.col("young") < 0.2 * F.col("n"), "strong_negative").otherwise("ok").alias("result"))
-
-
-@query("aggr_diligence_score", with_views("SELECT flw_id, (COUNT(DISTINCT gender) > 1)::INT + (COUNT(DISTINCT NULLIF(unwell, '')) > 1)::INT + (COUNT(DISTINCT status) > 1)::INT + (COUNT(DISTINCT event_type) > 6)::INT AS diligence FROM visits GROUP BY flw_id"))
-def diligence_score(spark: SparkSession, d: str) -> DataFrame:
-    """How many answers a worker varies."""
-    varies = lambda c, n=1: (F.count_distinct(c) > n).cast("int")
-    total = varies("gender") + varies(F.nullif(F.col("unwell"), F.lit(""))) + varies("status") + varies("event_type", 6)
-    return visits(spark, d).groupBy("flw_id").agg(total.alias("diligence"))
-
-
-@query("aggr_strong_negative_patterns", with_views("""b AS (SELECT opportunity_id, flw_id, visit_day, AVG(k) > 60 AS sn FROM visits GROUP BY ALL), f AS (SELECT *, MIN(CASE WHEN sn THEN visit_day END) OVER (PARTITION BY flw_id) AS first FROM b),
-l AS (SELECT opportunity_id, CASE WHEN first IS NULL THEN 'all_ok' WHEN visit_day < first THEN 'before' WHEN visit_day = first THEN 'first' WHEN sn THEN 'repeat' ELSE 'after' END AS label FROM f)
-SELECT COALESCE(CAST(opportunity_id AS VARCHAR), 'All Opportunities') AS opportunity, label, COUNT(*) AS n FROM l GROUP BY GROUPING SETS ((opportunity_id, label), (label))"""))
-def strong_negative_patterns(spark: SparkSession, d: str) -> DataFrame:
-    b = visits(spark, d).groupBy("opportunity_id", "flw_id", "visit_day").agg((F.avg("k") > 60).alias("sn"))
-    first = F.min(F.when(F.col("sn"), F.col("visit_day"))).over(Window.partitionBy("flw_id"))
-    day = F.col("visit_day")
-    f = b.withColumn("first", first)
-    label = F.when(F.col("first").isNull(), "all_ok").when(day < F.col("first"), "before").when(day == F.col("first"), "first").when(F.col("sn"), "repeat").otherwise("after")
-    l = f.select("opportunity_id", label.alias("label"))  # noqa: E741
-    g = l.groupingSets([["opportunity_id", "label"], ["label"]], "opportunity_id", "label").agg(F.count("*").alias("n"))
-    return g.select(F.coalesce(F.col("opportunity_id").cast("string"), F.lit("All Opportunities")).alias("opportunity"), "label", "n")
-
-
 MEASURES = ("visits", "muac", "age", "top_k")
 _FLW_MEASURES = "f AS (SELECT flw_id, COUNT(*) AS visits, AVG(muac_cm) AS muac, AVG(age_months) AS age, MAX(k) AS top_k FROM visits GROUP BY flw_id)"
 
@@ -154,114 +94,18 @@ def categorical_baseline(spark: SparkSession, d: str) -> DataFrame:
     return long.groupBy("field", "category").agg(F.count("*").alias("n"))
 
 
-@query("aggr_sva_score", with_views("""b AS (SELECT gender, COUNT(*) * 1.0 / (SELECT COUNT(gender) FROM visits) AS p FROM visits WHERE gender IS NOT NULL GROUP BY gender), t AS (SELECT flw_id, COUNT(gender) AS n FROM visits GROUP BY flw_id),
-c AS (SELECT flw_id, gender, COUNT(*) AS n FROM visits WHERE gender IS NOT NULL GROUP BY ALL)
-SELECT t.flw_id, ROUND(LEAST(SUM(ABS(COALESCE(c.n, 0) * 1.0 / t.n - b.p)) / 2, 1), 6) AS sva FROM t CROSS JOIN b LEFT JOIN c ON c.flw_id = t.flw_id AND c.gender = b.gender GROUP BY t.flw_id"""))
-def sva_score(spark: SparkSession, d: str) -> DataFrame:
-    """Half the summed distance between a worker's shares and the population's, over the baseline's categories."""
-    v = visits(spark, d).where("gender IS NOT NULL")
-    base = F.broadcast(v.agg(*(ratio(F.count_if(F.col("gender") == g), F.count("*")).alias(f"b_{g}") for g in ("female_child", "male_child"))))
-    own = v.groupBy("flw_id").agg(*(ratio(F.count_if(F.col("gender") == g), F.count("*")).alias(g) for g in ("female_child", "male_child")))
-    apart = sum((F.abs(F.col(g) - F.col(f"b_{g}")) for g in ("female_child", "male_child")), F.lit(0.0))
-    return own.join(base).select("flw_id", F.round(F.least(apart / 2, F.lit(1.0)), 6).alias("sva"))
-
-
-FILLED = ((0.3, 1.0), (0.6, 0.6), (0.8, 0.2), (0.95, 0.0))
-
-
-def ladder_sql(x: str, steps: tuple[tuple[float, float], ...]) -> str:
-    (x0, y0), *rest = steps
-    out = f"CASE WHEN {x} <= {x0} THEN {y0}"
-    for x1, y1 in rest:
-        out += f" WHEN {x} <= {x1} THEN {y0} + ({x} - {x0}) * ({y1 - y0}) / ({x1 - x0})"
-        x0, y0 = x1, y1
-    return out + f" ELSE {y0} END"
-
-
-@query("aggr_completion_anomaly", with_views("f AS (SELECT flw_id, COUNT(*) FILTER (WHERE gender IS NOT NULL AND gender <> '')::DOUBLE / COUNT(*) AS x FROM visits GROUP BY flw_id) SELECT flw_id, ROUND(" + ladder_sql("x", FILLED) + ", 6) AS anomaly FROM f"))
-def completion_anomaly(spark: SparkSession, d: str) -> DataFrame:
-    """Piecewise linear in the share of answers that are filled in."""
-    f = visits(spark, d).groupBy("flw_id").agg(ratio(F.count_if(F.expr("gender IS NOT NULL AND gender <> ''")), F.count("*")).alias("x"))
-    return f.select("flw_id", F.round(ladder(F.col("x"), *FILLED), 6).alias("anomaly"))
-
-
-YES = ((0.15, 0.0), (0.3, 0.5), (0.5, 1.0))
-
-
-@query("aggr_overreporting", with_views("f AS (SELECT flw_id, COUNT(*) FILTER (WHERE unwell IN ('true', '1', 'yes'))::DOUBLE / NULLIF(COUNT(*) FILTER (WHERE unwell <> ''), 0) AS x FROM visits GROUP BY flw_id) SELECT flw_id, ROUND(x, 6) AS yes_share, ROUND(" + ladder_sql("x", YES) + ", 6) AS overreporting FROM f"))
-def overreporting(spark: SparkSession, d: str) -> DataFrame:
-    f = visits(spark, d).groupBy("flw_id").agg(ratio(F.count_if(F.col("unwell").isin("true", "1", "yes")), F.count_if(F.col("unwell") != ""), None).alias("x"))
-    return f.select("flw_id", F.round("x", 6).alias("yes_share"), F.round(ladder(F.col("x"), *YES), 6).alias("overreporting"))
-
-
 @query("aggr_blank_shares", with_views("SELECT flw_id, ROUND(COUNT(*) FILTER (WHERE unwell IS NULL OR unwell = '') * 1.0 / COUNT(*), 6) AS unwell_blank, ROUND(COUNT(*) FILTER (WHERE gender IS NULL) * 1.0 / COUNT(*), 6) AS gender_blank, ROUND(COUNT(*) FILTER (WHERE unwell IN ('true', '1', 'yes')) * 1.0 / COUNT(*), 6) AS unwell_yes FROM visits GROUP BY flw_id"))
 def blank_shares(spark: SparkSession, d: str) -> DataFrame:
     share = lambda c: F.round(F.count_if(c) / F.count("*"), 6)
     return visits(spark, d).groupBy("flw_id").agg(share(F.expr("unwell IS NULL OR unwell = ''")).alias("unwell_blank"), share(F.col("gender").isNull()).alias("gender_blank"), share(F.col("unwell").isin("true", "1", "yes")).alias("unwell_yes"))
 
 
-def age_shares(v: DataFrame, size: int, most: int = 60) -> DataFrame:
-    """(flw_id, n, p): shares of the age bins below `most`, empty bins among them."""
-    k = most // size
-    in_range = v.where(F.col("age_months").between(0, most - 1))
-    counts = in_range.groupBy("flw_id").agg(F.count("*").alias("n"), *(F.count_if(F.floor(F.col("age_months") / size) == i).alias(f"c{i}") for i in range(k)))
-    return counts.select("flw_id", "n", F.array(*(F.col(f"c{i}") / F.col("n") for i in range(k))).alias("p"))
-
-
-def _age_sql(size: int, out: str) -> str:
-    k = 60 // size
-    return with_views(f"c AS (SELECT flw_id, COUNT(*) AS n, [" + ", ".join(f"COUNT(*) FILTER (WHERE age_months // {size} = {i})::DOUBLE / COUNT(*)" for i in range(k)) + f"] AS p FROM visits WHERE age_months BETWEEN 0 AND 59 GROUP BY flw_id) SELECT flw_id, ROUND({out}, 6) AS score FROM c")
-
-
-@query("aggr_age_variance_bins", _age_sql(5, "(list_sum(list_transform(p, lambda x: x * x)) - 1.0 / 12) / 11"))
-def age_variance_bins(spark: SparkSession, d: str) -> DataFrame:
-    """Sample variance of the bins' shares, which sum to one."""
-    squares = F.aggregate("p", F.lit(0.0), lambda a, x: a + x * x)
-    return age_shares(visits(spark, d), 5).select("flw_id", F.round((squares - 1.0 / 12) / 11, 6).alias("score"))
-
-
-@query("aggr_age_from_uniform", _age_sql(12, "list_sum(list_transform(p, lambda x: ABS(x - 0.2)))"))
-def age_from_uniform(spark: SparkSession, d: str) -> DataFrame:
-    return age_shares(visits(spark, d), 12).select("flw_id", F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + F.abs(x - 0.2)), 6).alias("score"))
-
-
-@query("aggr_age_yearly_imbalance", _age_sql(12, "LEAST(list_sum(list_transform(p, lambda x: ABS(x - 0.2))) / 1.6, 1)"))
-def age_yearly_imbalance(spark: SparkSession, d: str) -> DataFrame:
-    apart = F.aggregate("p", F.lit(0.0), lambda a, x: a + F.abs(x - 0.2))
-    return age_shares(visits(spark, d), 12).select("flw_id", F.round(F.least(apart / 1.6, F.lit(1.0)), 6).alias("score"))
-
-
-@query("aggr_age_monthly_perfection", _age_sql(5, "CASE WHEN n >= 20 AND list_sum(list_transform(p, lambda x: ABS(x - 1.0 / 12))) / 2 < 0.15 THEN (0.15 - list_sum(list_transform(p, lambda x: ABS(x - 1.0 / 12))) / 2) / 0.15 ELSE 0 END"))
-def age_monthly_perfection(spark: SparkSession, d: str) -> DataFrame:
-    """Ages that are spread too evenly."""
-    apart = F.aggregate("p", F.lit(0.0), lambda a, x: a + F.abs(x - 1.0 / 12)) / 2
-    return age_shares(visits(spark, d), 5).select("flw_id", F.round(F.when((F.col("n") >= 20) & (apart < 0.15), (0.15 - apart) / 0.15).otherwise(0.0), 6).alias("score"))
-
-
 @query("aggr_age_brackets", with_views("SELECT flw_id, " + ", ".join(f"COUNT(*) FILTER (WHERE age_months BETWEEN {a} AND {b}) AS age_{a}_{b}" for a, b in ((0, 5), (6, 11), (12, 23), (24, 35), (36, 59))) + ", ROUND(100.0 * COUNT(*) FILTER (WHERE age_months BETWEEN 0 AND 5) / COUNT(*), 4) AS infants_pct FROM visits GROUP BY flw_id"))
 def age_brackets(spark: SparkSession, d: str) -> DataFrame:
     between = lambda a, b: F.count_if(F.col("age_months").between(a, b))
     return visits(spark, d).groupBy("flw_id").agg(*(between(a, b).alias(f"age_{a}_{b}") for a, b in ((0, 5), (6, 11), (12, 23), (24, 35), (36, 59))), F.round(100.0 * between(0, 5) / F.count("*"), 4).alias("infants_pct"))
 
 
-def muac_bins(v: DataFrame) -> DataFrame:
-    """(flw_id, n, bins): twelve half-open bins of one centimetre from 9.5."""
-    counts = v.groupBy("flw_id").agg(F.count("muac_cm").alias("n"), *(F.count_if((F.col("muac_cm") >= 9.5 + i) & (F.col("muac_cm") < 10.5 + i)).alias(f"b{i}") for i in range(12)))
-    return counts.select("flw_id", "n", F.array(*(F.col(f"b{i}") for i in range(12))).alias("bins"))
-
-
-@query("aggr_muac_shape_tests", with_views("b AS (SELECT flw_id, COUNT(muac_cm) AS n, [" + ", ".join(f"COUNT(*) FILTER (WHERE muac_cm >= {9.5 + i} AND muac_cm < {10.5 + i})" for i in range(12)) + """] AS bins FROM visits GROUP BY flw_id)
-SELECT flw_id, n, list_max(bins) > 0.6 * n AS is_peaked, len(list_filter(bins, lambda x: x > 0)) < 4 AS is_narrow, list_position(bins, list_max(bins)) - 1 AS peak_bin,
- len(list_filter(range(1, 12), lambda i: bins[i + 1] < bins[i])) AS falls FROM b"""))
-def muac_shape_tests(spark: SparkSession, d: str) -> DataFrame:
-    """Shape of a worker's measurements: one bin with most of them, few bins, where the peak is, how often it falls."""
-    top = F.array_max("bins")
-    falls = F.size(F.filter(F.zip_with(F.slice("bins", 2, 11), F.slice("bins", 1, 11), lambda b, a: b < a), lambda x: x))
-    return muac_bins(visits(spark, d)).select(
-        "flw_id", "n", (top > 0.6 * F.col("n")).alias("is_peaked"), (F.size(F.filter("bins", lambda x: x > 0)) < 4).alias("is_narrow"), (F.array_position("bins", top) - 1).alias("peak_bin"), falls.alias("falls")
-    )
-
-
 @query("aggr_muac_moments", with_views("SELECT flw_id, COUNT(muac_cm) AS n, ROUND(AVG(muac_cm), 6) AS mean, ROUND(stddev_pop(muac_cm), 6) AS sd, ROUND(AVG(POW(muac_cm - m, 3)) / POW(stddev_pop(muac_cm), 3), 5) AS skew, ROUND(AVG(POW(muac_cm - m, 4)) / POW(stddev_pop(muac_cm), 4), 5) AS kurtosis FROM (SELECT *, AVG(muac_cm) OVER (PARTITION BY flw_id) AS m FROM visits) GROUP BY flw_id"))
 def muac_moments(spark: SparkSession, d: str) -> DataFrame:
     """Population skewness and Pearson kurtosis (3 for a normal distribution)."""
@@ -274,23 +118,6 @@ def muac_slope(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("flw_id").agg(F.round(F.regr_slope("n", "b"), 6).alias("slope"))
 
 
-def weighted_composite(parts: list[tuple[Column, float]]) -> Column:
-    """Σ weight × score / Σ weight over the scores that aren't null."""
-    top = sum((F.coalesce(c * w, F.lit(0.0)) for c, w in parts), F.lit(0.0))
-    return F.try_divide(top, sum((F.when(c.isNotNull(), w).otherwise(0.0) for c, w in parts), F.lit(0.0)))
-
-
-@query("aggr_composite_fraud_score", with_views("""f AS (SELECT flw_id, COUNT(*) FILTER (WHERE gender IS NOT NULL)::DOUBLE / COUNT(*) AS filled, COUNT(*) FILTER (WHERE unwell = 'yes')::DOUBLE / NULLIF(COUNT(*) FILTER (WHERE unwell <> ''), 0) AS yes, CASE WHEN COUNT(*) >= 60 THEN stddev_samp(muac_cm) END AS sd FROM visits GROUP BY flw_id),
-s AS (SELECT flw_id, """ + ladder_sql("filled", FILLED) + " AS a, CASE WHEN yes IS NOT NULL THEN " + ladder_sql("yes", YES) + """ END AS b, CASE WHEN sd < 3 THEN 1.0 WHEN sd IS NOT NULL THEN 0.0 END AS c FROM f)
-SELECT flw_id, ROUND((COALESCE(a * 2, 0) + COALESCE(b * 3, 0) + COALESCE(c * 5, 0)) / (CASE WHEN a IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN b IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN c IS NOT NULL THEN 5 ELSE 0 END), 6) AS composite FROM s"""))
-def composite_fraud_score(spark: SparkSession, d: str) -> DataFrame:
-    f = visits(spark, d).groupBy("flw_id").agg(
-        ratio(F.count("gender"), F.count("*")).alias("filled"), ratio(F.count_if(F.col("unwell") == "yes"), F.count_if(F.col("unwell") != ""), None).alias("yes"), F.when(F.count("*") >= 60, F.stddev_samp("muac_cm")).alias("sd")
-    )
-    narrow = F.when(F.col("sd") < 3, 1.0).when(F.col("sd").isNotNull(), 0.0)
-    return f.select("flw_id", F.round(weighted_composite([(ladder(F.col("filled"), *FILLED), 2.0), (ladder(F.col("yes"), *YES), 3.0), (narrow, 5.0)]), 6).alias("composite"))
-
-
 @query("aggr_risk_buckets", with_views("f AS (SELECT flw_id, COUNT(*) FILTER (WHERE unwell = 'yes')::DOUBLE / COUNT(*) AS s FROM visits GROUP BY flw_id) SELECT CASE WHEN s > 0.5 THEN 'high' WHEN s > 0.2 THEN 'medium' ELSE 'low' END AS risk, COUNT(*) AS flws FROM f GROUP BY 1"))
 def risk_buckets(spark: SparkSession, d: str) -> DataFrame:
     s = ratio(F.count_if(F.col("unwell") == "yes"), F.count("*"))

@@ -38,6 +38,31 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Questions of the survey form that are answered with yes or no, or left blank.
+QUESTIONS = ("glasses", "diarrhea", "diagnosed", "recent_dose", "dose_before", "any_vaccine", "treated")
+DILIGENCE = tuple(f"diligence_{i}" for i in range(1, 16))
+
+
+def _answer(i: int) -> str:
+    x = f"(visit_id * {2 * i + 3} + flw_id * {i + 1})"
+    return f"CASE WHEN {x} % {4 + 3 * i} = 0 THEN '' WHEN {x} % (3 + flw_id % 4) = 0 THEN 'yes' ELSE 'no' END AS {QUESTIONS[i]}"
+
+
+_ANSWERS = (
+    *(_answer(i) for i in range(len(QUESTIONS))),
+    "CASE WHEN visit_id % 17 = 0 THEN '' WHEN muac_cm < 9.5 + flw_id % 4 THEN 'Red' WHEN muac_cm < 11.5 + flw_id % 3 THEN 'Yellow' ELSE 'Green' END AS muac_colour",
+    "CASE WHEN visit_id % 23 = 0 THEN '' WHEN visit_id * 7 % (3 + flw_id % 6) = 0 THEN 'true' ELSE 'false' END AS all_no",
+    "CASE WHEN flw_id % 3 = 0 THEN muac_cm ELSE 9.5 + ((visit_id * 37 + flw_id) % 60 + (visit_id * 53 + 7 * flw_id) % 60) / 10.0 END AS measured_cm",
+    *(f"CASE WHEN visit_id % 19 = 0 THEN NULL ELSE CAST(visit_id * {j + 2} % (1 + (flw_id + {j}) % 3) AS VARCHAR(9)) END AS {name}" for j, name in enumerate(DILIGENCE)),
+)
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits with the answers to the survey form."""
+    typed = [a.replace("9.5", "9.5D").replace("10.0", "10.0D").replace("11.5", "11.5D").replace("VARCHAR(9)", "STRING") for a in _ANSWERS]
+    return visits(spark, sf_dir).selectExpr("*", *typed)
+
+
 def delivery_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per delivery unit (du) of a service area."""
     o, c, li = (table(spark, sf_dir, x) for x in ("orders", "customer", "lineitem"))
@@ -80,6 +105,7 @@ VISITS_SQL = """visits AS (SELECT event_id AS visit_id, user_id AS flw_id, conca
  9.5::DOUBLE + CAST((event_id * 37 + user_id) % 120 AS DOUBLE) / 10.0::DOUBLE AS muac_cm, user_id * 100 + event_id % 40 AS case_id,
  9.0::DOUBLE + CAST(CAST(json_extract_string(props, '$.k') AS INT) AS DOUBLE) / 1000.0::DOUBLE AS latitude,
  7.0::DOUBLE + CAST(event_id % 100 AS DOUBLE) / 1000.0::DOUBLE AS longitude FROM events)"""
+ANSWERS_SQL = "answers AS (SELECT *, " + ", ".join(a.replace("9.5", "9.5::DOUBLE").replace("10.0", "10.0::DOUBLE").replace("11.5", "11.5::DOUBLE") for a in _ANSWERS) + " FROM visits)"
 DUS_SQL = """dus AS (SELECT o.o_orderkey AS du_name, c.c_nationkey AS service_area_id, o.o_custkey AS flw_id,
  CASE o.o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'visited' ELSE 'unvisited' END AS status,
  COUNT(l.l_orderkey) AS buildings, CAST(COALESCE(SUM(l.l_quantity), 0) AS BIGINT) AS delivery_count,
@@ -91,7 +117,8 @@ CELLS_SQL = "cells AS (SELECT CAST(p_partkey AS BIGINT) // 50 AS row, p_partkey
 
 def with_views(body: str) -> str:
     """A query over visits, dus and cells; the body may begin with further common table expressions ('a AS (...), ... SELECT')."""
-    parts = [sql for name, sql in (("visits", VISITS_SQL), ("dus", DUS_SQL), ("cells", CELLS_SQL)) if name in body]
+    wanted = body + " visits" if "answers" in body else body
+    parts = [sql for name, sql in (("visits", VISITS_SQL), ("answers", ANSWERS_SQL), ("dus", DUS_SQL), ("cells", CELLS_SQL)) if name in wanted]
     body = body.strip()
     further = "" if body.upper().startswith("SELECT") else ", "
     return "WITH " + ", ".join(parts) + (further or " ") + body
