@@ -60,4 +60,5 @@ def test_rows_equal_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs_without_sql(spark, name):
-    assert QUERIES[name](spark, SF_DIR).columns
+    df = QUERIES[name](spark, SF_DIR)
+    assert len(df.toPandas().columns) == len(df.columns)

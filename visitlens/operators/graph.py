@@ -1,42 +1,41 @@
-"""Connected components by least labels."""
+"""Connected components by stars."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from visitlens.sources.storage import saved
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    return edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
 
-def _saved(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder (spark.checkpoint.dir; a folder of our own where that is unset)."""
-    sc = df.sparkSession.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="visitlens-"))
-        path = sc._jsc.sc().getCheckpointDir().get()
-    path = f"{path.rstrip('/')}/labels-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _star(edges: DataFrame) -> DataFrame:
+    """Every node's larger neighbours linked to the least it knows, then what each node is linked to linked to the least of it."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    moved = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _ordered(moved.unionByName(least.withColumnRenamed("m", "v")))
 
 
 def min_label_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of all nodes (id), component the least id that can be reached by edges (u, v), either way.
 
-    Each round a node takes the least label among its own, its neighbours', and its label's label, so that chains halve;
-    the labels are written to the shared folder, which bounds the lineage and survives a lost executor.
+    Large and small stars in turn: the number of edges never grows and the rounds are logarithmic in the nodes. A round's
+    edges are written to the shared folder, which bounds the lineage and survives a lost executor.
     """
-    both = _saved(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = _saved(nodes.distinct().withColumn("component", F.col("id")))
+    now, state = saved(_ordered(edges), "edges"), None
     for _ in range(rounds):
-        near = both.join(labels, both["v"] == labels["id"]).groupBy("u").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["id"] == near["u"], "left").select("id", "component", F.least("component", "near").alias("next"))
-        jump = step.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        new = _saved(step.join(jump, "next", "left").select("id", "component", F.least("next", "far").alias("new")))
-        moved = new.where("new < component").limit(1).count()
-        labels = new.select("id", F.col("new").alias("component"))
-        if not moved:
-            return labels
-    raise RuntimeError(f"labels did not settle in {rounds} rounds")
+        now = saved(_star(now), "edges")
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == state:
+            break
+        state = mark
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    roots = now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+    return nodes.distinct().join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

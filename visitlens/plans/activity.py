@@ -231,12 +231,15 @@ def cube_margins(spark: SparkSession, d: str) -> DataFrame:
     return c.fillna("TOTAL", ["opportunity_name", "status"])
 
 
-@query("aggr_daily_heatmap", with_views("""m AS (SELECT MIN(visit_day) AS d0 FROM visits) SELECT flw_id, """ + ", ".join(f"COUNT(*) FILTER (WHERE date_diff('day', d0, visit_day) = {i}) AS day_{i}" for i in range(14)) + " FROM visits, m GROUP BY flw_id"))
+@query("aggr_daily_heatmap", with_views("""m AS (SELECT MIN(visit_day) AS a, MAX(visit_day) AS b FROM visits), s AS (SELECT flw_id, CAST(UNNEST(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS visit_day FROM (SELECT DISTINCT flw_id FROM visits), m)
+SELECT s.flw_id, s.visit_day, COUNT(v.visit_id) AS n, ROUND(AVG(v.value), 6) AS mean_value FROM s LEFT JOIN visits v ON v.flw_id = s.flw_id AND v.visit_day = s.visit_day GROUP BY s.flw_id, s.visit_day"""))
 def daily_heatmap(spark: SparkSession, d: str) -> DataFrame:
-    """Worker by day: counts of the first fourteen days, zero where there is none."""
+    """Worker by day over all days: counts, zero where there is none, and the day's mean value, null there."""
     v = visits(spark, d)
-    day = F.date_diff("visit_day", "d0")
-    return v.join(F.broadcast(v.agg(F.min("visit_day").alias("d0")))).groupBy("flw_id").agg(*(F.count_if(day == i).alias(f"day_{i}") for i in range(14)))
+    span = F.broadcast(v.agg(F.min("visit_day").alias("a"), F.max("visit_day").alias("b")))
+    spine = v.select("flw_id").distinct().join(span).select("flw_id", F.explode(F.sequence("a", "b")).alias("visit_day"))
+    days = v.groupBy("flw_id", "visit_day").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+    return spine.join(days, ["flw_id", "visit_day"], "left").fillna(0, ["n"])
 
 
 @query("aggr_daily_matrix", with_views("SELECT flw_id, visit_day, COUNT(*) AS n FROM visits GROUP BY ALL"))

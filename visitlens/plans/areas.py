@@ -143,15 +143,15 @@ def key_lookup(spark: SparkSession, d: str) -> DataFrame:
     return v.join(u, v.visit_id == u.du_name).select("visit_id", u.status.alias("du_status"), "buildings")
 
 
-@query("join_full_outer_chain", with_views("""a AS (SELECT flw_id, COUNT(*) AS visits FROM visits WHERE flw_id % 2 = 0 GROUP BY flw_id), b AS (SELECT flw_id, COUNT(*) AS dus FROM dus WHERE flw_id < 200 GROUP BY flw_id), c AS (SELECT flw_id, MAX(k) AS top FROM visits WHERE flw_id % 3 = 0 GROUP BY flw_id)
+@query("join_full_outer_chain", with_views("""a AS (SELECT flw_id, COUNT(*) AS visits FROM visits WHERE status = 'approved' GROUP BY flw_id), b AS (SELECT flw_id, COUNT(*) AS dus FROM dus GROUP BY flw_id), c AS (SELECT flw_id, MAX(k) AS top FROM visits WHERE status = 'rejected' GROUP BY flw_id)
 SELECT CAST(flw_id AS VARCHAR) AS flw_id, visits, dus, top FROM a FULL JOIN b USING (flw_id) FULL JOIN c USING (flw_id)"""))
 def full_outer_chain(spark: SparkSession, d: str) -> DataFrame:
     """Three per-worker tables merged on a text key, whichever has the worker."""
     v = visits(spark, d)
     text = F.col("flw_id").cast("string").alias("flw_id")
-    a = v.where("flw_id % 2 = 0").groupBy(text).agg(F.count("*").alias("visits"))
-    b = delivery_units(spark, d).where("flw_id < 200").groupBy(text).agg(F.count("*").alias("dus"))
-    c = v.where("flw_id % 3 = 0").groupBy(text).agg(F.max("k").alias("top"))
+    a = v.where("status = 'approved'").groupBy(text).agg(F.count("*").alias("visits"))
+    b = delivery_units(spark, d).groupBy(text).agg(F.count("*").alias("dus"))
+    c = v.where("status = 'rejected'").groupBy(text).agg(F.max("k").alias("top"))
     return a.join(b, "flw_id", "full").join(c, "flw_id", "full")
 
 
@@ -183,10 +183,10 @@ def left_then_filter(spark: SparkSession, d: str) -> DataFrame:
     return v.join(u, v.visit_id == u.du_name, "left").where(~u.status.eqNullSafe("completed")).select("visit_id", u.status.alias("du_status"))
 
 
-@query("join_name_fallback", with_views("""n AS (SELECT flw_id, max_by(flw_name, visit_id) AS name FROM visits WHERE flw_id % 2 = 0 GROUP BY flw_id) SELECT du_name, COALESCE(n.name, CAST(dus.flw_id AS VARCHAR)) AS worker FROM dus LEFT JOIN n ON n.flw_id = dus.flw_id"""))
+@query("join_name_fallback", with_views("""n AS (SELECT flw_id, max_by(flw_name, visit_id) AS name FROM visits GROUP BY flw_id) SELECT du_name, COALESCE(n.name, CAST(dus.flw_id AS VARCHAR)) AS worker FROM dus LEFT JOIN n ON n.flw_id = dus.flw_id"""))
 def name_fallback(spark: SparkSession, d: str) -> DataFrame:
     """The last name seen of a worker, else the id itself."""
-    names = visits(spark, d).where("flw_id % 2 = 0").groupBy("flw_id").agg(F.max_by("flw_name", "visit_id").alias("name"))
+    names = visits(spark, d).groupBy("flw_id").agg(F.max_by("flw_name", "visit_id").alias("name"))
     return delivery_units(spark, d).join(names, "flw_id", "left").select("du_name", F.coalesce("name", F.col("flw_id").cast("string")).alias("worker"))
 
 
@@ -214,14 +214,20 @@ def interval_bins(spark: SparkSession, d: str) -> DataFrame:
     return a.join(f, (F.col("ax") < F.col("fy")) & (F.col("fx") < F.col("ay"))).groupBy("event_type", "j").agg(F.round(F.sum(overlap), 6).alias("weight"))
 
 
-@query("join_three_way_compare", with_views("""c AS (SELECT 100 AS res, ward_id, CAST(row AS VARCHAR) || '_' || col AS cell, population FROM cells UNION ALL SELECT 200, ward_id, (row // 2) || '_' || (col // 2), population FROM cells UNION ALL SELECT 300, ward_id, (row // 3) || '_' || (col // 3), population FROM cells)
-SELECT ward_id, COUNT(DISTINCT cell) FILTER (WHERE res = 100) AS cells_100, COUNT(DISTINCT cell) FILTER (WHERE res = 200) AS cells_200, COUNT(DISTINCT cell) FILTER (WHERE res = 300) AS cells_300, SUM(population) FILTER (WHERE res = 100) AS population FROM c GROUP BY ward_id"""))
+def _at_sql(s: int) -> str:
+    return f"(SELECT ward_id, COUNT(*) AS cells_{s}00, SUM(p) AS population_{s}00 FROM (SELECT ward_id, row // {s}, col // {s}, SUM(population) AS p FROM cells GROUP BY ALL) GROUP BY ward_id HAVING SUM(p) > {s} * 20)"
+
+
+@query("join_three_way_compare", with_views(f"SELECT ward_id, cells_100, population_100, cells_200, population_200, cells_300, population_300 FROM {_at_sql(1)} a FULL JOIN {_at_sql(2)} b USING (ward_id) FULL JOIN {_at_sql(3)} c USING (ward_id)"))
 def three_way_compare(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of a ward at three resolutions side by side, in one pass."""
+    """Wards at three resolutions side by side, each with its own least population: outer joins keep what any of them has."""
     from visitlens.sources.views import cells
 
-    at = lambda s: F.count_distinct(F.struct(F.floor(F.col("row") / s), F.floor(F.col("col") / s)))
-    return cells(spark, d).groupBy("ward_id").agg(at(1).alias("cells_100"), at(2).alias("cells_200"), at(3).alias("cells_300"), F.sum("population").alias("population"))
+    def at(s: int) -> DataFrame:
+        parents = cells(spark, d).groupBy("ward_id", F.floor(F.col("row") / s), F.floor(F.col("col") / s)).agg(F.sum("population").alias("p"))
+        return parents.groupBy("ward_id").agg(F.count("*").alias(f"cells_{s}00"), F.sum("p").alias(f"population_{s}00")).where(F.col(f"population_{s}00") > s * 20)
+
+    return at(1).join(at(2), "ward_id", "full").join(at(3), "ward_id", "full")
 
 
 @query("proj_du_dedupe_last", """WITH x AS (SELECT l_orderkey AS du_name, l_linenumber, l_partkey AS p, l_quantity FROM lineitem) SELECT du_name, max_by(l_quantity, row(l_linenumber, p, l_quantity)) AS quantity FROM x GROUP BY du_name""")

@@ -190,9 +190,9 @@ def json_extract(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("scal_split_like_cast", "SELECT c_custkey, split_part(c_name, '#', 2) AS number, c_name LIKE '%00%' AS has_00, CAST(round(c_acctbal) AS BIGINT) AS balance FROM customer WHERE c_acctbal <> floor(c_acctbal) + 0.5")
+@query("scal_split_like_cast", "SELECT c_custkey, split_part(c_name, '#', 2) AS number, c_name LIKE '%00%' AS has_00, CAST(CASE WHEN c_acctbal < 0 THEN -floor(-c_acctbal + 0.5) ELSE floor(c_acctbal + 0.5) END AS BIGINT) AS balance FROM customer")
 def split_like_cast(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").where("c_acctbal <> floor(c_acctbal) + 0.5").select("c_custkey", F.split_part("c_name", F.lit("#"), F.lit(2)).alias("number"), F.col("c_name").like("%00%").alias("has_00"), F.round("c_acctbal").cast("bigint").alias("balance"))
+    return table(spark, d, "customer").select("c_custkey", F.split_part("c_name", F.lit("#"), F.lit(2)).alias("number"), F.col("c_name").like("%00%").alias("has_00"), F.round("c_acctbal").cast("bigint").alias("balance"))
 
 
 @query("scal_contains_strip", "SELECT doc_id, contains(lower(text), 'license') AS mentions_license, length(trim(text)) AS n FROM documents")
@@ -297,18 +297,3 @@ def token_sort_ratio(a: str, b: str) -> float:
         hit = np.append(0, row[:-1] + (codes == ord(c)))
         row = np.maximum.accumulate(np.maximum(row, hit))
     return 200.0 * int(row[-1]) / (len(a) + len(b))
-
-
-@query("join_fuzzy_names")
-def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names matched within blocks (the same brand), the best ratio of eighty or more; the pairs' texts are compared in batches."""
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    a, b = p.where("p_partkey % 20 = 0"), p.where("p_partkey % 20 = 1")
-    pairs = a.select("p_brand", F.col("p_partkey").alias("a"), F.col("p_name").alias("a_name")).join(b.select("p_brand", F.col("p_partkey").alias("b"), F.col("p_name").alias("b_name")), "p_brand")
-
-    def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            yield pd.DataFrame({"a": x["a"], "b": x["b"], "ratio": [token_sort_ratio(s, t) for s, t in zip(x["a_name"], x["b_name"], strict=True)]})
-
-    scored = pairs.select("a", "b", "a_name", "b_name").mapInPandas(ratios, "a bigint, b bigint, ratio double").where("ratio >= 80")
-    return scored.groupBy("a").agg(F.max_by("b", F.struct("ratio", -F.col("b"))).alias("match"), F.round(F.max("ratio"), 4).alias("ratio"))

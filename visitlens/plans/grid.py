@@ -13,6 +13,7 @@ from visitlens.functions.columns import haversine_km, ratio, sorted_list
 from visitlens.operators.graph import min_label_components
 from visitlens.plans.ordered import HAVERSINE_SQL
 from visitlens.registry import query
+from visitlens.sources.storage import saved
 from visitlens.sources.views import cells, delivery_units, visits, with_views
 
 CATEGORY_SQL = "CASE WHEN population < 10 THEN 'Low' WHEN population < 30 THEN 'Medium' ELSE 'High' END"
@@ -198,22 +199,28 @@ def cell_components(spark: SparkSession, d: str) -> DataFrame:
     return min_label_components(c.select("id"), edges)
 
 
-@query("cluster_growth", "WITH RECURSIVE " + with_views("""p AS (SELECT DISTINCT k * 100 + visit_id % 100 AS id, k, visit_id % 100 AS x FROM visits WHERE k < 12), e AS (SELECT a.id AS u, b.id AS v FROM p a JOIN p b ON a.id <> b.id AND (a.k - b.k) * (a.k - b.k) + (a.x - b.x) * (a.x - b.x) <= 2),
-r AS (SELECT id, id AS root FROM p UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.id), l AS (SELECT id, MIN(root) AS component FROM r GROUP BY id)
-SELECT id, CASE WHEN COUNT(*) OVER (PARTITION BY component) >= 3 THEN component END AS cluster FROM l""").removeprefix("WITH "))
-def cluster_growth(spark: SparkSession, d: str) -> DataFrame:
-    """Single-link clusters within a radius: neighbours come from grid buckets, clusters of under three points are none."""
-    v = visits(spark, d).where("k < 12")
-    p = v.select((F.col("k") * 100 + F.col("visit_id") % 100).alias("id"), "k", (F.col("visit_id") % 100).alias("x")).distinct()
-    bucket = lambda c: F.floor(F.col(c) / 2).cast("int")
+def grown_clusters(points: DataFrame, reach: int, least: int) -> DataFrame:
+    """(id, cluster) of points (id, x, y, whole numbers): single-link clusters of points no farther apart than `reach`, named by
+    their least id; clusters of under `least` points are none. Neighbours come from grid buckets, equal places meet only once."""
+    places = saved(points.groupBy("x", "y").agg(F.min("id").alias("place"), F.count("*").alias("n")), "places")
+    bucket = lambda c: F.floor(F.col(c) / reach)
     around = F.sequence(F.lit(-1), F.lit(1))
-    spread = p.select("id", "k", "x", F.explode(F.transform(around, lambda i: bucket("k") + i)).alias("a")).withColumn("b", F.explode(F.transform(around, lambda i: bucket("x") + i)))
-    other = p.select(F.col("id").alias("v"), F.col("k").alias("k2"), F.col("x").alias("x2"), bucket("k").alias("a"), bucket("x").alias("b"))
-    d2 = (F.col("k") - F.col("k2")) * (F.col("k") - F.col("k2")) + (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2"))
-    edges = spread.join(other, ["a", "b"]).where((d2 <= 2) & (F.col("id") < F.col("v"))).select(F.col("id").alias("u"), "v")
-    labels = min_label_components(p.select("id"), edges)
-    n = F.count("*").over(Window.partitionBy("component"))
-    return labels.select("id", F.when(n >= 3, F.col("component")).alias("cluster"))
+    spread = places.select("place", "x", "y", F.explode(F.transform(around, lambda i: bucket("x") + i)).alias("a")).withColumn("b", F.explode(F.transform(around, lambda i: bucket("y") + i)))
+    other = places.select(F.col("place").alias("v"), F.col("x").alias("x2"), F.col("y").alias("y2"), bucket("x").alias("a"), bucket("y").alias("b"))
+    d2 = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
+    edges = spread.join(other, ["a", "b"]).where((d2 <= reach * reach) & (F.col("place") < F.col("v"))).select(F.col("place").alias("u"), "v")
+    labels = min_label_components(places.select(F.col("place").alias("id")), edges).withColumnRenamed("id", "place")
+    named = places.join(labels, "place")
+    sizes = named.groupBy("component").agg(F.sum("n").alias("size"))
+    cluster = F.when(F.col("size") >= least, F.col("component")).alias("cluster")
+    return points.select("id", "x", "y").join(named.join(sizes, "component"), ["x", "y"]).select("id", cluster)
+
+
+@query("cluster_growth")
+def cluster_growth(spark: SparkSession, d: str) -> DataFrame:
+    """All visits by their places, in steps of a ten-thousandth of a degree; places ten steps apart are linked."""
+    step = lambda c, start: F.round((F.col(c) - start) * 10_000).cast("bigint")
+    return grown_clusters(visits(spark, d).select(F.col("visit_id").alias("id"), step("latitude", 9.0).alias("x"), step("longitude", 7.0).alias("y")), reach=10, least=3)
 
 
 @query("scal_wkt_centroid", with_views("SELECT row, col, ROUND((col + 0.5)::DOUBLE, 4) AS x, ROUND((row + 0.5)::DOUBLE, 4) AS y FROM cells"))
@@ -304,21 +311,41 @@ def nearest_neighbour_tour(spark: SparkSession, d: str) -> DataFrame:
 def seed_radius_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Greedy balls around the first point not yet taken, per worker; balls of under three points release theirs."""
 
+    return ball_clusters(visits(spark, d).select("flw_id", "visit_id", "latitude", "longitude"), km=1.0, least=3)
+
+
+def ball_clusters(v: DataFrame, km: float, least: int) -> DataFrame:
+    """(flw_id, visit_id, cluster): cluster is the number of the visit whose ball took this one, or -1.
+
+    Places are what a worker's visits have in common: each with its number of visits and its first one. Balls only reach from
+    place to place within `km`, so places are split into components of grid cells that touch, and a task gets the places
+    of a component, in the order of their first visits; the result goes back to the visits by a join.
+    """
+    places = saved(v.groupBy("flw_id", "latitude", "longitude").agg(F.min("visit_id").alias("first"), F.count("*").alias("n")), "places")
+    lat, lon = km / 110.0, km / 100.0  # cells no smaller than a ball's reach at these latitudes
+    cell = places.withColumns({"a": F.floor(F.col("latitude") / lat), "b": F.floor(F.col("longitude") / lon)})
+    cells_ = saved(cell.groupBy("flw_id", "a", "b").agg(F.min("first").alias("id")), "cells")
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))))
+    to = cells_.select("flw_id", F.col("id").alias("u"), "a", "b", F.explode(steps).alias("s")).select("flw_id", "u", (F.col("a") + F.col("s.i")).alias("a"), (F.col("b") + F.col("s.j")).alias("b"))
+    labels = min_label_components(cells_.select("id"), to.join(cells_, ["flw_id", "a", "b"]).select("u", F.col("id").alias("v")))
+    of = cell.join(cells_, ["flw_id", "a", "b"]).join(labels, "id").select("component", "first", "n", "latitude", "longitude")
+
     def balls(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("visit_id").reset_index(drop=True)
-        p = np.radians(g[["latitude", "longitude"]].to_numpy())
-        cluster, done = np.full(len(p), -1), 0
+        g = g.sort_values("first").reset_index(drop=True)
+        p, n = np.radians(g[["latitude", "longitude"]].to_numpy()), g["n"].to_numpy()
+        cluster = np.full(len(p), -1)
         for i in range(len(p)):
             if cluster[i] >= 0:
                 continue
             a = np.sin((p[:, 0] - p[i, 0]) / 2) ** 2 + np.cos(p[i, 0]) * np.cos(p[:, 0]) * np.sin((p[:, 1] - p[i, 1]) / 2) ** 2
-            near = (2 * 6371.0 * np.arcsin(np.sqrt(a)) <= 1.0) & (cluster < 0)
-            if near.sum() >= 3:
-                cluster[near] = done
-                done += 1
-        return pd.DataFrame({"flw_id": g["flw_id"], "visit_id": g["visit_id"], "cluster": cluster})
-
-    return visits(spark, d).select("flw_id", "visit_id", "latitude", "longitude").groupBy("flw_id").applyInPandas(balls, "flw_id bigint, visit_id bigint, cluster bigint")
+            near = (2 * 6371.0 * np.arcsin(np.sqrt(a)) <= km) & (cluster < 0)
+            if n[near].sum() >= least:
+                cluster[near] = g["first"][i]
+        return pd.DataFrame({"first": g["first"], "cluster": cluster})
+
+    taken = of.groupBy("component").applyInPandas(balls, "first bigint, cluster bigint")
+    named = places.join(taken, "first").select("flw_id", "latitude", "longitude", "cluster")
+    return v.join(named, ["flw_id", "latitude", "longitude"]).select("flw_id", "visit_id", "cluster")
 
 
 @query("aggr_cluster_details", with_views("SELECT service_area_id, COUNT(*) AS n, ROUND(AVG(buildings), 6) AS mean_buildings, MIN(du_name) AS first_du, MAX(du_name) AS last_du, ROUND(100.0 * COUNT(*) FILTER (WHERE buildings = 1) / COUNT(*), 4) AS single_pct, ROUND(100.0 * COUNT(*) FILTER (WHERE buildings <= 5) / COUNT(*), 4) AS upto_five_pct FROM dus GROUP BY service_area_id"))

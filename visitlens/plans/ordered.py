@@ -98,10 +98,15 @@ def as_of_day_status(spark: SparkSession, d: str) -> DataFrame:
     return j.select("opportunity_id", "day", F.sum("n").over(w).alias("visits_so_far"), F.sum("fresh").over(w).alias("cases_so_far"), F.sum("n").over(week).alias("visits_week"))
 
 
-@query("win_timeline_by_day_number", with_views("""x AS (SELECT flw_id, date_diff('day', MIN(visit_day) OVER (PARTITION BY flw_id), visit_day) + 1 AS day FROM visits) SELECT flw_id, """ + ", ".join(f"COUNT(*) FILTER (WHERE day = {i}) AS day_{i}" for i in range(1, 16)) + " FROM x GROUP BY flw_id"))
+@query("win_timeline_by_day_number", with_views("""x AS (SELECT flw_id, date_diff('day', MIN(visit_day) OVER (PARTITION BY flw_id), visit_day) + 1 AS day FROM visits), c AS (SELECT flw_id, day, COUNT(*) AS n FROM x GROUP BY ALL),
+s AS (SELECT flw_id, UNNEST(range(1, MAX(day) + 1)) AS day FROM x GROUP BY flw_id) SELECT flw_id, day, COALESCE(n, 0) AS n FROM s LEFT JOIN c USING (flw_id, day)"""))
 def timeline_by_day_number(spark: SparkSession, d: str) -> DataFrame:
-    day = F.date_diff("visit_day", F.min("visit_day").over(Window.partitionBy("flw_id"))) + 1
-    return visits(spark, d).select("flw_id", day.alias("day")).groupBy("flw_id").agg(*(F.count_if(F.col("day") == i).alias(f"day_{i}") for i in range(1, 16)))
+    """Visits on each day from a worker's first to the last, zero where there is none."""
+    v = visits(spark, d).select("flw_id", "visit_day")
+    span = v.groupBy("flw_id").agg(F.min("visit_day").alias("a"), F.max("visit_day").alias("b"))
+    spine = span.select("flw_id", F.posexplode(F.sequence("a", "b")).alias("i", "visit_day"))
+    n = v.groupBy("flw_id", "visit_day").agg(F.count("*").alias("n"))
+    return spine.join(n, ["flw_id", "visit_day"], "left").select("flw_id", (F.col("i") + 1).cast("bigint").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("win_timeline_30_days", with_views("""x AS (SELECT flw_id, date_diff('day', MIN(visit_day) OVER (PARTITION BY flw_id), visit_day) + 1 AS day FROM visits) SELECT flw_id, """ + ", ".join(f"COUNT(*) FILTER (WHERE day = {i}) AS day_{i}" for i in range(1, 31)) + " FROM x GROUP BY flw_id"))

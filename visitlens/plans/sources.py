@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitlens.registry import query
+from visitlens.sources.storage import scratch
 from visitlens.sources.views import delivery_units, table, visits, with_views
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder for files under the session's shared one."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="visitlens-"))
-        path = sc._jsc.sc().getCheckpointDir().get()
-    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("src_csv_round_trip", "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Written as CSV with a header, read with a schema of its own."""

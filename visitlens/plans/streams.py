@@ -52,13 +52,16 @@ def stream_totals(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("user_id").agg(F.max_by(F.struct("n", "total"), "n").alias("x")).select("user_id", "x.n", F.round("x.total", 4).alias("total"))
 
 
-@query("strm_first_seen", "SELECT COUNT(*) AS n, COUNT(DISTINCT event_id) AS ids FROM events")
+@query("strm_first_seen", "SELECT event_id, ts, user_id, event_type, value FROM events")
 def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
-    return run_to_table(first_seen(event_stream(spark, d)), "append", "first-seen").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+    """Every event once, from a stream that has each of them twice."""
+    twice = event_stream(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    seen = run_to_table(first_seen(twice), "append", "first-seen")
+    return seen.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value")
 
 
-@query("strm_append_closed_windows", "WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS s, COUNT(*) AS n FROM events GROUP BY 1) SELECT COUNT(*) AS closed, CAST(SUM(n) AS BIGINT) AS n FROM w WHERE s + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE")
+@query("strm_append_closed_windows", "SELECT s AS window_start, n FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS s, COUNT(*) AS n FROM events GROUP BY 1) WHERE s + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE")
 def stream_append(spark: SparkSession, d: str) -> DataFrame:
     """Append mode: only windows that the watermark has passed, each once."""
     daily = event_stream(spark, d).groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
-    return run_to_table(daily, "append", "closed").agg(F.count("*").alias("closed"), F.sum("n").alias("n"))
+    return run_to_table(daily, "append", "closed").select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "n")

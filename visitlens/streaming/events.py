@@ -11,30 +11,33 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from visitlens.plans.sources import scratch
+from visitlens.sources.storage import scratch
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def event_stream(spark: SparkSession, sf_dir: str, late: str = "10 minutes") -> DataFrame:
-    """events as a stream, with a watermark on their time."""
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """events, one file or a folder of them, as a stream with a watermark on their time."""
+    raw = spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a plain path must be a folder
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
 def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs a stream over all that is there and returns what it wrote."""
+    """Runs a stream over all that is there and returns what it wrote, with the epoch that wrote it; nothing where no batch ran."""
     spark = stream.sparkSession
-    out, state = scratch(spark, name), scratch(spark, f"{name}-state")
+    out, state, epochs = scratch(spark, name), scratch(spark, f"{name}-state"), []
 
     def save(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # the same epoch again replaces itself
+        epochs.append(epoch)
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(save).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    schema = T.StructType([*stream.schema.fields, T.StructField("epoch", T.IntegerType())])
+    return spark.read.schema(schema).parquet(out) if epochs else spark.createDataFrame([], schema)
 
 
 def tumbling(stream: DataFrame, size: str) -> DataFrame:
