@@ -112,12 +112,6 @@ def tampering_impact(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("flw_id").agg(F.round(F.stddev_samp("muac_cm"), 6).alias("sd_before"), F.round(F.stddev_samp("noisy"), 6).alias("sd_after"), F.count_if(F.col("noisy") != F.col("muac_cm")).alias("tampered"))
 
 
-@query("aggr_multipart_dissolve", with_views("SELECT ward_id, COUNT(*) AS parts, string_agg(DISTINCT CAST(row AS VARCHAR), ';' ORDER BY CAST(row AS VARCHAR)) AS sources FROM cells GROUP BY ward_id"))
-def multipart_dissolve(spark: SparkSession, d: str) -> DataFrame:
-    """Parts of a ward gathered under its id, with their sources."""
-    return cells(spark, d).groupBy("ward_id").agg(F.count("*").alias("parts"), F.array_join(F.array_sort(F.collect_set(F.col("row").cast("string"))), ";").alias("sources"))
-
-
 @query("aggr_baseline_reference_row", with_views("""f AS (SELECT CAST(flw_id AS VARCHAR) AS flw, COUNT(*) FILTER (WHERE gender = 'female_child') * 1.0 / COUNT(gender) AS female FROM visits GROUP BY flw_id)
 SELECT 'BASELINE' AS flw, ROUND(COUNT(*) FILTER (WHERE gender = 'female_child') * 1.0 / COUNT(gender), 6) AS female FROM visits UNION ALL SELECT flw, ROUND(female, 6) FROM f"""))
 def baseline_reference_row(spark: SparkSession, d: str) -> DataFrame:

@@ -91,23 +91,6 @@ def grid_opportunity_summary(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("opportunity_id").agg(F.sum("population").alias("population"), F.count("*").alias("cells"), *(F.count_if(F.col("cat") == c).alias(c.lower()) for c in ("Low", "Medium", "High")))
 
 
-@query("aggr_ward_summary", with_views(VISIT_CELLS_SQL + """, a AS (SELECT row, col, COUNT(*) AS n FROM vc GROUP BY row, col)
-SELECT ward_id, COUNT(*) AS cells, COUNT(n) AS visited_cells, ROUND(COUNT(n) * 1.0 / COUNT(*), 6) AS visited_share, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS visits, ROUND(COALESCE(SUM(n), 0) / (0.18 * SUM(population)), 6) AS visits_per_eligible, SUM(population) FILTER (WHERE n IS NULL) AS unreached_population FROM cells c LEFT JOIN a ON a.row = c.row AND a.col = c.col GROUP BY ward_id"""))
-def ward_summary(spark: SparkSession, d: str) -> DataFrame:
-    a = visit_cells(visits(spark, d)).groupBy("row", "col").agg(F.count("*").alias("n"))
-    seen = F.coalesce(F.sum("n"), F.lit(0))
-    return cells(spark, d).join(a, ["row", "col"], "left").groupBy("ward_id").agg(
-        F.count("*").alias("cells"), F.count("n").alias("visited_cells"), F.round(F.count("n") / F.count("*"), 6).alias("visited_share"), seen.alias("visits"), F.round(seen / (0.18 * F.sum("population")), 6).alias("visits_per_eligible"), F.sum(F.when(F.col("n").isNull(), F.col("population"))).alias("unreached_population")
-    )
-
-
-@query("aggr_hamlet_buckets", with_views("h AS (SELECT ward_id, row // 4 AS r, col // 4 AS c, SUM(population) AS p FROM cells GROUP BY ALL) SELECT ward_id, " + ", ".join(f"COUNT(*) FILTER (WHERE p <= {t}) AS upto_{t}" for t in (50, 100, 200, 500)) + ", COUNT(*) FILTER (WHERE p > 100 AND p <= 500) AS from_100_to_500, COUNT(*) FILTER (WHERE p > 500) AS over_500, quantile_cont(p, 0.5) AS median_size FROM h GROUP BY ward_id"))
-def hamlet_buckets(spark: SparkSession, d: str) -> DataFrame:
-    h = cells(spark, d).groupBy("ward_id", F.expr("row div 4").alias("r"), F.expr("col div 4").alias("c")).agg(F.sum("population").alias("p"))
-    p = F.col("p")
-    return h.groupBy("ward_id").agg(*(F.count_if(p <= t).alias(f"upto_{t}") for t in (50, 100, 200, 500)), F.count_if((p > 100) & (p <= 500)).alias("from_100_to_500"), F.count_if(p > 500).alias("over_500"), F.percentile("p", 0.5).alias("median_size"))
-
-
 @query("aggr_grid_sanity", with_views("SELECT (SELECT SUM(population) FROM cells) AS at_100, (SELECT SUM(p) FROM (SELECT SUM(population) AS p FROM cells GROUP BY row // 2, col // 2)) AS at_200, (SELECT SUM(p) FROM (SELECT SUM(population) AS p FROM cells GROUP BY row // 3, col // 3)) = (SELECT SUM(population) FROM cells) AS is_equal"))
 def grid_sanity(spark: SparkSession, d: str) -> DataFrame:
     """Totals at each resolution must agree."""

@@ -154,14 +154,6 @@ def real_vs_fake(spark: SparkSession, d: str) -> DataFrame:
     return f.agg(F.round(real, 6).alias("real_mean"), F.round(fake, 6).alias("fake_mean"), F.round(real - fake, 6).alias("delta"))
 
 
-@query("aggr_case_locations", with_views("""r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY case_id ORDER BY visit_date, visit_id) AS i FROM visits)
-SELECT case_id, COUNT(*) AS visits, ROUND(MAX(latitude) - MIN(latitude), 6) AS lat_span, """ + ", ".join(f"MAX(latitude) FILTER (WHERE i = {i}) AS lat_{i}" for i in range(1, 7)) + " FROM r GROUP BY case_id"))
-def case_locations(spark: SparkSession, d: str) -> DataFrame:
-    """A case's first six places in columns, and the span of all."""
-    r = visits(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("case_id").orderBy("visit_date", "visit_id")))
-    return r.groupBy("case_id").agg(F.count("*").alias("visits"), F.round(F.max("latitude") - F.min("latitude"), 6).alias("lat_span"), *(F.max(F.when(F.col("i") == i, F.col("latitude"))).alias(f"lat_{i}") for i in range(1, 7)))
-
-
 @query("aggr_synthetic_indicator", with_views("SELECT opportunity_id, bool_or(flw_name LIKE '%_13%') AS is_synthetic FROM visits GROUP BY opportunity_id"))
 def synthetic_indicator(spark: SparkSession, d: str) -> DataFrame:
     return visits(spark, d).groupBy("opportunity_id").agg(F.bool_or(F.col("flw_name").like("%_13%")).alias("is_synthetic"))
