@@ -61,8 +61,12 @@ def _places() -> Column:
     return F.sequence(F.lit(0), F.lit(11))
 
 
-def shape_tests(bins: Column) -> dict[str, Column]:
-    """The six tests of twelve bins: enough bins, rising to the peak, falling from it, no gap, no plateau, no overweight peak."""
+def shape_tests(bins: Column, learnt: bool = False) -> dict[str, Column]:
+    """The six tests of twelve bins: enough bins, rising to the peak, falling from it, no gap, no plateau, no overweight peak.
+
+    As features to learn from, one step down is enough but needed, a plateau is that of the authenticity score, and the peak
+    holds 42 % at most.
+    """
     n, top = F.aggregate(bins, F.lit(0).cast("bigint"), lambda a, x: a + x), F.array_max(bins)
     peak = F.array_position(bins, top) - 1
     used = F.filter(_places(), lambda i: F.get(bins, i) > 0)
@@ -74,10 +78,10 @@ def shape_tests(bins: Column) -> dict[str, Column]:
     return {
         "five_bins": F.size(used) >= 5,
         "rising": F.exists(up, lambda s: s > 0) & ~F.exists(up, lambda s: s < -0.02 * n) & F.exists(F.slice(bins, F.lit(1), peak.cast("int")), lambda b: b >= top * 0.25),
-        "falling": (F.size(down) < 2) | ((F.size(F.filter(down, lambda s: s < 0)) >= 2) & ~F.exists(down, lambda s: s > 0.02 * n)),
+        "falling": (F.size(F.filter(down, lambda s: s < 0)) >= 1) & ~F.exists(down, lambda s: s > 0.02 * n) if learnt else (F.size(down) < 2) | ((F.size(F.filter(down, lambda s: s < 0)) >= 2) & ~F.exists(down, lambda s: s > 0.02 * n)),
         "no_gap": (F.size(large) <= 1) | ~F.exists(F.slice(bins, F.get(large, F.lit(0)) + 1, F.element_at(large, -1) - F.get(large, F.lit(0)) + 1), lambda b: b == 0),
-        "no_plateau": ~F.exists(F.sequence(F.lit(0), F.lit(9)), level),
-        "spread_peak": top <= 0.60 * n,
+        "no_plateau": longest_plateau(bins, n) < 3 if learnt else ~F.exists(F.sequence(F.lit(0), F.lit(9)), level),
+        "spread_peak": top <= (0.42 if learnt else 0.60) * n,
     }
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from visitlens.functions.columns import Z99, ladder, ratio, right_closed_bin, wilson
+from visitlens.functions.columns import Z99, ratio, right_closed_bin, wilson
+from visitlens.functions.scores import half_open_bins, shape_tests
 from visitlens.registry import query
-from visitlens.sources.views import visits, with_views
+from visitlens.sources.views import answers, visits, with_views
 
 GIRL = "gender = 'female_child'"
 
@@ -136,22 +137,40 @@ def field_distribution_50(spark: SparkSession, d: str) -> DataFrame:
     return v.join(r).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.round(F.percentile("k", 0.5), 6).alias("median_k"))
 
 
-@query("aggr_ml_features", with_views("""r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY flw_id ORDER BY visit_date, visit_id) AS i FROM visits), x AS (SELECT * FROM r WHERE i <= 60)
-SELECT flw_id, COUNT(*) AS visits, """ + ", ".join(f"COUNT(*) FILTER (WHERE age_months // 5 = {i}) AS age_bin_{i}" for i in range(12)) + ", COALESCE(ROUND(CASE WHEN COUNT(*) >= 50 THEN AVG(muac_cm) END, 6), -1) AS muac_mean, unwell_n FROM (SELECT *, COUNT(*) FILTER (WHERE unwell = 'yes') OVER (PARTITION BY flw_id) AS unwell_n FROM x) GROUP BY flw_id, unwell_n"))
+_FIRST_SQL = """r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY flw_id ORDER BY visit_date, visit_id) AS i FROM answers), x AS (SELECT * FROM r WHERE i <= 60),
+m AS (SELECT flw_id, COUNT(*) AS visits, COUNT(*) FILTER (WHERE measured_cm BETWEEN 9.5 AND 21.5) AS valid, [""" + ", ".join(f"COUNT(*) FILTER (WHERE measured_cm >= {9.5 + i} AND measured_cm < {10.5 + i})" for i in range(12)) + """] AS bins, """ + ", ".join(f"COUNT(*) FILTER (WHERE {'age_months >= 0' if i == 0 else f'age_months > {5 * i}'} AND age_months <= {5 * i + 5}) AS age_bin_{i}" for i in range(12)) + """,
+ CASE WHEN COUNT(*) >= 50 THEN ROUND(AVG(measured_cm), 6) ELSE -1 END AS cm_mean, CASE WHEN COUNT(*) >= 50 THEN ROUND(stddev_samp(measured_cm), 6) ELSE -1 END AS cm_sd, COUNT(*) FILTER (WHERE unwell = 'yes') AS unwell_n FROM x GROUP BY flw_id),
+s1 AS (SELECT *, CAST(list_sum(bins) AS DOUBLE) AS total, list_max(bins) AS top, list_position(bins, list_max(bins)) AS peak, list_filter(range(1, 13), lambda i: bins[i] > 0) AS used FROM m),
+s2 AS (SELECT *, list_filter(used, lambda i: i <= peak) AS u, list_filter(used, lambda i: i >= peak) AS w, list_filter(range(1, 13), lambda i: bins[i] >= 0.02 * total) AS large FROM s1),
+s3 AS (SELECT *, list_transform(range(2, len(u) + 1), lambda j: bins[u[j]] - bins[u[j - 1]]) AS ups, list_transform(range(2, len(w) + 1), lambda j: bins[w[j]] - bins[w[j - 1]]) AS downs FROM s2),
+ft AS (SELECT *, [len(used) >= 5, len(list_filter(ups, lambda x: x > 0)) > 0 AND len(list_filter(ups, lambda x: x < -0.02 * total)) = 0 AND len(list_filter(range(1, peak), lambda i: bins[i] >= 0.25 * top)) > 0,
+ len(list_filter(downs, lambda x: x < 0)) >= 1 AND len(list_filter(downs, lambda x: x > 0.02 * total)) = 0, len(large) <= 1 OR len(list_filter(range(large[1], large[-1] + 1), lambda i: bins[i] = 0)) = 0,
+ list_max(list_transform(range(1, 13), lambda i: list_max(list_transform(range(i, 13), lambda j: CASE WHEN list_min(bins[i:j]) >= 0.5 * top AND list_max(bins[i:j]) - list_min(bins[i:j]) <= 0.04 * total THEN j - i + 1 ELSE 1 END)))) < 3, top <= 0.42 * total] AS flags FROM s3)"""
+SHAPES = ("five_bins", "rising", "falling", "no_gap", "no_plateau", "spread_peak")
+
+
+@query("aggr_ml_features", with_views(_FIRST_SQL + " SELECT flw_id, visits, " + ", ".join(f"age_bin_{i}" for i in range(12)) + ", cm_mean, cm_sd, unwell_n, " + ", ".join(f"CASE WHEN valid >= 20 THEN flags[{i + 1}]::INT ELSE -1 END AS {name}" for i, name in enumerate(SHAPES)) + ", CASE WHEN valid >= 20 THEN list_sum(list_transform(flags, lambda f: f::INT))::INT ELSE -1 END AS shapes FROM ft"))
 def ml_features(spark: SparkSession, d: str) -> DataFrame:
-    """Features of the first sixty visits; -1 where there are too few."""
-    x = visits(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("flw_id").orderBy("visit_date", "visit_id"))).where("i <= 60")
-    return x.groupBy("flw_id").agg(
-        F.count("*").alias("visits"), *(F.count_if(F.floor(F.col("age_months") / 5) == i).alias(f"age_bin_{i}") for i in range(12)),
-        F.coalesce(F.round(F.when(F.count("*") >= 50, F.avg("muac_cm")), 6), F.lit(-1.0)).alias("muac_mean"), F.count_if(F.col("unwell") == "yes").alias("unwell_n"),
+    """Features of the first sixty visits: ages, measurements and six tests of their shape; -1 where there are too few."""
+    x = answers(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("flw_id").orderBy("visit_date", "visit_id"))).where("i <= 60")
+    few = lambda c: F.coalesce(F.round(F.when(F.count("*") >= 50, c), 6), F.lit(-1.0))
+    b = right_closed_bin("age_months", 0, 5.0)
+    m = x.groupBy("flw_id").agg(
+        F.count("*").alias("visits"), F.count_if(F.col("measured_cm").between(9.5, 21.5)).alias("valid"), half_open_bins("measured_cm").alias("bins"), *(F.count_if((b == i) & F.col("age_months").between(0, 60)).alias(f"age_bin_{i}") for i in range(12)),
+        few(F.avg("measured_cm")).alias("cm_mean"), few(F.stddev_samp("measured_cm")).alias("cm_sd"), F.count_if(F.col("unwell") == "yes").alias("unwell_n"),
     )
+    flags = {name: F.when(F.col("valid") >= 20, t.cast("int")).otherwise(-1) for name, t in shape_tests(F.col("bins"), learnt=True).items()}
+    shapes = F.when(F.col("valid") >= 20, sum((F.col(c) for c in SHAPES), F.lit(0))).otherwise(-1)
+    return m.withColumns(flags).withColumn("shapes", shapes).drop("valid", "bins")
 
 
-@query("aggr_real_vs_fake", with_views("f AS (SELECT flw_id, CASE WHEN flw_id % 3 = 0 THEN 'fake' ELSE 'real' END AS class, AVG(muac_cm) AS m FROM visits GROUP BY flw_id) SELECT ROUND(AVG(m) FILTER (WHERE class = 'real'), 6) AS real_mean, ROUND(AVG(m) FILTER (WHERE class = 'fake'), 6) AS fake_mean, ROUND(AVG(m) FILTER (WHERE class = 'real') - AVG(m) FILTER (WHERE class = 'fake'), 6) AS delta FROM f"))
+@query("aggr_real_vs_fake", with_views(_FIRST_SQL + ", k AS (SELECT flw_id % 3 = 0 AS fake, cm_mean, cm_sd, visits, " + ", ".join(f"CASE WHEN valid >= 20 THEN flags[{i + 1}]::INT END AS {name}" for i, name in enumerate(SHAPES)) + " FROM ft), a AS (SELECT " + ", ".join(f"AVG({c}) FILTER (WHERE NOT fake{x}) AS r_{c}, AVG({c}) FILTER (WHERE fake{x}) AS f_{c}" for c, x in (*((s, "") for s in SHAPES), ("visits", ""), ("cm_mean", " AND cm_mean <> -1"), ("cm_sd", " AND cm_sd <> -1"))) + " FROM k) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, ROUND(r_{c}, 6) AS real_mean, ROUND(f_{c}, 6) AS fake_mean, ROUND(r_{c} - f_{c}, 6) AS delta FROM a" for c in (*SHAPES, "visits", "cm_mean", "cm_sd"))))
 def real_vs_fake(spark: SparkSession, d: str) -> DataFrame:
-    f = visits(spark, d).groupBy("flw_id").agg(F.avg("muac_cm").alias("m"))
-    real, fake = (F.avg(F.when(c, F.col("m"))) for c in (F.col("flw_id") % 3 != 0, F.col("flw_id") % 3 == 0))
-    return f.agg(F.round(real, 6).alias("real_mean"), F.round(fake, 6).alias("fake_mean"), F.round(real - fake, 6).alias("delta"))
+    """Every feature's mean over real and over fake workers, -1 left out, and the difference."""
+    names = (*SHAPES, "visits", "cm_mean", "cm_sd")
+    long = ml_features(spark, d).select((F.col("flw_id") % 3 == 0).alias("fake"), *(F.col(c).cast("double").alias(c) for c in names)).unpivot(["fake"], list(names), "feature", "value").where("value <> -1")
+    real, fake = F.avg(F.when(~F.col("fake"), F.col("value"))), F.avg(F.when(F.col("fake"), F.col("value")))
+    return long.groupBy("feature").agg(F.round(real, 6).alias("real_mean"), F.round(fake, 6).alias("fake_mean"), F.round(real - fake, 6).alias("delta"))
 
 
 @query("aggr_synthetic_indicator", with_views("SELECT opportunity_id, bool_or(flw_name LIKE '%_13%') AS is_synthetic FROM visits GROUP BY opportunity_id"))
