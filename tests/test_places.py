@@ -29,7 +29,7 @@ def test_names_are_matched_as_by_comparing_all(spark):
         return "".join(out).upper()
 
     v = [(i, name(), "s", f"l{i % 2}", f"w{i % 4}") for i in range(120)] + [(900, "tudun wada", "s", "l0", "nowhere"), (901, "tudun wada", "other", "l0", "w0")]
-    s = [(1000 + i, bent(v[int(rng.integers(0, 120))][1]), "S", f"L{i % 2}", f"W{i % 4}") for i in range(150)]
+    s = [(1000 + i, bent(v[int(rng.integers(0, 120))][1]), "S", f"L{i % 2}", f"W{i % 4}") for i in range(150)] + [(2000, "Wada  TUDUN", "S", "L0", "W0")]
     frame = lambda rows: spark.createDataFrame(rows, "id long, name string, state string, lga string, ward string")
     got = {r.id: (r.match, r.ratio) for r in match_names(frame(v), frame(s)).collect()}
     want = {}
