@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the lowest id stays."""
+    """Of each group of near copies the row of the lowest id stays (null is the highest)."""
     return one_of_each_group(docs)
 
 

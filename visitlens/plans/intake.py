@@ -176,8 +176,8 @@ def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
     return match_names(villages(spark, d), settlements(spark, d))
 
 
-@query("src_latest_of_files", "SELECT 'visits_b.csv' AS file_name, 3 AS n_files, CAST((SELECT COUNT(*) FROM nation) AS BIGINT) AS n_rows")
-def latest_of_files(spark: SparkSession, d: str) -> DataFrame:
+@query("src_latest_file", "SELECT 'visits_b.csv' AS file_name, 3 AS n_files, CAST((SELECT COUNT(*) FROM nation) AS BIGINT) AS n_rows")
+def latest_file(spark: SparkSession, d: str) -> DataFrame:
     """The newest of the files of one domain by their time of change, office lock files left aside, and its rows."""
     import time
 
