@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; a longer document is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,13 @@ def steps(sizes: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int
         a, done = b, int(ends[b - 1])
 
 
+def in_turn(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, where rows become Python objects."""
+    for batch in batches:
+        for a in range(0, len(batch), rows):
+            yield batch.slice(a, rows)
+
+
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary or string column end to end (uint8) and n + 1 offsets; null counts as empty."""
     if column.null_count:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlens.llm.common import fresh, stored, table
+from visitlens.llm.common import fresh, in_turn, stored, table
 
 LINES = "doc bigint, h bigint, ids array<bigint>, ids2 array<bigint>, words array<int>"
 STRETCHES = "doc bigint, h bigint, start int, words array<int>, ranks array<bigint>"
@@ -51,7 +51,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
+        for batch in in_turn(batches):
             ids, words, ends = [], [], [0]
             for text in batch.column(2).to_pylist():
                 lines = text.split(b"\n")
@@ -93,7 +93,7 @@ def stretches(lines: DataFrame, least_words: int) -> DataFrame:
     found = _join_counted(each, twice, ["id", "id2"]).groupBy("doc", "h").agg(F.collect_list(F.struct("place", "rank")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_turn(batches):
             out: list[tuple] = []
             for doc, h, words, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found.sort(key=lambda x: x["place"])
@@ -124,7 +124,7 @@ def deepest(found: DataFrame, least_words: int) -> int:
     """The number of lines of the longest of these runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_turn(batches):
             most = max((int(spans(np.array(w, np.int64), least_words)[:, 1].max()) for w in batch.column(0).to_pylist()), default=0)
             yield pa.record_batch([pa.array([most], pa.int64())], names=["most"])
 
@@ -162,7 +162,7 @@ def run_places(found: DataFrame, levels: list[DataFrame], least_words: int) -> D
         together = together.join(level.select("sid", F.col("ranks").alias(f"r{k}")), "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_turn(batches):
             parts: list[np.ndarray] = []
             for doc, h, start, words, *ranks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = spans(np.array(words, np.int64), least_words)
@@ -186,7 +186,7 @@ def repeated_lines(docs: DataFrame, least_words: int = 50) -> DataFrame:
     later = _join_counted(windows, intervals, ["a", "b", "length"]).where(place != F.col("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_turn(batches):
             masks = []
             for runs in batch.column(2).to_pylist():
                 gone = np.zeros(max(r["start"] + r["length"] for r in runs), bool)

@@ -65,7 +65,7 @@ def word_looks(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
 
 
 class Grams:
-    """Distinct n-gram buckets of documents; per-word hashes are computed once for each distinct word of a worker."""
+    """Distinct n-gram buckets of documents; per-word hashes are computed once for each distinct word of a task."""
 
     def __init__(self):
         self.looks = WordCache(lambda raw, s, n: (np.stack([word_looks(raw, s, n), word_hashes(raw, s, n)[1]], 1).ravel(), np.full(len(s), 2)), np.uint64, 300_000)
@@ -95,23 +95,15 @@ class Grams:
         return both >> BITS, both & ((1 << BITS) - 1)
 
 
-_GRAMS: list[Grams] = []
-
-
-def _grams() -> Grams:
-    if not _GRAMS:
-        _GRAMS.append(Grams())
-    return _GRAMS[0]
-
-
 def gram_lists(rows: DataFrame, keep: str) -> DataFrame:
     """(keep, grams): the n-gram buckets of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Grams()
         for batch in batches:
             raw, offsets = flat_text(batch.column(1))
             for a, b in steps(np.diff(offsets)):
-                doc, bucket = _grams().buckets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                doc, bucket = of.buckets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b - a))]).astype(np.int32)
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], names=[keep, "grams"])
 
@@ -200,12 +192,12 @@ def with_quality(docs: DataFrame, model, name: str = "score", least: float | Non
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, wanted = shared.value
+        (weight, wanted), of = shared.value, Grams()
         for batch in batches:
             raw, offsets = flat_text(batch.column(columns.index(text)))
             scores = np.zeros(len(batch))
             for a, b in steps(np.diff(offsets)):
-                doc, bucket = _grams().buckets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], wanted)
+                doc, bucket = of.buckets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], wanted)
                 margin = np.bincount(doc, weight[bucket].astype(float), b - a) + bias
                 scores[a:b] = curve(squashed(margin)[:, None], shape, line)
             if least is None:

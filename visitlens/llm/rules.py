@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from visitlens.llm.common import fresh, table, training_rows
+from visitlens.llm.common import fresh, in_turn, table, training_rows
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_bytes", "n_letters", "n_digits", "n_capitals", "n_punctuation", "n_lines", "n_distinct", "longest_word", "entropy")
@@ -77,7 +77,7 @@ def with_statistics(docs: DataFrame, text: str = "text", name: str = "stats") ->
     kind = T.StructType([T.StructField(x, k) for x, k in zip(fields, kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_turn(batches, 2048):
             texts = batch.column(columns.index(text)).cast(pa.binary())
             rows = [statistics(x.as_py() or b"") for x in texts]
             parts = zip(*rows, strict=True) if rows else [[]] * len(fields)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from visitlens.llm.common import fresh, stored, table
+from visitlens.llm.common import fresh, in_turn, stored, table
 from visitlens.llm.components import connected_components
 
 _ROWS = 1 << 15
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, also: dict[str
     names = ["doc_id", "fp", *also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_turn(batches, 2048):
             fp = np.array([fingerprint(x or b"", words, seed) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.record_batch([batch.column(0), pa.array(fp), *batch.columns[2:]], names=names)
 
