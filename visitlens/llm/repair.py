@@ -63,9 +63,9 @@ def _pairs(seq: np.ndarray, last: np.ndarray) -> np.ndarray:
 def _frequent(key: np.ndarray, least: int) -> np.ndarray:
     """The keys with `least` places or more, the most frequent last; ties by key."""
     s = np.sort(key)
-    at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])[: len(s)])
     n = np.diff(np.append(at, len(s)))
-    enough = (n >= least) & (s[at] != _NONE)
+    enough = n >= least
     pairs, n = s[at[enough]], n[enough]
     return pairs[np.lexsort((pairs, n))]
 
@@ -81,15 +81,22 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, least: int = 12):
     slot = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).view(np.int64)
     while len(seq) > 1:
         key = _pairs(seq, last)
-        pairs = _frequent(key, least)
+        slots = slot(key)
+        full = np.bincount(slots, minlength=1 << _SLOT_BITS) >= least
+        some = np.flatnonzero(full[slots])  # a pair in a slot with fewer places can't be frequent
+        own = key[some]
+        real = own != _NONE
+        some, own = some[real], own[real]
+        pairs = _frequent(own, least)
         if not len(pairs):
             break
         in_slot[:], slots = _NONE, slot(pairs)
         in_slot[slots], rank_of[slots] = pairs, np.arange(1, len(pairs) + 1)  # of two in one slot the more frequent stays
-        slots = slot(key)
-        rank = np.where((in_slot[slots] == key) & (key != _NONE), rank_of[slots], 0)
-        before, after = np.append(0, rank[:-1]), np.append(rank[1:], 0)
-        at = np.flatnonzero((rank > before) & (rank > after))
+        slots = slot(own)
+        rank = np.zeros(len(key) + 2, np.int32)  # that of the place before at i, of the place i at i + 1, after it at i + 2
+        rank[some + 1] = np.where(in_slot[slots] == own, rank_of[slots], 0)
+        at = some[(rank[some + 1] > rank[some]) & (rank[some + 1] > rank[some + 2])]
+        rank = rank[1:-1]
         places = np.bincount(rank[at] - 1, minlength=len(pairs))
         chosen = places >= least  # the most frequent pair always is
         name = (len(length) - 1 + np.cumsum(chosen)).astype(np.uint64)
