@@ -1,7 +1,8 @@
-"""The registered queries of the ten text operators, and SQL for those that SQL can express."""
+"""The registered queries of the text operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
+from visitlens.llm.duckbpe import op12_duckdb_bpe
 from visitlens.llm.licenses import license_sql, op5_license_index
 from visitlens.llm.lines import lines_sql, op7_repeated_line_runs
 from visitlens.llm.media import op9_media_columns
@@ -11,6 +12,7 @@ from visitlens.llm.quality import op4_nbsvm_quality
 from visitlens.llm.repair import op6_repair_token_ids
 from visitlens.llm.rules import op3_decision_list_rules
 from visitlens.llm.simhash import op8_simhash_near_duplicates
+from visitlens.llm.spelling import op13_spelling_variants
 from visitlens.llm.toxicity import op1_kneser_ney_toxicity
 
 QUERIES = {
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
     "op9_media_columns": op9_media_columns,
     "op10_cutting_stock_packing": op10_cutting_stock_packing,
+    "op12_duckdb_bpe": op12_duckdb_bpe,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_license_index": license_sql(), "op7_repeated_line_runs": lines_sql()}
