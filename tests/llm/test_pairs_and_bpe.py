@@ -140,7 +140,7 @@ def test_long_words(bpe, library):
 def test_both_queries_contract_alike(bpe):
     r = random.Random(7)
     words = ["".join(r.choices("aeinst", k=r.randint(2, 40))).encode() for _ in range(500)]
-    assert bpe.contracted(words) == bpe.contracted(words, duckbpe._ALL_NEXT)
+    assert all((a == b).all() for a, b in zip(bpe.contracted(words), bpe.contracted(words, duckbpe._ALL_NEXT), strict=True))
 
 
 def test_decoding_in_parts(bpe, monkeypatch):

@@ -11,7 +11,7 @@ is still long goes through a query that contracts in one step all places that si
 of the least rank, from the left, up to the first that makes a pair of lower rank.
 
 Nulls: a null text is an empty one, with no ids and no bytes. Bytes that are no UTF-8 are read as U+FFFD. Texts of any
-length are encoded whole, in runs of documents of about half a megabyte, a longer text in a run of its own; they are decoded
+length are encoded whole, in runs of documents of about four megabytes, a longer text in a run of its own; they are decoded
 in parts of `PART` ids. Null ids of documents and repeated rows stay, with one result for each row. An empty table gives an
 empty result; extra columns are ignored, whatever their names.
 """
@@ -34,20 +34,21 @@ SHORT, PART = 64, 1 << 17
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
 #: The code points with the property White_Space.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-#: Words that one recursive query takes.
-_WORDS = 8192
+#: Words that one recursive query takes, and bytes of text that are split at a time.
+_WORDS, _STEP = 1 << 15, 1 << 22
 
 _LEFTMOST = """WITH RECURSIVE t(w, pos, tok, nx, npos, done) AS (
-  SELECT w, pos, tok, lead(tok) OVER x, lead(pos) OVER x, false FROM words WINDOW x AS (PARTITION BY w ORDER BY pos)
+  SELECT w, pos, tok, CASE WHEN lead(w) OVER x = w THEN lead(tok) OVER x END, lead(pos) OVER x, false
+  FROM words WINDOW x AS (ORDER BY w, pos)
   UNION ALL
-  SELECT w, pos, tok, lead(tok) OVER x, lead(pos) OVER x, done FROM (
+  SELECT w, pos, tok, CASE WHEN lead(w) OVER x = w THEN lead(tok) OVER x END, lead(pos) OVER x, done FROM (
     SELECT t.w, t.pos, CASE WHEN t.pos = best // 256 % 256 THEN best >> 16 ELSE t.tok END AS tok, best IS NULL AS done
     FROM t LEFT JOIN (
       SELECT w, min((rank << 16) + pos * 256 + npos) AS best
       FROM t JOIN merges ON pair = t.tok << 32 | t.nx WHERE NOT done GROUP BY w) AS least ON t.w = least.w
     WHERE NOT t.done AND (best IS NULL OR t.pos <> best % 256))
-  WINDOW x AS (PARTITION BY w ORDER BY pos))
-SELECT w, list(tok ORDER BY pos) AS ids FROM t WHERE done GROUP BY w ORDER BY w"""
+  WINDOW x AS (ORDER BY w, pos))
+SELECT w, pos, tok FROM t WHERE done"""
 
 _ALL_NEXT = """WITH RECURSIVE t(w, pos, tok, done) AS (
   SELECT w, pos, tok, false FROM words
@@ -70,7 +71,7 @@ _ALL_NEXT = """WITH RECURSIVE t(w, pos, tok, done) AS (
     SELECT p.w, p.pos, coalesce(one.least, p.tok), p.least IS NULL
     FROM p LEFT JOIN taken one ON one.w = p.w AND one.i = p.i LEFT JOIN taken two ON two.w = p.w AND two.i + 1 = p.i
     WHERE two.i IS NULL))
-SELECT w, list(tok ORDER BY pos) AS ids FROM t WHERE done GROUP BY w ORDER BY w"""
+SELECT w, pos, tok FROM t WHERE done"""
 
 _DECODE = """SELECT part, unhex(array_to_string(list(spelled ORDER BY pos), '')) AS bytes
 FROM ids JOIN tokens USING (id) GROUP BY part ORDER BY part"""
@@ -160,7 +161,7 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, of: np.ndarray) -> tuple[np.n
 class DuckBpe:
     """Encodes and decodes by a rank file; `memory` bounds its DuckDB database, which writes no file."""
 
-    def __init__(self, path: str, memory: str = "512MB", words: int = 500_000):
+    def __init__(self, path: str, memory: str = "512MB", words: int = 1_500_000):
         import duckdb
 
         self.ranks = read_ranks(path)
@@ -186,15 +187,18 @@ class DuckBpe:
         finally:
             self.db.unregister(name)
 
-    def contracted(self, words: list[bytes], sql: str = _LEFTMOST) -> list[list[int]]:
-        """The ids of each word, from its single bytes on."""
-        out: list[list[int]] = []
+    def contracted(self, words: list[bytes], sql: str = _LEFTMOST) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words end to end, from their single bytes on, and each one's number of ids."""
+        ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a in range(0, len(words), _WORDS):
             part = words[a : a + _WORDS]
             sizes = np.array([len(w) for w in part])
             rows = {"w": np.repeat(np.arange(len(part)), sizes), "pos": ragged(np.zeros(len(part), np.int64), sizes), "tok": self.first[np.frombuffer(b"".join(part), np.uint8)]}
-            out += self._ask(sql, "words", pa.table(rows))["ids"].to_pylist()
-        return out
+            got = self._ask(sql, "words", pa.table(rows))
+            w, pos, tok = (got[c].to_numpy() for c in ("w", "pos", "tok"))
+            ids.append(tok[np.lexsort([pos, w])])
+            counts.append(np.bincount(w, minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(counts)
 
     def sure_parts(self, word: bytes) -> list[bytes]:
         """The word cut wherever no token that occurs in it lies across."""
@@ -207,20 +211,31 @@ class DuckBpe:
             reach = max(reach, i + longest)
         return [*parts, word[begin:]]
 
-    def ids_of(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of distinct words."""
-        known = [self.ranks.get(w) for w in words]
-        parts = [[] if k is not None else [w] if len(w) <= SHORT else self.sure_parts(w) for w, k in zip(words, known, strict=True)]
-        flat = [p for own in parts for p in own]
-        short = [p for p in flat if len(p) <= SHORT]
-        found = iter(self.contracted(short))
-        found_long = iter(self.contracted([p for p in flat if len(p) > SHORT], _ALL_NEXT))
-        return [[k] if k is not None else [i for p in own for i in next(found if len(p) <= SHORT else found_long)] for k, own in zip(known, parts, strict=True)]
+    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words end to end, and each one's number of ids."""
+        known = np.array([self.ranks.get(w, -1) for w in words], np.int64)
+        parts, of = [], []
+        for i in np.flatnonzero(known < 0).tolist():
+            own = [words[i]] if len(words[i]) <= SHORT else self.sure_parts(words[i])
+            parts += own
+            of += [i] * len(own)
+        short = np.array([len(p) <= SHORT for p in parts], bool)
+        spans, pool = np.zeros((2, len(parts)), np.int64), [known]
+        for own, sql in ((np.flatnonzero(short), _LEFTMOST), (np.flatnonzero(~short), _ALL_NEXT)):
+            ids, counts = self.contracted([parts[i] for i in own.tolist()], sql)
+            spans[0, own], spans[1, own] = sum(map(len, pool)) + np.cumsum(counts) - counts, counts
+            pool.append(ids)
+        counts = np.where(known >= 0, 1, np.bincount(np.array(of, np.int64), spans[1], len(words)).astype(np.int64))
+        # Parts stand in the order of their words; a known word is a span of its own.
+        begins = np.concatenate([np.flatnonzero(known >= 0), spans[0]])
+        sizes = np.concatenate([np.ones((known >= 0).sum(), np.int64), spans[1]])
+        by = np.argsort(np.concatenate([np.flatnonzero(known >= 0), np.array(of, np.int64)]), kind="stable")
+        return np.concatenate(pool)[ragged(begins[by], sizes[by])], counts
 
     def _compute(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         whole = raw.tobytes()
-        ids = self.ids_of([whole[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)])
-        return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
+        ids, counts = self.ids_of([whole[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)])
+        return ids.astype(np.int32), counts
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and each text's number of ids."""
@@ -255,7 +270,7 @@ class DuckBpe:
             raw.tobytes().decode()
         except UnicodeDecodeError:
             raw, offsets = flat_text(pa.array([(x or b"").decode("utf-8", "replace").encode() for x in column.to_pylist()], pa.large_binary()))
-        for a, b in steps(np.diff(offsets)):
+        for a, b in steps(np.diff(offsets), _STEP):
             yield a, *self.encode(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
