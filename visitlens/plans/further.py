@@ -10,20 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visitlens.functions.columns import haversine_km, percent, ratio
+from visitlens.operators.overlay import inside
 from visitlens.registry import query
 from visitlens.sources.views import cells, delivery_units, table, visits, with_views
 
 RADIUS = 0.01237
 
 
-def inside(x: Column, y: Column, xs: Column, ys: Column) -> Column:
-    """Even-odd rule: whether a point is inside the closed polygon of the vertices (xs, ys)."""
-    n = F.size(xs)
-    edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(xs, i).alias("x1"), F.get(ys, i).alias("y1"), F.get(xs, (i + 1) % n).alias("x2"), F.get(ys, (i + 1) % n).alias("y2")))
-    crosses = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
-    return F.size(F.filter(edges, crosses)) % 2 == 1
-
-
 def ward_polygons(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("n_nationkey").cast("bigint")
     w = table(spark, d, "nation").select(key.alias("ward"), (7.01 + (key % 5) * 0.02).alias("cx"), (9.01 + (key % 4) * 0.025).alias("cy"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from visitlens.functions.columns import haversine_km, percent, ratio, sorted_list
 from visitlens.operators.graph import min_label_components
-from visitlens.plans.further import RADIUS, WARDS_SQL, inside, ward_polygons
+from visitlens.operators.overlay import inside
+from visitlens.plans.further import RADIUS, WARDS_SQL, ward_polygons
 from visitlens.plans.grid import VISIT_CELLS_SQL, hull, visit_cells
 from visitlens.plans.ordered import BY_TIME, HAVERSINE_SQL, STEPS_SQL, steps
 from visitlens.registry import query
