@@ -67,10 +67,20 @@ def du_completion_date(spark: SparkSession, d: str) -> DataFrame:
     return j.select(F.col("o_orderkey").alias("du_name"), F.when(F.coalesce("n", F.lit(0.0)) == 0, F.col("o_orderdate")).otherwise(F.col("first_visit")).alias("completed_at"))
 
 
-@query("scal_last_activity", with_views("SELECT du_name, GREATEST(checked_in_date, checked_out_date) AS last_activity FROM dus"))
+#: Texts of two further dates of a unit: some are missing, some in another zone, some no date.
+_MODIFIED = "CASE WHEN du_name % 5 = 0 THEN 'soon' WHEN du_name % 7 = 0 THEN NULL ELSE concat(CAST(CAST(checked_in_date AS DATE) AS {text}), 'T09:30:00Z') END"
+_COMPUTED = "CASE WHEN status = 'completed' THEN concat(CAST(CAST(checked_out_date AS DATE) AS {text}), CASE WHEN du_name % 2 = 0 THEN 'T01:00:00+02:00' ELSE ' 23:59:59' END) WHEN du_name % 3 = 0 THEN '' END"
+
+
+@query("scal_last_activity", with_views(f"""t AS (SELECT du_name, CAST(checked_in_date AS TIMESTAMP) AS a, CAST(checked_out_date AS TIMESTAMP) AS b,
+  {_MODIFIED.format(text="VARCHAR")} AS modified, {_COMPUTED.format(text="VARCHAR")} AS computed FROM dus)
+SELECT du_name, GREATEST(a, b, TRY_CAST(regexp_replace(modified, '(Z|[+-]\\d\\d:\\d\\d)$', '') AS TIMESTAMP), TRY_CAST(regexp_replace(computed, '(Z|[+-]\\d\\d:\\d\\d)$', '') AS TIMESTAMP)) AS last_activity FROM t"""))
 def last_activity(spark: SparkSession, d: str) -> DataFrame:
-    """The latest of several dates, nulls skipped."""
-    return delivery_units(spark, d).select("du_name", F.greatest("checked_in_date", "checked_out_date").alias("last_activity"))
+    """The latest of four dates: zones are dropped, not applied; what is missing or no date is left out."""
+    own = delivery_units(spark, d).select("du_name", "checked_in_date", "checked_out_date", F.expr(_MODIFIED.format(text="STRING")).alias("modified"), F.expr(_COMPUTED.format(text="STRING")).alias("computed"))
+    parsed = lambda c: F.try_to_timestamp(F.regexp_replace(c, r"(Z|[+-]\d\d:\d\d)$", "")).cast("timestamp_ntz")
+    given = lambda c: F.col(c).cast("timestamp_ntz")
+    return own.select("du_name", F.greatest(given("checked_in_date"), given("checked_out_date"), parsed("modified"), parsed("computed")).alias("last_activity"))
 
 
 @query("aggr_camping_flags", with_views("""SELECT du_name, CAST(round_even(delivery_count * 1.0 / buildings, 0) AS BIGINT) AS per_building, round_even(delivery_count * 1.0 / buildings, 0) >= 12 AND delivery_count > 20 AS is_camping,
@@ -244,8 +254,9 @@ def first_last_per_day(spark: SparkSession, d: str) -> DataFrame:
     return visits(spark, d).select("visit_id", (a == 1).alias("is_first"), (b == 1).alias("is_last"))
 
 
-@query("aggr_client_area_stats", with_views("SELECT service_area_id, COUNT(*) AS dus, COUNT(*) FILTER (WHERE status = 'completed') AS completed, CAST(SUM(buildings) AS BIGINT) AS buildings, ROUND(SUM(surface_area), 4) AS area, CAST(SUM(delivery_count) AS BIGINT) AS deliveries, COUNT(DISTINCT flw_id) AS flws FROM dus GROUP BY service_area_id"))
+@query("aggr_client_area_stats", with_views("SELECT service_area_id, COUNT(*) AS dus, COUNT(*) FILTER (WHERE status = 'completed') AS completed, CAST(SUM(buildings) AS BIGINT) AS buildings, ROUND(SUM(surface_area), 4) AS area, CAST(SUM(delivery_count) AS BIGINT) AS deliveries, COUNT(DISTINCT flw_id) AS flws, ROUND(100.0::DOUBLE * COUNT(*) FILTER (WHERE status = 'completed') / COUNT(*), 1) AS completion_pct FROM dus GROUP BY service_area_id"))
 def client_area_stats(spark: SparkSession, d: str) -> DataFrame:
     return delivery_units(spark, d).groupBy("service_area_id").agg(
-        F.count("*").alias("dus"), F.count_if(F.col("status") == "completed").alias("completed"), F.sum("buildings").alias("buildings"), F.round(F.sum("surface_area"), 4).alias("area"), F.sum("delivery_count").alias("deliveries"), F.count_distinct("flw_id").alias("flws")
+        F.count("*").alias("dus"), F.count_if(F.col("status") == "completed").alias("completed"), F.sum("buildings").alias("buildings"), F.round(F.sum("surface_area"), 4).alias("area"), F.sum("delivery_count").alias("deliveries"), F.count_distinct("flw_id").alias("flws"),
+        F.round(100.0 * F.count_if(F.col("status") == "completed") / F.count("*"), 1).alias("completion_pct"),
     )

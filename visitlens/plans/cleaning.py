@@ -280,9 +280,16 @@ def visit_timing(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("flw_id").agg(F.count("*").alias("n"), F.count_if(F.col("e").isNull()).alias("without_end"), F.round(F.avg(seconds("e") - seconds("s")), 3).alias("mean_seconds"))
 
 
-@query("aggr_density_by_ward_pivot", with_views("SELECT ward_id, COUNT(*) FILTER (WHERE population < 10) AS Low, COUNT(*) FILTER (WHERE population >= 10 AND population < 30) AS Medium, COUNT(*) FILTER (WHERE population >= 30) AS High FROM cells GROUP BY ward_id"))
+_KM2 = 2.0 * 2.0
+
+
+@query("aggr_density_by_ward_pivot", with_views(f"""k AS (SELECT ward_id, population / {_KM2}::DOUBLE AS density FROM cells)
+SELECT ward_id, COUNT(*) FILTER (WHERE density < 10) AS Low, COUNT(*) FILTER (WHERE density >= 10 AND density < 50) AS Medium, COUNT(*) FILTER (WHERE density >= 50) AS High
+FROM k GROUP BY ward_id"""))
 def density_by_ward_pivot(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("population") < 10, "Low").when(F.col("population") < 30, "Medium").otherwise("High")
+    """A ward's cells by class of people per square kilometre, for cells of two kilometres."""
+    density = F.col("population") / _KM2
+    kind = F.when(density < 10, "Low").when(density < 50, "Medium").otherwise("High")
     return cells(spark, d).withColumn("kind", kind).groupBy("ward_id").pivot("kind", ["Low", "Medium", "High"]).count().fillna(0)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visitlens.functions.columns import haversine_km, ratio, sorted_list
@@ -16,11 +16,22 @@ from visitlens.registry import query
 from visitlens.sources.storage import saved
 from visitlens.sources.views import cells, delivery_units, visits, with_views
 
-CATEGORY_SQL = "CASE WHEN population < 10 THEN 'Low' WHEN population < 30 THEN 'Medium' ELSE 'High' END"
+#: Limits of the density classes, in people per square kilometre (fixed values).
+LOW_DENSITY, HIGH_DENSITY = 10, 50
 
 
-def density_category(population: str = "population", low: float = 10, high: float = 30):
-    return F.when(F.col(population) < low, "Low").when(F.col(population) < high, "Medium").otherwise("High")
+def density_sql(population: str = "population", metres: int = 100) -> str:
+    density = f"{population} / (({metres} / 1000.0::DOUBLE) ** 2)"
+    return f"CASE WHEN {density} < {LOW_DENSITY} THEN 'Low' WHEN {density} < {HIGH_DENSITY} THEN 'Medium' ELSE 'High' END"
+
+
+CATEGORY_SQL = density_sql()
+
+
+def density_category(population: str = "population", metres: int = 100, low: float = LOW_DENSITY, high: float = HIGH_DENSITY) -> Column:
+    """The class of the people per square kilometre in square cells of so many metres."""
+    density = F.col(population) / (metres / 1000.0) ** 2
+    return F.when(density < low, "Low").when(density < high, "Medium").otherwise("High")
 
 
 def visit_cells(v: DataFrame) -> DataFrame:
@@ -38,9 +49,13 @@ def cell_id(spark: SparkSession, d: str) -> DataFrame:
     return cells(spark, d).select("row", "col", F.concat(F.lit("cell_100m_"), "row", F.lit("_"), "col").alias("cell_id"), parent.alias("parent_id"), quadrant.alias("quadrant"))
 
 
-@query("scal_density_category", with_views(f"SELECT row, col, {CATEGORY_SQL} AS category FROM cells"))
+#: Finer and coarser cells, so that all classes occur: people of a cell spread over cells of these sides.
+_SIDES = (100, 500, 2000)
+
+
+@query("scal_density_category", with_views("SELECT row, col, " + ", ".join(f"{density_sql(metres=m)} AS category_{m}m" for m in _SIDES) + " FROM cells"))
 def density_categories(spark: SparkSession, d: str) -> DataFrame:
-    return cells(spark, d).select("row", "col", density_category().alias("category"))
+    return cells(spark, d).select("row", "col", *(density_category(metres=m).alias(f"category_{m}m") for m in _SIDES))
 
 
 @query("aggr_parent_cells", with_views("SELECT row // 3 AS prow, col // 3 AS pcol, SUM(population) AS population, COUNT(*) AS children, string_agg(row || '_' || col, ',' ORDER BY row || '_' || col) AS ids FROM cells GROUP BY ALL"))
@@ -78,17 +93,41 @@ def building_aggregate(spark: SparkSession, d: str) -> DataFrame:
     return j.withColumns({"total_area": F.round("total_area", 4), "avg_confidence": F.round("avg_confidence", 6)})
 
 
-@query("aggr_grid_cell_tab", with_views(VISIT_CELLS_SQL + " SELECT c.row, c.col, opportunity_id, COUNT(*) AS visits, ROUND(COUNT(*) / NULLIF(MAX(population), 0), 6) AS per_capita FROM vc JOIN cells c ON c.row = vc.row AND c.col = vc.col GROUP BY c.row, c.col, opportunity_id"))
+@query("aggr_grid_cell_tab", with_views(VISIT_CELLS_SQL + f"""
+SELECT c.row, c.col, opportunity_id, COUNT(*) AS visits, ROUND(COUNT(*) / NULLIF(MAX(population), 0), 6) AS per_capita,
+  ROUND(MAX(population) / 0.01::DOUBLE, 4) AS density_per_km2, {density_sql("MAX(population)")} AS density_category
+FROM vc JOIN cells c ON c.row = vc.row AND c.col = vc.col GROUP BY c.row, c.col, opportunity_id"""))
 def grid_cell_tab(spark: SparkSession, d: str) -> DataFrame:
     j = visit_cells(visits(spark, d)).join(cells(spark, d), ["row", "col"])
-    return j.groupBy("row", "col", "opportunity_id").agg(F.count("*").alias("visits"), F.round(ratio(F.count("*"), F.max("population"), None), 6).alias("per_capita"))
+    per_cell = j.groupBy("row", "col", "opportunity_id").agg(F.count("*").alias("visits"), F.max("population").alias("population"))
+    return per_cell.select(
+        "row", "col", "opportunity_id", "visits", F.round(ratio("visits", "population", None), 6).alias("per_capita"), F.round(F.col("population") / 0.01, 4).alias("density_per_km2"), density_category().alias("density_category")
+    )
 
 
-@query("aggr_grid_opportunity_summary", with_views(VISIT_CELLS_SQL + f""", x AS (SELECT DISTINCT opportunity_id, c.row, c.col, population, {CATEGORY_SQL} AS cat FROM vc JOIN cells c ON c.row = vc.row AND c.col = vc.col)
-SELECT opportunity_id, SUM(population) AS population, COUNT(*) AS cells, COUNT(*) FILTER (WHERE cat = 'Low') AS low, COUNT(*) FILTER (WHERE cat = 'Medium') AS medium, COUNT(*) FILTER (WHERE cat = 'High') AS high FROM x GROUP BY opportunity_id"""))
+_SPLITS = {"total": "true", "low_density": "cat = 'Low'", "medium_density": "cat = 'Medium'", "high_density": "cat = 'High'"}
+
+
+def _split_sql(name: str, test: str) -> str:
+    people = f"SUM(population) FILTER (WHERE {test})"
+    count = f"SUM(n) FILTER (WHERE {test})"
+    return f"CAST(COALESCE({count}, 0) AS BIGINT) AS {name}_visits, COUNT(*) FILTER (WHERE {test}) AS {name}_grids, COALESCE({people}, 0) AS {name}_pop, ROUND(COALESCE({count} / NULLIF({people}, 0), 0), 6) AS {name}_visits_per_pop"
+
+
+@query("aggr_grid_opportunity_summary", with_views(VISIT_CELLS_SQL + f""", x AS (
+  SELECT opportunity_id, c.row, c.col, MAX(population) AS population, COUNT(*) AS n FROM vc JOIN cells c ON c.row = vc.row AND c.col = vc.col GROUP BY ALL),
+k AS (SELECT *, {density_sql(metres=1000)} AS cat FROM x)
+SELECT opportunity_id, """ + ", ".join(_split_sql(k, t) for k, t in _SPLITS.items()) + " FROM k GROUP BY opportunity_id"))
 def grid_opportunity_summary(spark: SparkSession, d: str) -> DataFrame:
-    x = visit_cells(visits(spark, d)).join(cells(spark, d), ["row", "col"]).select("opportunity_id", "row", "col", "population").distinct().withColumn("cat", density_category())
-    return x.groupBy("opportunity_id").agg(F.sum("population").alias("population"), F.count("*").alias("cells"), *(F.count_if(F.col("cat") == c).alias(c.lower()) for c in ("Low", "Medium", "High")))
+    """Visits, cells, people and visits for each of them of an opportunity, in all and by density class (cells of a kilometre)."""
+    j = visit_cells(visits(spark, d)).join(cells(spark, d), ["row", "col"])
+    x = j.groupBy("opportunity_id", "row", "col").agg(F.max("population").alias("population"), F.count("*").alias("n")).withColumn("cat", density_category(metres=1000))
+    zero = lambda c, t: F.coalesce(F.sum(F.when(F.expr(t), F.col(c))), F.lit(0))
+
+    def split(name: str, test: str) -> list[Column]:
+        return [zero("n", test).alias(f"{name}_visits"), F.count_if(F.expr(test)).alias(f"{name}_grids"), zero("population", test).cast("double").alias(f"{name}_pop"), F.round(ratio(zero("n", test), zero("population", test)), 6).alias(f"{name}_visits_per_pop")]
+
+    return x.groupBy("opportunity_id").agg(*(c for k, t in _SPLITS.items() for c in split(k, t)))
 
 
 @query("aggr_grid_sanity", with_views("SELECT (SELECT SUM(population) FROM cells) AS at_100, (SELECT SUM(p) FROM (SELECT SUM(population) AS p FROM cells GROUP BY row // 2, col // 2)) AS at_200, (SELECT SUM(p) FROM (SELECT SUM(population) AS p FROM cells GROUP BY row // 3, col // 3)) = (SELECT SUM(population) FROM cells) AS is_equal"))

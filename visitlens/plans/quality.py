@@ -173,6 +173,14 @@ def real_vs_fake(spark: SparkSession, d: str) -> DataFrame:
     return long.groupBy("feature").agg(F.round(real, 6).alias("real_mean"), F.round(fake, 6).alias("fake_mean"), F.round(real - fake, 6).alias("delta"))
 
 
-@query("aggr_synthetic_indicator", with_views("SELECT opportunity_id, bool_or(flw_name LIKE '%_13%') AS is_synthetic FROM visits GROUP BY opportunity_id"))
+#: Names as they are given to made-up workers, in either case.
+_NAMES = "CASE WHEN flw_id % 35 = 0 THEN concat('a FAKE worker ', flw_id) WHEN flw_id % 7 IN (3, 5) THEN concat('Synthetic_', flw_id) ELSE flw_name END"
+
+
+@query("aggr_synthetic_indicator", with_views(f"""n AS (SELECT opportunity_id, lower({_NAMES}) AS name FROM visits)
+SELECT opportunity_id, CASE WHEN bool_or(contains(name, 'fake')) THEN '_fake' WHEN bool_or(contains(name, 'synthetic')) THEN '_synthetic' END AS indicator
+FROM n GROUP BY opportunity_id"""))
 def synthetic_indicator(spark: SparkSession, d: str) -> DataFrame:
-    return visits(spark, d).groupBy("opportunity_id").agg(F.bool_or(F.col("flw_name").like("%_13%")).alias("is_synthetic"))
+    """Whether names of an opportunity's workers say that they are fake, or else synthetic, in either case."""
+    has = lambda word: F.bool_or(F.lower(F.expr(_NAMES)).contains(word))
+    return visits(spark, d).groupBy("opportunity_id").agg(F.when(has("fake"), "_fake").when(has("synthetic"), "_synthetic").alias("indicator"))
