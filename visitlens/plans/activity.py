@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visitlens.functions.columns import minutes_between, percent, ratio, sorted_list, week_from_tuesday
+from visitlens.operators.ranks import counted_percentiles
 from visitlens.registry import query
 from visitlens.sources.views import delivery_units, visits, with_views
 
@@ -116,7 +117,7 @@ def outliers_sigma(spark: SparkSession, d: str) -> DataFrame:
 @query("aggr_percentile_vector", with_views("SELECT flw_id, " + ", ".join(f"ROUND(quantile_cont(value, {p / 100}), 6) AS p{p:02d}" for p in (1, 5, 10, 20, 25, 30, 40, 50, 60, 75, 90, 95, 99)) + " FROM visits GROUP BY flw_id"))
 def percentile_vector(spark: SparkSession, d: str) -> DataFrame:
     points = (1, 5, 10, 20, 25, 30, 40, 50, 60, 75, 90, 95, 99)
-    got = visits(spark, d).groupBy("flw_id").agg(F.percentile("value", F.array(*(F.lit(p / 100) for p in points))).alias("p"))
+    got = counted_percentiles(visits(spark, d).select("flw_id", "value"), "flw_id", "value", [p / 100 for p in points], "p")
     return got.select("flw_id", *(F.round(F.col("p")[i], 6).alias(f"p{p:02d}") for i, p in enumerate(points)))
 
 

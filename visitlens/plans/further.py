@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visitlens.functions.columns import haversine_km, percent, ratio
+from visitlens.functions.geodesy import geodesic_m
 from visitlens.operators.overlay import inside
 from visitlens.registry import query
 from visitlens.sources.views import cells, delivery_units, table, visits, with_views
@@ -51,33 +52,8 @@ def cell_in_polygon(spark: SparkSession, d: str) -> DataFrame:
 
 
 def geodesic_km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
-    """Distance on the WGS-84 ellipsoid by the inverse formula iterated on the auxiliary sphere; NaN near antipodes."""
-    a, f = 6378.137, 1 / 298.257223563
-    b = a * (1 - f)
-    u1, u2 = np.arctan((1 - f) * np.tan(np.radians(lat1))), np.arctan((1 - f) * np.tan(np.radians(lat2)))
-    span = np.radians(lon2 - lon1)
-    lam = span.copy()
-    su1, cu1, su2, cu2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        for _ in range(100):
-            sl, cl = np.sin(lam), np.cos(lam)
-            sin_s = np.hypot(cu2 * sl, cu1 * su2 - su1 * cu2 * cl)
-            cos_s = su1 * su2 + cu1 * cu2 * cl
-            s = np.arctan2(sin_s, cos_s)
-            sin_a = np.where(sin_s > 0, cu1 * cu2 * sl / sin_s, 0.0)
-            cos2_a = 1 - sin_a**2
-            mid = np.where(cos2_a > 0, cos_s - 2 * su1 * su2 / cos2_a, 0.0)
-            c = f / 16 * cos2_a * (4 + f * (4 - 3 * cos2_a))
-            new = span + (1 - c) * f * sin_a * (s + c * sin_s * (mid + c * cos_s * (2 * mid**2 - 1)))
-            done = np.nanmax(np.abs(new - lam), initial=0.0) < 1e-12
-            lam = new
-            if done:
-                break
-        k = cos2_a * (a**2 - b**2) / b**2
-        big_a = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
-        big_b = k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
-        ds = big_b * sin_s * (mid + big_b / 4 * (cos_s * (2 * mid**2 - 1) - big_b / 6 * mid * (4 * sin_s**2 - 3) * (4 * mid**2 - 3)))
-    return np.where(np.abs(new - lam) < 1e-9, b * big_a * (s - ds), np.nan)
+    """Kilometres along the ellipsoid between places in degrees, opposite ones included."""
+    return geodesic_m(lat1, lon1, lat2, lon2) / 1000
 
 
 @query("udf_geodesic_distance")

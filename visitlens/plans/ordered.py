@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visitlens.functions.columns import haversine_km, minutes_between
+from visitlens.operators.ranks import counted_percentiles
 from visitlens.registry import query
 from visitlens.sources.views import delivery_units, visits, with_views
 
@@ -145,7 +146,7 @@ def ranks(spark: SparkSession, d: str) -> DataFrame:
 def threshold_percentile(spark: SparkSession, d: str) -> DataFrame:
     """The highest stored threshold that a value reaches."""
     v = visits(spark, d)
-    t = F.broadcast(v.agg(F.percentile("value", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("q")))
+    t = F.broadcast(counted_percentiles(v.select(F.lit(1).alias("one"), "value"), "one", "value", [0.1, 0.25, 0.5, 0.75, 0.9], "q").select("q"))
     reached = F.size(F.filter("q", lambda x: x <= F.col("value")))
     return v.join(t).select("visit_id", F.element_at(F.array(*map(F.lit, (0, 10, 25, 50, 75, 90))), reached + 1).alias("pct"))
 
