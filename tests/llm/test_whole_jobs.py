@@ -31,6 +31,15 @@ def test_one_row_of_every_component(spark):
     assert kept == sorted(want, key=str)
 
 
+def test_rows_that_differ_in_language_only_leave_the_same_one(spark):
+    rows = [(1, own(1), lang, n) for n, lang in enumerate(["de", "en", "fr", None])] + [(1, own(1), "en", 1)] * 50 + [(2, own(1), "it", 9), (3, own(5), "pt", 9), (None, None, "x", 1), (None, None, "y", 1)]
+    kept = []
+    for n in (1, 4, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row int").repartition(n)
+        kept.append(sorted(map(tuple, simhash.one_of_each_group(docs).collect()), key=str))
+    assert kept[0] == kept[1] == kept[2] and [r[0] for r in kept[0]] == [1, 3, None] and all(r in rows for r in kept[0])
+
+
 def library_ids(text, end):
     ids = Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
     return np.array([*ids, end], "<u4")

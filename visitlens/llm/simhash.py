@@ -10,7 +10,7 @@ the forests' edges are those of all links.
 
 Nulls: a null text is an empty one; texts without words share fingerprint zero and link like any other. Null ids
 take part and are never the smallest. Repeated rows stay, with one result each. An empty table gives an empty
-result; extra columns are ignored.
+result; extra columns are ignored. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitlens.llm.common import fresh, in_turn, stored, table
@@ -137,7 +137,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: in
 
 
 def one_of_each_group(docs: DataFrame, words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
-    """Exactly one row of each component: that of the lowest id (null is the highest), of those the one of the lowest text hash.
+    """Exactly one row of each component: that of the lowest id (null is the highest), of those the one of the lowest text hash,
+    and of rows equal in both the one of the lowest hash of all columns, which tasks find before they send any.
 
     A row is known by its id and 128 bits of hash of its text, so rows of different components never compete, whatever ids they share.
     """
@@ -151,9 +152,9 @@ def one_of_each_group(docs: DataFrame, words: int = 4, distance: int = 4, seed:
     same = hashed["doc_id"].cast("bigint").eqNullSafe(chosen[f"{own['kept_id']}_"])
     for c in key:
         same &= hashed[own[c]] == chosen[f"{own[c]}_"]
-    copy = fresh(hashed, "copy")
-    copies = Window.partitionBy("doc_id", *(own[c] for c in key)).orderBy(F.lit(0))
-    return hashed.join(chosen, same, "left_semi").withColumn(copy, F.row_number().over(copies)).where(F.col(copy) == 1).select(*docs.columns)
+    row = fresh(hashed, "row")
+    kept = hashed.join(chosen, same, "left_semi").groupBy("doc_id", *(own[c] for c in key))
+    return kept.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(row)).select(f"{row}.*")
 
 
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
