@@ -243,18 +243,51 @@ def muac_normality(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def answer_counts(v: DataFrame) -> DataFrame:
+    """(flw_id, field, value, n): how often each worker gives each answer, the blank one among them; ages by month, right-closed
+    below sixty, and measurements by centimetre from 9.5 to 21.5 are answers too. All parts of the score come from these."""
+    age = F.when((F.col("age_months") >= 0) & (F.col("age_months") < 60), right_closed_bin("age_months", 0, 1.0).cast("string"))
+    cm = F.when(F.col("measured_cm").between(9.5, 21.5), F.floor(F.col("measured_cm") - 9.5).cast("string"))
+    given = {f: F.col(f) for f in SVA_FIELDS} | {"all_no": F.lower("all_no"), "age": age, "cm": cm}
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(c, F.lit("")).alias("value")) for f, c in given.items()))
+    return v.select("flw_id", F.inline(pairs)).groupBy("flw_id", "field", "value").agg(F.count("*").alias("n"))
+
+
 def fraud_parts(v: DataFrame) -> DataFrame:
-    """One row for each worker, one column for each part of the composite score; null where a part has too little to go by."""
+    """One row for each worker, one column for each part of the composite score; null where a part has too little to go by.
+
+    The answers are read and shuffled once, as counts; what follows is of a few rows for each worker.
+    """
+    counts = answer_counts(v)
+    all_ = counts.where("value <> ''").groupBy("field", "value").agg(F.sum("n").alias("every"))
+    share = all_.join(all_.groupBy("field").agg(F.sum("every").alias("total")), "field").select("field", "value", (F.col("every") / F.col("total")).alias("base"))
+    entry = F.struct("value", "n", F.coalesce("base", F.lit(0.0)).alias("base"))
+    by_field = counts.join(share, ["field", "value"], "left").groupBy("flw_id", "field").agg(
+        F.sum("n").alias("all"), F.sum(F.when(F.col("value") != "", F.col("n"))).alias("filled"), F.collect_list(F.when(F.col("value") != "", entry)).alias("entries")
+    )
+    gap = lambda a, e: a + F.abs(e["n"] / F.col("filled") - e["base"]) - e["base"]
+    yes = F.aggregate(F.filter("entries", lambda e: e["value"].isin("true", "1", "yes")), F.lit(0).cast("bigint"), lambda a, e: a + e["n"])
+    each = by_field.select(
+        "flw_id", "field", "all", "filled", F.when(F.col("filled") > 0, F.aggregate("entries", F.lit(1.0), gap)).alias("apart"), (100.0 * F.coalesce("filled", F.lit(0)) / F.col("all")).alias("filled_pct"),
+        F.when(F.col("field") == "all_no", 100.0 * yes / F.col("filled")).alias("yes_pct"), F.when(F.col("field").isin("age", "cm"), F.map_from_entries(F.transform("entries", lambda e: F.struct(e["value"], e["n"])))).alias("counts"),
+    )
+    own = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
+    of = lambda f: F.max_by(F.when(F.col("field") == f, F.col("counts")), F.col("field") == f)
     done = (*QUESTIONS, "unwell", "muac_colour")
-    every = v.groupBy("flw_id").agg(
-        F.count("*").alias("n_visits"), *(completion_anomaly(filled_pct(c)).alias(f"{c}_completion") for c in done), ladder(yes_pct("all_no", ("true", "1", "yes")), *ALL_NO).alias("all_no_overreporting"),
-        F.count_if(F.col("measured_cm").between(9.5, 21.5)).alias("valid"), half_open_bins("measured_cm").alias("bins"),
+    w = each.groupBy("flw_id").agg(
+        own("gender", "all").alias("n_visits"), *(own(f, "apart").alias(f"a_{f}") for f in SVA_FIELDS), *(own(f, "filled_pct").alias(f"f_{f}") for f in done), own("all_no", "yes_pct").alias("yes"),
+        own("age", "filled").alias("n"), own("cm", "filled").alias("valid"), of("age").alias("ages"), of("cm").alias("cms"),
+    )
+    array = lambda m, k: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at(F.col(m), i.cast("string")), F.lit(0).cast("bigint")))
+    w = w.select("*", array("ages", 60).alias("months"), array("cms", 12).alias("bins"))
+    years = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.aggregate(F.slice("months", i * 12 + 1, 12), F.lit(0).cast("bigint"), lambda a, c: a + c))
+    w = w.select("*", F.transform(years, lambda c: c / F.col("n")).alias("yearly"), F.transform("months", lambda c: c / F.col("n")).alias("p"))
+    uneven = F.aggregate("yearly", F.lit(0.0), lambda a, x: a + F.abs(x - 1.0 / 5))
+    return w.select(
+        "flw_id", "n_visits", *(completion_anomaly(F.col(f"f_{f}")).alias(f"{f}_completion") for f in done), ladder(F.col("yes"), *ALL_NO).alias("all_no_overreporting"),
+        *(F.least(F.col(f"a_{f}") / divisor, F.lit(1.0)).alias(f"{f}_sva") for f, divisor in SVA_FIELDS.items()), F.when(F.col("n") > 0, F.least(uneven / 1.6, F.lit(1.0))).alias("yearly_age_imbalance"),
+        monthly_perfection().alias("monthly_age_perfection"), F.when(F.col("valid") >= 20, shape_score(F.col("bins"))).alias("muac_distribution"),
     )
-    sva = sva_scores(v, SVA_FIELDS).groupBy("flw_id").agg(*(F.max(F.when(F.col("field") == f, F.col("sva"))).alias(f"{f}_sva") for f in SVA_FIELDS))
-    yearly = age_shares(v, 12).select("flw_id", F.least(_apart(5) / 1.6, F.lit(1.0)).alias("yearly_age_imbalance"))
-    monthly = age_shares(v, 1).select("flw_id", monthly_perfection().alias("monthly_age_perfection"))
-    shape = F.when(F.col("valid") >= 20, shape_score(F.col("bins"))).alias("muac_distribution")
-    return every.select("*", shape).drop("valid", "bins").join(sva, "flw_id", "left").join(yearly, "flw_id", "left").join(monthly, "flw_id", "left")
 
 
 def weighted_composite(parts: list[tuple[Column, float]]) -> Column:
