@@ -8,6 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from visitlens.operators.outline import concave_edges
 from visitlens.operators.rings import region_edges, rings
 from visitlens.plans.shapes import raster_files, united
 from visitlens.sources import tiff
@@ -190,3 +191,54 @@ def test_union_of_one_hot_key_is_many_tasks(spark):
     boxes = spark.range(400).select(F.lit(1).alias("key"), F.col("id").alias("polygon"), xs.alias("xs"), ys.alias("ys"))
     got = united(boxes, "key", 4.0).first()
     assert (got.area, got.length, got.corners, got.parts, got.holes) == (20.5**2, 4 * 20.5, 4, 1, 0)
+
+
+def triangles(p):
+    """Delaunay triangles by trying all: those whose circumcircle holds no other place; (circumradius, corners to the left)."""
+    out = []
+    for a in range(len(p)):
+        for b in range(a + 1, len(p)):
+            for c in range(b + 1, len(p)):
+                (x, y), (x1, y1), (x2, y2) = p[a], p[b] - p[a], p[c] - p[a]
+                d = 2 * (x1 * y2 - y1 * x2)
+                if abs(d) < 1e-12:
+                    continue
+                u, v = (y2 * (x1**2 + y1**2) - y1 * (x2**2 + y2**2)) / d, (x1 * (x2**2 + y2**2) - x2 * (x1**2 + y1**2)) / d
+                r2 = u * u + v * v
+                far = (p[:, 0] - x - u) ** 2 + (p[:, 1] - y - v) ** 2
+                far[[a, b, c]] = np.inf
+                if (far > r2).all():
+                    out.append((np.sqrt(r2), (a, b, c) if d > 0 else (a, c, b)))
+    return out
+
+
+@pytest.mark.parametrize("radius", [0.9, 1.4, 50.0])
+def test_concave_outline_is_the_edge_of_small_triangles(spark, radius):
+    g = np.random.default_rng(7)
+    p = np.concatenate([g.random((45, 2)) * [6, 2], g.random((25, 2)) * 2 + [0, 3], [[20.0, 20.0]]])
+    small = [t for r, t in triangles(p) if r < radius]
+    edges = [e for t in small for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0]))]
+    want = {(*map(float, p[a]), *map(float, p[b])) for a, b in edges if (b, a) not in edges}
+    df = spark.createDataFrame([(1, float(x), float(y)) for x, y in p] * 2, "key long, x double, y double").repartition(3)
+    got = concave_edges(df, "key", radius)
+    assert {tuple(r)[1:] for r in got.collect()} == want and got.count() == len(want)
+    shape = rings(got, "key").collect()
+    area = sum(abs((p[b] - p[a])[0] * (p[c] - p[a])[1] - (p[b] - p[a])[1] * (p[c] - p[a])[0]) / 2 for a, b, c in small)
+    assert np.isclose(sum(r.area for r in shape), area)
+    corners = {c for r in shape for c in zip(r.xs, r.ys)}
+    used = {tuple(map(float, p[i])) for t in small for i in t}
+    for q in used - corners:  # what is no corner lies within, or on a straight side
+        assert sum(in_ring(r.xs, r.ys, q) for r in shape) == 1
+
+
+def in_ring(xs, ys, q):
+    x, y, x2, y2 = np.array(xs), np.array(ys), np.roll(xs, -1), np.roll(ys, -1)
+    up = (y > q[1]) != (y2 > q[1])
+    return bool((up & (q[0] < (x2 - x) * (q[1] - y) / np.where(y2 == y, 1, y2 - y) + x)).sum() % 2)
+
+
+def test_concave_outline_of_a_lattice(spark):
+    """Places on one circle leave no edges within: a full square with a hole, whose own corners hold a triangle each."""
+    rows = [(1, float(i), float(j)) for i in range(30) for j in range(30) if not (10 < i < 20 and 10 < j < 20)]
+    shape = rings(concave_edges(spark.createDataFrame(rows, "key long, x double, y double"), "key", 1.5), "key").collect()
+    assert sorted((r.area, r.corners) for r in shape) == [(-98.0, 8), (841.0, 4)]

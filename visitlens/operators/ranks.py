@@ -38,3 +38,13 @@ def counted_percentiles(rows: DataFrame, key: str, value: str, points: list[floa
     part = hit.groupBy("of_key", "i").agg(F.max(F.when(covers("low"), F.col(value))).alias("a"), F.max(F.when(covers("high"), F.col(value))).alias("b"), F.first("share").alias("s"))
     own = F.struct("i", (F.col("a") + F.col("s") * (F.col("b") - F.col("a"))).alias("v"))
     return part.groupBy(F.col("of_key").alias(key)).agg(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["v"]).alias(name))
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """rows with their place from 0 in an order: ranges of it are numbered in tasks of their own, then the sizes of earlier ones added."""
+    dealt = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    own = saved(dealt.withColumn(name, F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1), "numbered")
+    sizes = own.groupBy("part").agg(F.count("*").alias("part_sum"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task
+    bases = sizes.select("part", F.coalesce(F.sum("part_sum").over(before), F.lit(0)).alias("base"))
+    return own.join(bases, "part").withColumn(name, F.col(name) + F.col("base")).drop("part", "base")

@@ -66,12 +66,16 @@ def assessed(v: DataFrame, assessments: tuple[Assessment, ...] = ASSESSMENTS, mo
     return long.select("flw_id", "opportunity_name", "batch", pick([F.lit(a.name) for a in assessments]).alias("assessment"), pick([F.lit(a.indicator) for a in assessments]).alias("indicator"), F.when(F.col("n") >= least, F.round(F.col("hits") / F.col("n"), 4)).alias("value"), "n", result.alias("result"))
 
 
-#: Batches by the walk from the newest day: bt has each batch's days, x every visit with its batch and once more under 'all'.
-BATCH_SQL = f"""days AS (SELECT flw_id, visit_day, COUNT(*) AS n, ROW_NUMBER() OVER (PARTITION BY flw_id ORDER BY visit_day DESC) AS i FROM answers GROUP BY flw_id, visit_day),
-r AS (SELECT flw_id, visit_day, i, n AS size, CAST(1 AS BIGINT) AS b FROM days WHERE i = 1 UNION ALL SELECT d.flw_id, d.visit_day, d.i, CASE WHEN r.size + d.n > {MOST} THEN d.n ELSE r.size + d.n END, CASE WHEN r.size + d.n > {MOST} THEN r.b + 1 ELSE r.b END FROM r JOIN days d ON d.flw_id = r.flw_id AND d.i = r.i + 1),
-g AS (SELECT flw_id, b, MAX(size) AS size, MIN(visit_day) AS f, MAX(visit_day) AS t FROM r GROUP BY flw_id, b), k AS (SELECT *, bool_and(size >= {LEAST}) OVER (PARTITION BY flw_id ORDER BY b) AS stays FROM g),
+def batch_sql(most: int, least: int, source: str = "answers") -> str:
+    """Batches by the walk from the newest day: bt has each batch's days, x every visit with its batch and once more under 'all'."""
+    return f"""days AS (SELECT flw_id, visit_day, COUNT(*) AS n, ROW_NUMBER() OVER (PARTITION BY flw_id ORDER BY visit_day DESC) AS i FROM {source} GROUP BY flw_id, visit_day),
+r AS (SELECT flw_id, visit_day, i, n AS size, CAST(1 AS BIGINT) AS b FROM days WHERE i = 1 UNION ALL SELECT d.flw_id, d.visit_day, d.i, CASE WHEN r.size + d.n > {most} THEN d.n ELSE r.size + d.n END, CASE WHEN r.size + d.n > {most} THEN r.b + 1 ELSE r.b END FROM r JOIN days d ON d.flw_id = r.flw_id AND d.i = r.i + 1),
+g AS (SELECT flw_id, b, MAX(size) AS size, MIN(visit_day) AS f, MAX(visit_day) AS t FROM r GROUP BY flw_id, b), k AS (SELECT *, bool_and(size >= {least}) OVER (PARTITION BY flw_id ORDER BY b) AS stays FROM g),
 bt AS (SELECT flw_id, f, t, ROW_NUMBER() OVER (PARTITION BY flw_id ORDER BY b DESC) AS batch FROM k WHERE stays),
-x AS (SELECT v.*, CAST(bt.batch AS VARCHAR) AS batch FROM answers v JOIN bt ON bt.flw_id = v.flw_id AND v.visit_day BETWEEN bt.f AND bt.t UNION ALL SELECT v.*, 'all' FROM answers v WHERE v.flw_id IN (SELECT flw_id FROM answers GROUP BY flw_id HAVING COUNT(*) >= {LEAST}))"""
+x AS (SELECT v.*, CAST(bt.batch AS VARCHAR) AS batch FROM {source} v JOIN bt ON bt.flw_id = v.flw_id AND v.visit_day BETWEEN bt.f AND bt.t UNION ALL SELECT v.*, 'all' FROM {source} v WHERE v.flw_id IN (SELECT flw_id FROM {source} GROUP BY flw_id HAVING COUNT(*) >= {least}))"""
+
+
+BATCH_SQL = batch_sql(MOST, LEAST)
 
 
 def _interval(h: str, n: str) -> tuple[str, str]:
@@ -82,14 +86,20 @@ def _interval(h: str, n: str) -> tuple[str, str]:
 
 
 (_LOW, _HIGH), (_ALL_LOW, _ALL_HIGH) = _interval("h", "n"), _interval("ah", "an")
-ASSESS_SQL = f"""q AS (SELECT flw_id, opportunity_name, batch, 'gender_ratio' AS assessment, 'female_child_ratio' AS indicator, COUNT(gender) AS n, COUNT(*) FILTER (WHERE gender = 'female_child') AS h, (SELECT COUNT(gender) FROM answers) AS an, (SELECT COUNT(*) FROM answers WHERE gender = 'female_child') AS ah FROM x GROUP BY ALL
+
+
+def assess_sql(least: int, source: str = "answers") -> str:
+    return f"""q AS (SELECT flw_id, opportunity_name, batch, 'gender_ratio' AS assessment, 'female_child_ratio' AS indicator, COUNT(gender) AS n, COUNT(*) FILTER (WHERE gender = 'female_child') AS h, (SELECT COUNT(gender) FROM {source}) AS an, (SELECT COUNT(*) FROM {source} WHERE gender = 'female_child') AS ah FROM x GROUP BY ALL
  UNION ALL SELECT flw_id, opportunity_name, batch, 'low_red_muac', 'red_muac_percentage', COUNT(NULLIF(muac_colour, '')), COUNT(*) FILTER (WHERE muac_colour = 'Red'), NULL, NULL FROM x GROUP BY ALL
  UNION ALL SELECT flw_id, opportunity_name, batch, 'low_young_child', 'under_12_months_percentage', COUNT(*) FILTER (WHERE age_months <= 120), COUNT(*) FILTER (WHERE age_months < 12), NULL, NULL FROM x GROUP BY ALL),
-ass AS (SELECT flw_id, opportunity_name, batch, assessment, indicator, CASE WHEN n >= {LEAST} THEN ROUND(h * 1.0 / n, 4) END AS value, n,
- CASE WHEN n = 0 AND assessment = 'low_young_child' THEN 'no_assessment' WHEN n < {LEAST} THEN 'insufficient_data' WHEN assessment = 'gender_ratio' AND ({_HIGH} < {_ALL_LOW} OR {_LOW} > {_ALL_HIGH}) THEN 'strong_negative'
+ass AS (SELECT flw_id, opportunity_name, batch, assessment, indicator, CASE WHEN n >= {least} THEN ROUND(h * 1.0 / n, 4) END AS value, n,
+ CASE WHEN n = 0 AND assessment = 'low_young_child' THEN 'no_assessment' WHEN n < {least} THEN 'insufficient_data' WHEN assessment = 'gender_ratio' AND ({_HIGH} < {_ALL_LOW} OR {_LOW} > {_ALL_HIGH}) THEN 'strong_negative'
   WHEN assessment = 'low_red_muac' AND h < 0.01 * n THEN 'strong_negative' WHEN assessment = 'low_young_child' AND h < 0.05 * n THEN 'strong_negative' ELSE '.' END AS result FROM q)"""
 
 
+ASSESS_SQL = assess_sql(LEAST)
+
+
 def _recursive(sql: str) -> str:
     return "WITH RECURSIVE " + with_views(sql).removeprefix("WITH ")
 
@@ -100,6 +110,17 @@ def assessment_runner(spark: SparkSession, d: str) -> DataFrame:
     return assessed(answers(spark, d))
 
 
+#: Visits of a batch at most and at least, as the rule has them, and teams of workers that have so many.
+FULL, ENOUGH = 300, 100
+_TEAM = {"flw_id": "flw_id % 5", "flw_name": "concat('team_', flw_id % 5)"}
+
+
+@query("aggr_assessment_runner_teams", _recursive("teams AS (SELECT * REPLACE (" + ", ".join(f"{v} AS {k}" for k, v in _TEAM.items()) + ") FROM answers), " + batch_sql(FULL, ENOUGH, "teams") + ", " + assess_sql(ENOUGH, "teams") + " SELECT * FROM ass"))
+def assessment_runner_teams(spark: SparkSession, d: str) -> DataFrame:
+    """The same in batches of at most three hundred visits and at least a hundred, of teams of workers."""
+    return assessed(answers(spark, d).withColumns({k: F.expr(v) for k, v in _TEAM.items()}), most=FULL, least=ENOUGH)
+
+
 @query("aggr_assessment_latest", _recursive(BATCH_SQL + ", " + ASSESS_SQL + " SELECT flw_id, arg_max(batch, CAST(batch AS BIGINT)) AS batch, COUNT(DISTINCT batch) AS batches, COUNT(*) FILTER (WHERE result = 'strong_negative' AND last = CAST(batch AS BIGINT)) AS strong_negatives, COUNT(*) FILTER (WHERE result = 'insufficient_data' AND last = CAST(batch AS BIGINT)) AS insufficient FROM (SELECT *, MAX(CAST(batch AS BIGINT)) OVER (PARTITION BY flw_id) AS last FROM ass WHERE batch <> 'all') GROUP BY flw_id"))
 def assessment_latest(spark: SparkSession, d: str) -> DataFrame:
     """A worker's report row: the findings of the latest batch."""

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from visitlens.functions.columns import haversine_km
 from visitlens.functions.geodesy import from_utm, to_utm, utm_sql
 from visitlens.operators.graph import min_label_components
+from visitlens.operators.outline import concave_edges
 from visitlens.operators.ranks import counted_percentiles
+from visitlens.operators.rings import rings
 from visitlens.plans.grid import hull
 from visitlens.plans.places import area_of, outline
 from visitlens.registry import query
@@ -163,3 +165,18 @@ def projected_wards(spark: SparkSession, d: str, most_km: float = 75.0, least: i
     used = near.groupBy("opportunity_id").agg(F.count("*").alias("used")).where(F.col("used") >= least)
     shapes = cluster_shapes(near.join(used, "opportunity_id", "left_semi").select("opportunity_id", "latitude", "longitude"), ["opportunity_id"], buffer)
     return used.join(shapes, "opportunity_id").select("opportunity_id", "used", "corners", F.round("outline_km2", 6).alias("area_km2"), F.round("diameter_m", 2).alias("diameter_m"), "wkt")
+
+
+@query("udf_concave_outlines")
+def concave_outlines(spark: SparkSession, d: str, radius: float = 400.0) -> DataFrame:
+    """Concave outlines of each opportunity's visits in projected metres: parts, holes and corners of all that is within, and the
+    outer ring of the largest part."""
+    east, north = to_utm(F.col("latitude"), F.col("longitude"), ZONE)
+    places = visits(spark, d).select("opportunity_id", F.round(east, 3).alias("x"), F.round(north, 3).alias("y"))
+    r = saved(rings(concave_edges(places, "opportunity_id", radius), "opportunity_id"), "outlines")
+    outer = F.col("area") > 0
+    largest = F.max_by(F.struct("area", "xs", "ys"), F.struct("area", "ring"))
+    sums = r.groupBy("opportunity_id").agg(
+        F.count_if(outer).alias("parts"), F.count_if(~outer).alias("holes"), F.sum("corners").alias("corners"), F.round(F.sum("area") / 1e6, 6).alias("area_km2"), largest.alias("l")
+    )
+    return sums.select("opportunity_id", "parts", "holes", "corners", "area_km2", F.round(F.col("l.area") / 1e6, 6).alias("largest_km2"), utm_text(F.col("l.xs"), F.col("l.ys")).alias("wkt"))

@@ -163,8 +163,10 @@ def monthly_pivots(spark: SparkSession, d: str) -> DataFrame:
     for name, (row, col, one, two) in _PIVOTS.items():
         cube = few.cube(row, col).agg(F.sum("n").alias("n"), F.grouping(row).alias("gr"), F.grouping(col).alias("gc"))
         cube = cube.select(F.when(F.col("gr") == 1, "TOTAL").otherwise(F.col(row)).alias("row_name"), F.when(F.col("gc") == 1, "TOTAL").otherwise(F.col(col)).alias("column_name"), "n")
-        names = lambda c, alias: few.select(F.col(c).alias(alias)).distinct().unionByName(few.sparkSession.range(1).select(F.lit("TOTAL").alias(alias)))
-        grid = names(row, "row_name").crossJoin(F.broadcast(names(col, "column_name")))  # months and kinds are few
+        # Names of columns (months, kinds) are few: one array of them goes to every row.
+        columns = F.broadcast(few.agg(F.concat(F.collect_set(col), F.array(F.lit("TOTAL"))).alias("columns")))
+        rows = few.groupBy(row).agg(F.lit(1).alias("any")).select(F.col(row).alias("row_name")).unionByName(few.agg(F.lit("TOTAL").alias("row_name")))
+        grid = rows.join(columns).select("row_name", F.explode("columns").alias("column_name"))
         beside = few.groupBy(F.col(row).alias("row_name")).agg(notes[one].alias("one"), (notes[two] if two else F.lit("")).alias("two"))
         part = grid.join(cube, ["row_name", "column_name"], "left").join(beside, "row_name", "left")
         part = part.select(F.lit(name).alias("report"), "row_name", "column_name", F.coalesce("n", F.lit(0)).alias("visits"), F.coalesce("one", F.lit("")).alias("first_note"), F.coalesce("two", F.lit("")).alias("second_note"))

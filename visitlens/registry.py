@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    for module in ("activity", "areas", "ordered", "quality", "fraud", "assess", "grid", "cleaning", "sources", "streams", "learning", "further", "intake", "places", "shapes", "progress", "statistics", "clusters"):
+    for module in ("activity", "areas", "ordered", "quality", "fraud", "assess", "grid", "cleaning", "sources", "streams", "learning", "further", "intake", "places", "shapes", "progress", "statistics", "clusters", "made_up", "tables"):
         import_module(f"visitlens.plans.{module}")
 
 
