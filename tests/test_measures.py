@@ -140,3 +140,36 @@ def test_distinct_members_in_a_range(spark):
     s, a = spark.createDataFrame(sights, "k long, m long, day date"), spark.createDataFrame(at, "k long, day date")
     got = {(r.k, r.day): r.w for r in distinct_in_range(s, a, ["k"], "m", "day", 10, "w").collect()}
     assert got == {(k, d): len({m for q, m, e in sights if q == k and 0 <= (d - e).days < 10}) for k, d in at}
+
+
+def test_folds_find_the_workers_that_make_answers_up(spark):
+    from visitlens import registry
+
+    got = {r.fold: r.auc for r in registry.queries()["ml_fold_scores"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == 13 and got["mean"] > 0.95
+
+
+def test_silhouettes_are_those_of_plain_python(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    from visitlens import registry
+    from visitlens.plans.learning import without_lonely
+    from visitlens.sources.views import visits
+
+    sf_dir = "/root/testdata/sf0.001"
+    got = {r.k: (r.silhouette, r.is_best) for r in registry.queries()["ml_k_means"](spark, sf_dir).collect()}
+    v = without_lonely(visits(spark, sf_dir).select(F.lit(0).alias("all"), "visit_id", "latitude", "longitude"), "all", 500.0)
+    points = VectorAssembler(inputCols=["latitude", "longitude"], outputCol="features").transform(v.select("visit_id", "latitude", "longitude"))
+    k = max(got, key=lambda x: got[x][0])
+    assert [x for x in got if got[x][1]] == [k]
+    rows = KMeans(k=k, seed=42).fit(points).transform(points).select("latitude", "longitude", "prediction").collect()
+    p, c = np.array([(r.latitude, r.longitude) for r in rows]), np.array([r.prediction for r in rows])
+    d = ((p[:, None] - p[None]) ** 2).sum(2)  # squared distances, as the evaluator has them
+    s = []
+    for i in range(len(p)):
+        own = (c == c[i]) & (np.arange(len(p)) != i)
+        a = d[i, own].mean() if own.any() else None
+        b = min(d[i, c == o].mean() for o in set(c) - {c[i]})
+        s.append(0.0 if a is None else (b - a) / max(a, b))
+    assert abs(np.mean(s) - got[k][0]) < 0.02

@@ -221,6 +221,32 @@ def cell_components(spark: SparkSession, d: str) -> DataFrame:
     return min_label_components(c.select("id"), edges)
 
 
+_CENTRE_SQL = "COALESCE(SUM({c} * population) / NULLIF(SUM(population), 0), AVG({c}))"
+
+
+@query("aggr_cell_clusters", "WITH RECURSIVE " + with_views(VISIT_CELLS_SQL + f""", c AS (SELECT ward_id, row, col, row * 50 + col AS id, population, 9.0::DOUBLE + (row + 0.5) * 0.0025::DOUBLE AS lat, 7.0::DOUBLE + (col + 0.5) * 0.002::DOUBLE AS lon FROM cells WHERE population > 10),
+e AS (SELECT a.id AS u, b.id AS v FROM c a JOIN c b ON a.ward_id = b.ward_id AND ABS(a.row - b.row) + ABS(a.col - b.col) = 1), r AS (SELECT id, id AS root FROM c UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.id),
+l AS (SELECT id, MIN(root) AS component FROM r GROUP BY id), n AS (SELECT row, col, COUNT(*) AS n FROM vc GROUP BY ALL)
+SELECT ward_id || '_cluster_' || ROW_NUMBER() OVER (PARTITION BY ward_id ORDER BY component) AS cluster_id, ward_id, COUNT(*) AS cells, SUM(population) AS population, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS visits,
+  MIN(c.row) AS min_row, MAX(c.row) AS max_row, MIN(c.col) AS min_col, MAX(c.col) AS max_col, ROUND({_CENTRE_SQL.format(c="lat")}, 7) AS latitude, ROUND({_CENTRE_SQL.format(c="lon")}, 7) AS longitude
+FROM c JOIN l ON l.id = c.id LEFT JOIN n ON n.row = c.row AND n.col = c.col GROUP BY ward_id, component""").removeprefix("WITH "))
+def cell_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """A ward's clusters of peopled cells whose sides touch, numbered as a scan by rows meets them, with their extent and the centre
+    of their people."""
+    c = cells(spark, d).where("population > 10").withColumns({"id": F.col("row") * 50 + F.col("col"), "lat": 9.0 + (F.col("row") + 0.5) * 0.0025, "lon": 7.0 + (F.col("col") + 0.5) * 0.002})
+    step = F.explode(F.array(F.struct(F.lit(0).alias("r"), F.lit(1).alias("c")), F.struct(F.lit(1).alias("r"), F.lit(0).alias("c"))))
+    to = c.select("ward_id", F.col("id").alias("u"), "row", "col", step.alias("s")).select("ward_id", "u", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
+    labels = min_label_components(c.select("id"), to.join(c, ["ward_id", "row", "col"]).select("u", F.col("id").alias("v")))
+    n = visit_cells(visits(spark, d)).groupBy("row", "col").agg(F.count("*").alias("n"))
+    centre = lambda x: F.round(F.coalesce(F.sum(F.col(x) * F.col("population")) / F.nullif(F.sum("population"), F.lit(0.0)), F.avg(x)), 7)
+    g = c.join(labels, "id").join(n, ["row", "col"], "left").groupBy("ward_id", "component").agg(
+        F.count("*").alias("cells"), F.sum("population").alias("population"), F.coalesce(F.sum("n"), F.lit(0)).alias("visits"), F.min("row").alias("min_row"), F.max("row").alias("max_row"), F.min("col").alias("min_col"), F.max("col").alias("max_col"),
+        centre("lat").alias("latitude"), centre("lon").alias("longitude"),
+    )
+    number = F.row_number().over(Window.partitionBy("ward_id").orderBy("component"))
+    return g.withColumn("cluster_id", F.concat("ward_id", F.lit("_cluster_"), number)).drop("component")
+
+
 def grown_clusters(points: DataFrame, reach: int, least: int) -> DataFrame:
     """(id, cluster) of points (id, x, y, whole numbers): single-link clusters of points no farther apart than `reach`, named by
     their least id; clusters of under `least` points are none. Neighbours come from grid buckets, equal places meet only once."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from visitlens.plans.cleaning import token_sort_ratio
 from visitlens.registry import query
-from visitlens.sources.storage import saved, scratch
+from visitlens.sources.storage import saved, scratch, set_changed
 from visitlens.sources.views import cells, table, visits, with_views
 
 
@@ -176,16 +176,15 @@ def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
     return match_names(villages(spark, d), settlements(spark, d))
 
 
-@query("src_latest_file", "SELECT 'visits_b.csv' AS file_name, 3 AS n_files, CAST((SELECT COUNT(*) FROM nation) AS BIGINT) AS n_rows")
+@query("src_latest_file", "SELECT 'visits_b.csv' AS file_name, 3 AS n_files, CAST((SELECT COUNT(*) FROM nation WHERE n_nationkey % 3 = 1) AS BIGINT) AS n_rows")
 def latest_file(spark: SparkSession, d: str) -> DataFrame:
-    """The newest of the files of one domain by their time of change, office lock files left aside, and its rows."""
-    import time
-
+    """The newest of the files of one domain by their time of change, office lock files left aside, and its rows. Each file has a
+    third of the table; their times of change are set a minute apart, the lock file's last."""
     path = scratch(spark, "exports")
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
-    for name, rows in (("visits_a.csv", n.limit(3)), ("~$visits_z.csv", n.limit(1)), ("visits_b.csv", n)):
-        rows.coalesce(1).write.csv(f"{path}/{name}", header=True)
-        time.sleep(1.1)  # times of change may be kept in whole seconds
+    for i, name in enumerate(("visits_a.csv", "visits_b.csv", "~$visits_z.csv")):
+        n.where(F.col("n_nationkey") % 3 == i).write.csv(f"{path}/{name}", header=True)
+        set_changed(spark, f"{path}/{name}", 1_700_000_000_000 + 60_000 * i)
     own = "regexp_extract(_metadata.file_path, '/([^/]+\\\\.csv)/', 1)"
     files = spark.read.option("recursiveFileLookup", "true").csv(path, header=True, schema="n_nationkey int, n_name string").select(F.expr(own).alias("file_name"), "_metadata.file_modification_time")
     per_file = files.groupBy("file_name").agg(F.max("file_modification_time").alias("changed"), F.count("*").alias("n"))

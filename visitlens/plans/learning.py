@@ -29,6 +29,14 @@ def features(v: DataFrame) -> DataFrame:
     ).withColumn("label", (F.col("flw_id") % 5 == 0).cast("double"))
 
 
+def planted(v: DataFrame) -> DataFrame:
+    """Visits in which one worker of five (those labelled) makes answers up: seven of ten measurements are the same, and half of
+    the children are unwell. What a visit gets depends on its number alone."""
+    chance = lambda n: (F.col("visit_id") * 7919 + F.col("flw_id") * 104729 + n) % 100
+    fake = F.col("flw_id") % 5 == 0
+    return v.withColumns({"muac_cm": F.when(fake & (chance(0) < 70), 12.5).otherwise(F.col("muac_cm")), "unwell": F.when(fake & (chance(37) < 50), "yes").otherwise(F.col("unwell"))})
+
+
 def prepared() -> list:
     return [Imputer(strategy="median", inputCols=FEATURES, outputCols=[f"{c}_x" for c in FEATURES]), VectorAssembler(inputCols=[f"{c}_x" for c in FEATURES], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
 
@@ -41,14 +49,14 @@ def balanced(df: DataFrame) -> DataFrame:
 @query("ml_random_forest")
 def random_forest(spark: SparkSession, d: str) -> DataFrame:
     """Probabilities of a forest of a hundred trees of depth ten, classes weighted alike."""
-    data = balanced(features(visits(spark, d)))
+    data = balanced(features(planted(visits(spark, d))))
     model = Pipeline(stages=[*prepared(), RandomForestClassifier(numTrees=100, maxDepth=10, seed=42, weightCol="weight")]).fit(data)
     return model.transform(data).select("flw_id", "label", F.round(vector_to_array("probability")[1], 6).alias("probability"))
 
 
 @query("ml_logistic_regression")
 def logistic_regression(spark: SparkSession, d: str) -> DataFrame:
-    data = balanced(features(visits(spark, d)))
+    data = balanced(features(planted(visits(spark, d))))
     model = Pipeline(stages=[*prepared(), LogisticRegression(weightCol="weight", maxIter=100)]).fit(data)
     return model.transform(data).select("flw_id", "label", F.round(vector_to_array("probability")[1], 6).alias("probability"))
 
@@ -77,7 +85,7 @@ def stratified_folds(spark: SparkSession, d: str) -> DataFrame:
 def k_fold(spark: SparkSession, d: str) -> DataFrame:
     """Ten models, each learnt without one fold, score every worker. One row for each worker and fold, with whether the model
     learnt from that worker, and for each worker the mean, the deviation and the median of the ten."""
-    data = saved(dealt_folds(balanced(features(visits(spark, d))), "flw_id", "label", FOLDS), "folds")
+    data = saved(dealt_folds(balanced(features(planted(visits(spark, d)))), "flw_id", "label", FOLDS), "folds")
     scored = None
     for k in range(FOLDS):  # one model for each fold, a fixed number
         model = Pipeline(stages=[*prepared(), LogisticRegression(weightCol="weight")]).fit(data.where(F.col("fold") != k))
@@ -165,7 +173,7 @@ def synthetic_workers(spark: SparkSession, d: str) -> DataFrame:
 @query("ml_feature_importance_rank")
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
     """Importances of a forest, ranked with ties alike."""
-    data = features(visits(spark, d))
+    data = features(planted(visits(spark, d)))
     model = Pipeline(stages=[*prepared(), RandomForestClassifier(numTrees=20, maxDepth=5, seed=42)]).fit(data)
     rows = [(c, round(float(v), 9)) for c, v in zip(FEATURES, model.stages[-1].featureImportances.toArray(), strict=True)]
     return spark.createDataFrame(rows, "feature string, importance double").withColumn("place", F.rank().over(Window.orderBy(F.desc("importance"))))
