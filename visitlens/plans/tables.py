@@ -9,9 +9,10 @@ from visitlens.functions.columns import haversine_km, right_closed_bin
 from visitlens.operators.ranks import counted_percentiles
 from visitlens.plans.fraud import composite_fraud_score
 from visitlens.plans.fraud import _composite_sql as composite_sql
+from visitlens.plans.grid import VISIT_CELLS_SQL, visit_cells
 from visitlens.plans.ordered import BY_TIME, HAVERSINE_SQL
 from visitlens.registry import query
-from visitlens.sources.views import answers, visits, with_views
+from visitlens.sources.views import answers, cells, visits, with_views
 
 #: What is shown of a visit: a weight where there is one, else a cross.
 _SHOWN = "CASE WHEN visit_id % 3 <> 0 THEN CAST(CAST(k AS BIGINT) AS {text}) ELSE 'X' END"
@@ -97,3 +98,48 @@ def field_fraud_distribution(spark: SparkSession, d: str) -> DataFrame:
     bin_ = F.greatest(F.ceil((F.col("x") - F.col("a")) / ((F.col("b") - F.col("a")) / 50)) - 1, F.lit(0)).cast("int")
     g = f.join(r).groupBy(bin_.alias("bin"))
     return g.agg(F.count("*").alias("flws"), F.round(100.0 * F.count("*") / F.first("every"), 6).alias("pct"), F.round(F.percentile("composite", 0.5), 6).alias("median_fraud"))
+
+
+_TIMES = (2, 3)
+
+
+def _children_sql(n: int) -> str:
+    return f"""SELECT 'cell_{n}00m_' || prow || '_' || pcol AS cell_id, {n}00 AS resolution_m, prow AS row, pcol AS col, COALESCE(SUM(population), 0) AS population,
+  ROUND(7.0::DOUBLE + (pcol + 0.5) * {n} * 0.002::DOUBLE, 7) AS center_longitude, ROUND(9.0::DOUBLE + (prow + 0.5) * {n} * 0.0025::DOUBLE, 7) AS center_latitude,
+  string_agg('cell_100m_' || r || '_' || c, ';' ORDER BY r, c) AS child_100m_cell_ids, '[' || string_agg(CAST(CAST(COALESCE(population, 0) AS DECIMAL(20, 6)) AS VARCHAR), ',' ORDER BY r, c) || ']' AS child_100m_population_breakdown
+FROM (SELECT prow, pcol, prow * {n} + dr.range AS r, pcol * {n} + dc.range AS c FROM (SELECT DISTINCT row // {n} AS prow, col // {n} AS pcol FROM vc), range({n}) dr, range({n}) dc) k
+LEFT JOIN cells ON cells.row = r AND cells.col = c GROUP BY prow, pcol"""
+
+
+@query("aggr_visited_parent_cells", with_views("vc AS (SELECT CAST(FLOOR((latitude - 9.0) / 0.0025) AS BIGINT) AS row, CAST(FLOOR((longitude - 7.0) / 0.002) AS BIGINT) AS col FROM visits) " + " UNION ALL ".join(_children_sql(n) for n in _TIMES)))
+def visited_parent_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of two and three hundred metres that visits are in: people of all their children in order of rows, nothing for those
+    that the raster lacks, and their names."""
+    v, c = visit_cells(visits(spark, d)), cells(spark, d).select("row", "col", "population")
+    out = None
+    for n in _TIMES:
+        parents = v.select(F.expr(f"row div {n}").alias("prow"), F.expr(f"col div {n}").alias("pcol")).distinct()
+        child = F.explode(F.array(*(F.struct((F.col("prow") * n + i).alias("row"), (F.col("pcol") * n + j).alias("col")) for i in range(n) for j in range(n)))).alias("c")
+        own = parents.select("prow", "pcol", child).select("prow", "pcol", "c.*").join(c, ["row", "col"], "left").withColumn("population", F.coalesce("population", F.lit(0.0)))
+        each = F.array_sort(F.collect_list(F.struct("row", "col", "population")))  # n times n of them
+        g = own.groupBy("prow", "pcol").agg(F.sum("population").alias("population"), each.alias("each"))
+        name = lambda x: F.concat(F.lit("cell_100m_"), x["row"], F.lit("_"), x["col"])
+        people = lambda x: x["population"].cast("decimal(20,6)").cast("string")
+        part = g.select(
+            F.concat(F.lit(f"cell_{n}00m_"), "prow", F.lit("_"), "pcol").alias("cell_id"), F.lit(100 * n).alias("resolution_m"), F.col("prow").alias("row"), F.col("pcol").alias("col"), "population",
+            F.round(7.0 + (F.col("pcol") + 0.5) * n * 0.002, 7).alias("center_longitude"), F.round(9.0 + (F.col("prow") + 0.5) * n * 0.0025, 7).alias("center_latitude"),
+            F.array_join(F.transform("each", name), ";").alias("child_100m_cell_ids"), F.concat(F.lit("["), F.array_join(F.transform("each", people), ","), F.lit("]")).alias("child_100m_population_breakdown"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_PERIODS = {"Monthly": ("strftime(visit_date, '%Y-%m')", "date_format(visit_date, 'yyyy-MM')"), "Quarterly": ("year(visit_date) || 'Q' || quarter(visit_date)", "concat(year(visit_date), 'Q', quarter(visit_date))")}
+
+
+@query("aggr_grid_time_series", with_views(VISIT_CELLS_SQL + " " + " UNION ALL ".join(f"SELECT '{k}' AS aggregation, {sql} AS time_period, COUNT(*) AS total_visits, COUNT(DISTINCT opportunity_id) AS opportunities, COUNT(DISTINCT flw_id) AS flws FROM vc JOIN cells c ON c.row = vc.row AND c.col = vc.col GROUP BY 2" for k, (sql, _) in _PERIODS.items())))
+def grid_time_series(spark: SparkSession, d: str) -> DataFrame:
+    """Visits to peopled cells, opportunities and workers by month and by quarter, in one pass over the visits."""
+    j = visit_cells(visits(spark, d)).join(cells(spark, d).select("row", "col"), ["row", "col"])
+    periods = F.inline(F.array(*(F.struct(F.lit(k).alias("aggregation"), F.expr(e).alias("time_period")) for k, (_, e) in _PERIODS.items())))
+    return j.select("opportunity_id", "flw_id", periods).groupBy("aggregation", "time_period").agg(F.count("*").alias("total_visits"), F.count_distinct("opportunity_id").alias("opportunities"), F.count_distinct("flw_id").alias("flws"))
