@@ -11,7 +11,7 @@ The three base phrases are templates whose key phrase is all of them.
 
 Nulls: a null text is an empty one, with no words, no places and empty labels. Repeated rows stay, each with its result;
 a text that repeats a phrase counts every place. Templates that reach over a text's start or end match by what is there.
-An empty table gives an empty result; extra columns are ignored.
+An empty table gives an empty result; extra columns are ignored. Texts of any length are read whole, as arrays of their words.
 """
 
 from __future__ import annotations

@@ -19,6 +19,7 @@ broadcast, and intervals are reduced to their first places where they lie.
 
 Nulls: a null text stays null. Null ids come first. Rows that repeat both id and text are one document and get the same
 result. Deleting all lines leaves an empty text. An empty table gives an empty result; other columns stay as they are.
+Texts of any length are read whole; the lines of one document are one row.
 """
 
 from __future__ import annotations

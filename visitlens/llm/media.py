@@ -9,7 +9,8 @@ offsets, and the byte ranges of the keyframes. It reads no payload; `payload` jo
 A track whose tables are missing or break off is left out; a file without any gives nulls and no tracks.
 
 Nulls: a null text is an empty one, a null id stays null. The payload of an empty text is one sample of zeros.
-Equal texts give equal media, whatever their rows. Empty tables give empty results; extra columns are ignored.
+Equal texts give equal media, whatever their rows. Empty tables give empty results; extra columns are ignored. Texts of
+any length are stored whole.
 """
 
 from __future__ import annotations

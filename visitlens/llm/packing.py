@@ -11,7 +11,8 @@ histogram (at most 1024 rows) and the plan (bounded by the number of lengths) pa
 A sequence costs its padded length: 1024, or its own where that is a power of two.
 
 Nulls: a null text is an empty one and yields its end id alone; null ids stay null. Repeated rows are
-packed each for itself. An empty table gives an empty result; extra columns are ignored.
+packed each for itself. An empty table gives an empty result; extra columns are ignored. Texts of any length are cut
+into as many pieces as they need.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Labels come from at most `rows` documents outside the held-out fold; every whole
 
 Nulls: a null text is an empty one, whose score is that of no n-grams. Null labels are not learnt from; with one class
 only, the score is that class's share. Repeated rows stay, each scored; a repeated id is learnt from once. An empty table
-gives an empty result. Extra columns stay in `with_quality`, one named like the score among them.
+gives an empty result. Extra columns stay in `with_quality`, one named like the score among them. Texts of any length are
+read whole, those longer than half a megabyte in a step of their own.
 """
 
 from __future__ import annotations

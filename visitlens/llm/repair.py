@@ -15,7 +15,8 @@ symbols, for each document its id, its number of ids and where its symbols end,
 that hold what is asked for, and of these expand only that: symbol ends lead to a document, expansion lengths to a place.
 
 Nulls: a null text is an empty one, null ids come first. Repeated rows stay, each with its own ids. An
-empty table gives an empty result; extra columns are ignored.
+empty table gives an empty result; extra columns are ignored. Texts of any length are encoded whole; a long one's ids
+may stand in several blocks.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ A base check stands before the list: fewer than 50 words, or more than half of t
 
 Nulls: a null text has no words and fails the base check. Labels outside the held-out fold are learnt from, at most
 `rows` of them; with one class only, the list is empty and keeps what passes the base check. Repeated rows stay. An
-empty table gives an empty result; extra columns stay in `with_statistics`.
+empty table gives an empty result; extra columns stay in `with_statistics`, where the statistics get other names if a column
+has theirs. Texts of any length are read whole, one at a time.
 """
 
 from __future__ import annotations
