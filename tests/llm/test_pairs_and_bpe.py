@@ -223,7 +223,7 @@ def test_variants_query(spark, sf_dir):
 def test_variants_of_few_letters(spark):
     """Words of few letters are near many others, share halves, and make chains; tiles of few words split each group."""
     r = random.Random(8)
-    words = ["".join(r.choices("abé", k=r.choice([6, 7, 8, 9]))) for _ in range(500)]
+    words = ["".join(r.choices("abé", k=r.choice([6, 7, 8, 9]))) for _ in range(900)]
     texts = [" ".join([w] * r.choice([1, 5, 6, 30, 160, 900])) for w in words]
     rows = [(i, t.upper() if i % 9 == 0 else t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

@@ -41,7 +41,8 @@ def test_held_out_accuracy(spark, n, label, least):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_rows_equal_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{LARGER}/documents.parquet'")
+    for name_ in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{LARGER}/{name_}.parquet'")
     want = con.execute(ORACLE_SQL[name]).df()
     got = QUERIES[name](spark, LARGER).toPandas()[list(want.columns)]
     text = lambda df: sorted(tuple("null" if pd.isna(x) else f"{x:.9g}" if isinstance(x, (int, float, np.number)) else x for x in r) for r in df.itertuples(index=False, name=None))
