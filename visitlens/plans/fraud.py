@@ -284,8 +284,8 @@ def fraud_parts(v: DataFrame) -> DataFrame:
     w = w.select("*", F.transform(years, lambda c: c / F.col("n")).alias("yearly"), F.transform("months", lambda c: c / F.col("n")).alias("p"))
     uneven = F.aggregate("yearly", F.lit(0.0), lambda a, x: a + F.abs(x - 1.0 / 5))
     return w.select(
-        "flw_id", "n_visits", *(completion_anomaly(F.col(f"f_{f}")).alias(f"{f}_completion") for f in done), ladder(F.col("yes"), *ALL_NO).alias("all_no_overreporting"),
-        *(F.least(F.col(f"a_{f}") / divisor, F.lit(1.0)).alias(f"{f}_sva") for f, divisor in SVA_FIELDS.items()), F.when(F.col("n") > 0, F.least(uneven / 1.6, F.lit(1.0))).alias("yearly_age_imbalance"),
+        "flw_id", "n_visits", *(F.expr(f"CAST({ladder_points(f'f_{f}', FILLED)} AS DOUBLE)").alias(f"{f}_completion") for f in done),
+        F.expr(f"CAST({ladder_points('yes', ALL_NO)} AS DOUBLE)").alias("all_no_overreporting"), *(F.least(F.col(f"a_{f}") / divisor, F.lit(1.0)).alias(f"{f}_sva") for f, divisor in SVA_FIELDS.items()), F.when(F.col("n") > 0, F.least(uneven / 1.6, F.lit(1.0))).alias("yearly_age_imbalance"),
         monthly_perfection().alias("monthly_age_perfection"), F.when(F.col("valid") >= 20, shape_score(F.col("bins"))).alias("muac_distribution"),
     )
 
