@@ -174,6 +174,17 @@ def test_near_duplicates(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each_group(empty).count() == 0
 
 
+def test_near_duplicates_broadcast_nothing(docs, monkeypatch):
+    """What the driver holds must not grow with the fingerprints: no step's plan sends a table through it."""
+    from visitlens.llm import components
+
+    plans, plan_of = [], lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "stored", lambda df, tag, codec="zstd": plans.append(plan_of(df)) or stored(df, tag, codec))
+    plans += [plan_of(simhash.near_duplicates(docs)), plan_of(simhash.one_of_each_group(docs))]
+    assert len(plans) > 8 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_crowded_buckets_lose_no_link(spark):
     rng = np.random.default_rng(3)
     base = int(rng.integers(0, 1 << 63))

@@ -13,15 +13,16 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Each round links every node's larger neighbours, then its smaller ones, to the least it knows; the number of
     edges never grows and the rounds are logarithmic in the nodes. A round's table is written to the shared folder.
+    Joins are by sorted shuffles: a broadcast of each round would stay on the driver.
     """
     e = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(least, "u")
+        linked = large.join(least.hint("merge"), "u")
         small = linked.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
         e = stored(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

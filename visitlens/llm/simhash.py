@@ -6,7 +6,7 @@ pair that links has at least `blocks - distance` whole blocks in common, so ever
 key, and nodes meet in the buckets of their keys. A bucket yields a spanning forest of its links, found by
 comparing whole fingerprints, never all its pairs. A bucket of more than `bucket` nodes is not opened: its nodes
 are keyed again by 16 blocks, whose buckets hold at most 2 ** (4 * distance) values by construction. Components of
-the forests' edges are those of all links.
+the forests' edges are those of all links. No join broadcasts a table, so what the driver holds does not grow with the input.
 
 Nulls: a null text is an empty one; texts without words share fingerprint zero and link like any other. Null ids
 take part and are never the smallest. Repeated rows stay, with one result each. An empty table gives an empty
@@ -82,7 +82,7 @@ def _members(nodes: DataFrame, blocks: int, distance: int) -> DataFrame:
     masks = F.array(*(F.lit(m).cast("bigint") for m in _masks(blocks, distance)))
     keyed = nodes.select("fp", F.posexplode(masks).alias("which", "mask")).select("fp", "which", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     sizes = keyed.groupBy("which", "key").agg(F.count("*").alias("n")).where("n > 1")
-    return keyed.join(sizes, ["which", "key"])
+    return keyed.join(sizes.hint("merge"), ["which", "key"])
 
 
 def spanning_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -125,7 +125,7 @@ def links(nodes: DataFrame, distance: int = 4, bucket: int = 4096) -> DataFrame:
 def _rooted(nodes: DataFrame, distance: int) -> DataFrame:
     """nodes, one row for each fingerprint, and the root of each one's component."""
     roots = connected_components(links(nodes, distance))
-    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
@@ -133,7 +133,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: in
     rows = stored(fingerprints(docs, words, seed), "fingerprints")
     rooted = _rooted(stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes"), distance)
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(rooted.join(ids, "root").select("fp", "component_id"), "fp")
+    return rows.join(rooted.join(ids.hint("merge"), "root").select("fp", "component_id").hint("merge"), "fp")
 
 
 def one_of_each_group(docs: DataFrame, words: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
@@ -153,7 +153,7 @@ def one_of_each_group(docs: DataFrame, words: int = 4, distance: int = 4, seed:
     for c in key:
         same &= hashed[own[c]] == chosen[f"{own[c]}_"]
     row = fresh(hashed, "row")
-    kept = hashed.join(chosen, same, "left_semi").groupBy("doc_id", *(own[c] for c in key))
+    kept = hashed.join(chosen.hint("merge"), same, "left_semi").groupBy("doc_id", *(own[c] for c in key))
     return kept.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(row)).select(f"{row}.*")
 
 
