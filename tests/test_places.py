@@ -141,3 +141,32 @@ def test_numbered_points_are_read_as_they_are_spelt(spark, tmp_path):
     points = spark.read.csv(f"{tmp_path}/points.csv", header=True, inferSchema=True)
     lat, lon = containing(points.columns, ["lattitude", "latitude", "lat"]), containing(points.columns, ["longitude", "lon"])
     assert [tuple(r) for r in points.orderBy("id").select("id", lat, lon).collect()] == [(1, 50.123, 10.123), (2, 51.234, 11.234), (3, 52.345, 12.345)]
+
+
+def test_reach_of_workers(spark, tmp_path):
+    """Hulls equal those of all places of a worker at once; a visit without a place takes no part."""
+    from visitlens.plans.grid import hull
+    from visitlens.sources.views import visits
+
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    e.withColumn("props", F.when(F.col("event_id") % 10 != 0, F.col("props"))).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.flw_id: (r.n_corners, r.wkt) for r in registry.queries()["udf_convex_hull"](spark, str(tmp_path)).collect()}
+    places = visits(spark, str(tmp_path)).where("latitude IS NOT NULL").select("flw_id", "longitude", "latitude").toPandas()
+    want = {f: hull(g[["longitude", "latitude"]].to_numpy()) for f, g in places.groupby("flw_id")}
+    assert got == {f: (len(h), "POLYGON ((" + ", ".join(f"{a:g} {b:g}" for a, b in [*h, h[0]]) + "))") for f, h in want.items()}
+
+
+def test_boundaries_beyond_ninety_rows(spark):
+    """Web coordinates end at 85 degrees; a larger table has more rows of cells than that."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    d, name = "/root/testdata/sf0.1", "src_geojson_polygons"
+    sql = entry.oracle_sql()[name]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{d}/part.parquet'")
+    got = registry.queries()[name](spark, d).toPandas()
+    want = con.sql(sql).df()
+    assert want["y1"].max() > 90
+    assert sorted(map(tuple, got[want.columns].to_numpy().tolist())) == sorted(map(tuple, want.to_numpy().tolist()))

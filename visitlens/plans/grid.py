@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -292,42 +293,55 @@ def web_mercator(spark: SparkSession, d: str) -> DataFrame:
     return visits(spark, d).select("visit_id", F.round(r * F.radians("longitude"), 3).alias("x"), F.round(r * F.log(F.tan(F.pi() / 4 + F.radians("latitude") / 2)), 3).alias("y"))
 
 
-def hull(points: np.ndarray) -> np.ndarray:
-    """Convex hull of (x, y) points by monotone chains, counter-clockwise from the lowest x."""
-    p = np.unique(points, axis=0)
+def hull_of_rows(points: list) -> list:
+    """Convex hull of (x, y) rows by monotone chains, counter-clockwise from the lowest x."""
+    p = sorted({tuple(q) for q in points})
     if len(p) < 3:
         return p
 
     def chain(ps):
-        out: list[np.ndarray] = []
+        out: list = []
         for q in ps:
             while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]):
                 out.pop()
             out.append(q)
         return out[:-1]
 
-    return np.array(chain(p) + chain(p[::-1]))
+    return chain(p) + chain(p[::-1])
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """The same of an array."""
+    return np.array(hull_of_rows(points.tolist())) if len(points) else np.unique(points, axis=0)
+
+
+def area_of_ring(ring: list) -> float:
+    return abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(ring, [*ring[1:], ring[0]], strict=True))) / 2
 
 
 @query("udf_convex_hull")
 def convex_hull(spark: SparkSession, d: str) -> DataFrame:
-    """Each worker's reach: hulls of partitions' points first, so that a worker's task gets corners only."""
+    """Each worker's reach. Of the places of one latitude only the two outer ones can be corners, which partial sums find before
+    anything is sent; slices of a worker's latitudes send their corners on, and the hull of these is the worker's.
+    Visits without a place are left out."""
+
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [hull_of_rows(r) for r in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(found, pa.list_(pa.list_(pa.float64())))], names=["flw_id", "corners"])
 
-    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for flw, g in b.groupby("flw_id"):
-                h = hull(g[["longitude", "latitude"]].to_numpy())
-                yield pd.DataFrame({"flw_id": flw, "longitude": h[:, 0], "latitude": h[:, 1]})
-
-    def outline(g: pd.DataFrame) -> pd.DataFrame:
-        h = hull(g[["longitude", "latitude"]].to_numpy())
-        x, y = h[:, 0], h[:, 1]
-        area = abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
-        text = "POLYGON ((" + ", ".join(f"{a:g} {b:g}" for a, b in [*h, h[0]]) + "))"
-        return pd.DataFrame({"flw_id": [g["flw_id"].iloc[0]], "n_corners": [len(h)], "area": [round(area, 9)], "wkt": [text]})
-
-    points = visits(spark, d).select("flw_id", "longitude", "latitude").mapInPandas(corners, "flw_id bigint, longitude double, latitude double")
-    return points.groupBy("flw_id").applyInPandas(outline, "flw_id bigint, n_corners bigint, area double, wkt string")
+            hulls = [hull_of_rows(r) for r in b.column(1).to_pylist()]
+            areas = [round(area_of_ring(h), 9) for h in hulls]
+            texts = ["POLYGON ((" + ", ".join(f"{x:g} {y:g}" for x, y in [*h, h[0]]) + "))" for h in hulls]
+            yield pa.record_batch([b.column(0), pa.array([len(h) for h in hulls], pa.int64()), pa.array(areas, pa.float64()), pa.array(texts)], names=["flw_id", "n_corners", "area", "wkt"])
+
+    sides = visits(spark, d).where("latitude IS NOT NULL AND longitude IS NOT NULL").groupBy("flw_id", "latitude").agg(F.min("longitude").alias("west"), F.max("longitude").alias("east"))
+    point = lambda x: F.array(F.col(x), F.col("latitude"))
+    slices = sides.groupBy("flw_id", F.floor(F.col("latitude") * 10).alias("slice")).agg(F.flatten(F.collect_list(F.array(point("west"), point("east")))).alias("points"))
+    few = slices.select("flw_id", "points").mapInArrow(corners, "flw_id bigint, corners array<array<double>>")
+    return few.groupBy("flw_id").agg(F.flatten(F.collect_list("corners")).alias("corners")).mapInArrow(outlines, "flw_id bigint, n_corners bigint, area double, wkt string")
 
 
 @query("udf_nearest_neighbour_tour")
