@@ -280,12 +280,14 @@ def proxy_wards_of_opportunities(spark: SparkSession, d: str) -> DataFrame:
 
 @query("src_geojson_polygons", with_views("SELECT 'State ' || left(ward_id, 7) || '_' || ward_id AS ward_id, COUNT(*) AS parts, SUM(population) AS population, MIN(col)::DOUBLE AS x0, MAX(col + 1)::DOUBLE AS x1, MIN(row)::DOUBLE AS y0, MAX(row + 1)::DOUBLE AS y1 FROM cells GROUP BY ward_id"))
 def geojson_polygons(spark: SparkSession, d: str) -> DataFrame:
-    """Two files of polygons with columns of their own, in web coordinates; read by name, brought to degrees, and united."""
+    """Two files of polygons with columns of their own, in web coordinates; read by name, brought to degrees, and united.
+
+    A cell's side is `side_of` degrees, so 85 million rows of cells lie within the latitudes that web coordinates have."""
     from visitlens.sources.storage import scratch
 
-    r, path = 6378137.0, scratch(spark, "boundaries")
+    r, side_of, path = 6378137.0, 1e-6, scratch(spark, "boundaries")
     to_x, to_y = lambda x: r * F.radians(x), lambda y: r * F.log(F.tan(F.pi() / 4 + F.radians(y) / 2))
-    corner = lambda dx, dy: F.array(to_x(F.col("col") + dx), to_y(F.col("row") + dy))
+    corner = lambda dx, dy: F.array(to_x((F.col("col") + dx) * side_of), to_y((F.col("row") + dy) * side_of))
     ring = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1), corner(0, 0))
     geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
     c = cells(spark, d).withColumn("state", F.concat(F.lit("State "), F.substring("ward_id", 1, 7)))
@@ -296,6 +298,6 @@ def geojson_polygons(spark: SparkSession, d: str) -> DataFrame:
     every = a.unionByName(b, allowMissingColumns=True)
     x = lambda p: F.degrees(p[0] / r)
     y = lambda p: F.degrees(2 * F.atan(F.exp(p[1] / r)) - F.pi() / 2)
-    side = lambda f, of: F.round(f(F.transform("ring", of)), 6)
+    side = lambda f, of: F.round(f(F.transform("ring", of)) / side_of, 6)
     boxes = every.select(F.concat_ws("_", "state", F.coalesce("ward", "ward_name")).alias("ward_id"), "population", side(F.array_min, x).alias("x0"), side(F.array_max, x).alias("x1"), side(F.array_min, y).alias("y0"), side(F.array_max, y).alias("y1"))
     return boxes.groupBy("ward_id").agg(F.count("*").alias("parts"), F.sum("population").alias("population"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
