@@ -242,3 +242,30 @@ def test_concave_outline_of_a_lattice(spark):
     rows = [(1, float(i), float(j)) for i in range(30) for j in range(30) if not (10 < i < 20 and 10 < j < 20)]
     shape = rings(concave_edges(spark.createDataFrame(rows, "key long, x double, y double"), "key", 1.5), "key").collect()
     assert sorted((r.area, r.corners) for r in shape) == [(-98.0, 8), (841.0, 4)]
+
+
+def test_small_rasters_share_tasks(spark):
+    """Planning opens no small file and puts many into a task; every pixel is read once."""
+    from visitlens.plans.shapes import raster_scan
+    from visitlens.sources.views import cells
+
+    r = raster_scan(spark, SF_DIR)
+    n = cells(spark, SF_DIR).where("population > 0").count()
+    assert r.count() == r.select("row", "col").distinct().count() == n and r.rdd.getNumPartitions() == 1
+
+
+def test_a_shapefile_writer_holds_one_set_of_files(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from visitlens.sources import shapefile
+
+    monkeypatch.setattr(shapefile, "FILE_ROWS", 10, raising=False)
+    monkeypatch.setattr(shapefile, "STEP_ROWS", 5, raising=False)
+    own = pa.list_(pa.struct([("hole", pa.bool_()), ("xs", pa.list_(pa.float64())), ("ys", pa.list_(pa.float64()))]))
+    batches = [pa.record_batch([pa.array(range(a, a + 7)), pa.array([[SQUARE]] * 7, own)], names=["n", "rings"]) for a in range(0, 35, 7)]
+    writer = shapefile.ShapefileWriter(str(tmp_path), T.StructType([T.StructField("n", T.LongType()), T.StructField("rings", T.StringType())]))
+    writer.commit([writer.write(iter(batches))])
+    assert len(list(tmp_path.glob("*.shp"))) == 3
+    spark.dataSource.register(ShapefileSource)
+    assert sorted(r.n for r in spark.read.format("shapefile").load(str(tmp_path)).collect()) == list(range(35))

@@ -1,7 +1,8 @@
 """GeoTIFF rasters as a Spark data source: `register(spark)`, then format("tiff").
 
-Reading plans one partition for each run of strips or tiles of up to `bytes` stored bytes (one at least) of each file under
-the path. Directory, affine map, no-data value and block offsets come from the files' headers; a block is read by its byte
+Reading plans partitions of whole small files and of runs of strips or tiles of larger ones, up to `bytes` stored bytes (one
+block at least; opening a file counts as OPEN_BYTES). A small file is not opened before its task unless filters may leave it out.
+Directory, affine map, no-data value and block offsets come from the files' headers; a block is read by its byte
 range and only in its own task. Equality and range filters on `row` and `col` leave out blocks. Rows: (row, col, x, y, value) of every pixel that is not no-data; row and col count
 from the tie point, x and y are the pixel's centre. A mosaic of files that share an origin reads like one raster.
 
@@ -35,6 +36,8 @@ PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_SIZES, SAMPLE_FORMAT = 317, 322,
 PIXEL_SCALE, TIE_POINT, TRANSFORM, GEO_KEYS, NO_DATA = 33550, 33922, 34264, 34735, 42113
 #: Codes of the format's field types, as struct letters (fixed values).
 KINDS = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
+#: What opening a file counts for beside its bytes.
+OPEN_BYTES = 64 << 10
 SCHEMA = "row bigint, col bigint, x double, y double, value double"
 
 
@@ -158,8 +161,9 @@ def read_block(file: Parts, r: Raster, i: int) -> np.ndarray:
 
 @dataclass
 class Blocks(InputPartition):
-    path: str
-    blocks: list[int]
+    """Files with the blocks to be read, None: all."""
+
+    files: list[tuple[str, list[int] | None]]
 
 
 @dataclass
@@ -194,36 +198,55 @@ class TiffReader(DataSourceReader):
             yield f  # blocks hold other rows too
 
     def partitions(self) -> list[Blocks]:
-        out = []
         store, _ = opened(self.path)
-        for path in files_under(self.path, ".tif", ".tiff"):
-            r, held, size = read_header(Parts(store, path)), [], 0
-            for i in range(len(r.offsets)):
-                top, bottom, left, right = r.spans(i)
-                if bottom < self.rows.low or top > self.rows.high or right < self.cols.low or left > self.cols.high:
-                    continue
-                if held and size + r.sizes[i] > self.bytes:
-                    out.append(Blocks(path, held))
-                    held, size = [], 0
-                held, size = [*held, i], size + r.sizes[i]
-            if held:
-                out.append(Blocks(path, held))
+        paths = files_under(self.path, ".tif", ".tiff")
+        every = all(np.isinf([x.low, x.high]).all() for x in (self.rows, self.cols))
+        out, files, size = [], [], 0
+        for info in store.get_file_info(paths):
+            if every and info.size + OPEN_BYTES <= self.bytes:
+                runs = [(None, info.size)]
+            else:
+                runs = self.runs(read_header(Parts(store, info.path)))
+            for blocks, n in runs:
+                if files and size + n + OPEN_BYTES > self.bytes:
+                    out.append(Blocks(files))
+                    files, size = [], 0
+                files.append((info.path, blocks))
+                size += n + OPEN_BYTES
+        return [*out, Blocks(files)] if files else out
+
+    def runs(self, r: Raster) -> list[tuple[list[int], int]]:
+        """Runs of a file's blocks that filters leave, of up to `bytes` stored bytes, and their sizes."""
+        out: list[tuple[list[int], int]] = []
+        for i in range(len(r.offsets)):
+            top, bottom, left, right = r.spans(i)
+            if bottom < self.rows.low or top > self.rows.high or right < self.cols.low or left > self.cols.high:
+                continue
+            if out and out[-1][1] + r.sizes[i] <= self.bytes:
+                out[-1][0].append(i)
+                out[-1] = (out[-1][0], out[-1][1] + r.sizes[i])
+            else:
+                out.append(([i], r.sizes[i]))
         return out
 
     def read(self, partition: Blocks | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # nothing was planned
             return
         store, _ = opened(self.path)
-        file = Parts(store, partition.path)
-        r = read_header(file)
-        for i in partition.blocks:
-            top, _, left, _ = r.spans(i)
-            pixels = read_block(file, r, i)
-            keep = np.ones(pixels.shape, bool) if r.no_data is None else ~np.isnan(pixels) if np.isnan(r.no_data) else pixels != r.no_data
-            a, b = np.nonzero(keep)
-            row, col = a + top, b + left
-            columns = (row, col, r.x + (col + 0.5) * r.dx, r.y - (row + 0.5) * r.dy, pixels[a, b].astype(float))
-            yield pa.record_batch([pa.array(c) for c in columns], names=["row", "col", "x", "y", "value"])
+        for path, blocks in partition.files:
+            file = Parts(store, path)
+            r = read_header(file)
+            for i in range(len(r.offsets)) if blocks is None else blocks:
+                yield pa.record_batch([pa.array(c) for c in self.pixels(file, r, i)], names=["row", "col", "x", "y", "value"])
+
+    def pixels(self, file: Parts, r: Raster, i: int) -> tuple[np.ndarray, ...]:
+        """The columns of a block's pixels."""
+        top, _, left, _ = r.spans(i)
+        pixels = read_block(file, r, i)
+        keep = np.ones(pixels.shape, bool) if r.no_data is None else ~np.isnan(pixels) if np.isnan(r.no_data) else pixels != r.no_data
+        a, b = np.nonzero(keep)
+        row, col = a + top, b + left
+        return row, col, r.x + (col + 0.5) * r.dx, r.y - (row + 0.5) * r.dy, pixels[a, b].astype(float)
 
 
 def file_of(pixels: np.ndarray, row: int, col: int, x: float, y: float, dx: float, dy: float, no_data: float, strip: int) -> bytes:
