@@ -34,8 +34,8 @@ _CENTRES = "ROUND(7.0::DOUBLE + (col + 0.5) * 0.002::DOUBLE, 6) AS longitude, RO
 
 @query("src_raster_scan", with_views(f"SELECT row, col, {_CENTRES}, population FROM cells WHERE population > 0"))
 def raster_scan(spark: SparkSession, d: str) -> DataFrame:
-    """A population raster read from its files, each strip in a task of its own: peopled pixels and their centres."""
-    r = spark.read.format("tiff").option("bytes", 1).load(raster_files(spark, d))
+    """A population raster read from its files, many small ones in a task: peopled pixels and their centres."""
+    r = spark.read.format("tiff").load(raster_files(spark, d))
     return r.where("value > 0").select("row", "col", F.round("x", 6).alias("longitude"), F.round("y", 6).alias("latitude"), F.col("value").alias("population"))
 
 
@@ -140,7 +140,7 @@ def shapefile_scan(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "shapes")
     name = F.concat(F.lit("Ward "), "ward_id").alias("name")
     cells(spark, d).select("ward_id", "row", "col", "population", name, shape_rings().alias("rings")).write.format("shapefile").option("path", path).mode("append").save()
-    s = spark.read.format("shapefile").option("records", 300).load(path)
+    s = spark.read.format("shapefile").load(path)
     areas = F.transform("rings", lambda r: -signed_area(r["xs"], r["ys"]))  # outer rings turn clockwise
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
     holes = F.filter("rings", lambda r: r["hole"])

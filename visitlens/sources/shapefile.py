@@ -6,8 +6,8 @@ one byte range of the shapes and one of the attribute table. Columns: the attrib
 that closes it. Outer rings turn clockwise and holes the other way; a hole is of the part that it lies in. Lines and points
 come as open parts. Empty shapes have no rings; records marked as deleted are left out; blank attributes are null.
 
-Writing (append) takes strings, whole numbers, doubles, booleans and a column `rings` of (hole, xs, ys); every task writes a set
-of files of its own, put in place when all tasks are done.
+Writing (append) takes strings, whole numbers, doubles, booleans and a column `rings` of (hole, xs, ys); every task writes sets
+of files of its own, put in place when all tasks are done; it holds the rows of one set at a time.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from visitlens.sources.files import Parts, files_under, opened
 
 #: Codes and sizes of the format (fixed values).
 FILE_CODE, VERSION, HEADER, NOTHING, POINTS, LINES, POLYGONS = 9994, 1000, 100, 0, (1, 11, 21), (3, 13, 23), (5, 15, 25)
+#: A writer's set of files has no more rows or bytes of shapes than these, and takes up so many rows at a time.
+FILE_ROWS, FILE_BYTES, STEP_ROWS = 20_000, 64 << 20, 1_000
 RING = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("hole", T.BooleanType()), T.StructField("xs", T.ArrayType(T.DoubleType())), T.StructField("ys", T.ArrayType(T.DoubleType()))])
 
 
@@ -209,28 +211,40 @@ class ShapefileWriter(DataSourceArrowWriter):
     schema: T.StructType
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        """Rows of a task are held until their sizes are known."""
+        """Rows are held until the sizes of a set of files are known: FILE_ROWS of them, or FILE_BYTES of shapes, and no more."""
         names = [f.name for f in self.schema if f.name != "rings"]
-        rows = [r for batch in iterator for r in batch.to_pylist()]
-        if not rows:
-            return Written([])
-        shapes = [shape_of(r["rings"]) for r in rows]
+        own, shapes, held, files = {n: [] for n in names}, [], 0, []
+        for batch in iterator:
+            for a in range(0, len(batch), STEP_ROWS):
+                part = batch.slice(a, STEP_ROWS)
+                for n in names:
+                    own[n] += part.column(n).to_pylist()
+                new = [shape_of(r) for r in part.column("rings").to_pylist()]
+                shapes, held = shapes + new, held + sum(map(len, new))
+                if len(shapes) >= FILE_ROWS or held >= FILE_BYTES:
+                    files += self.put(own, shapes)
+                    own, shapes, held = {n: [] for n in names}, [], 0
+        return Written(files + self.put(own, shapes) if shapes else files)
+
+    def put(self, own: dict[str, list], shapes: list[bytes]) -> list[tuple[str, str]]:
+        """Writes a set of files of the columns and shapes; their paths, for now and in the end."""
+        names = list(own)
         ends = np.cumsum([HEADER, *(8 + len(s) for s in shapes)])
-        xs, ys = ([v for r in rows for ring in r["rings"] or [] for v in ring[c]] or [0.0] for c in ("xs", "ys"))
-        box = (min(xs), min(ys), max(xs), max(ys))
+        boxes = np.array([struct.unpack("<4d", s[4:36]) for s in shapes if len(s) > 4] or [(0.0,) * 4])
+        box = (*boxes[:, :2].min(0), *boxes[:, 2:].max(0))
         shp = header(int(ends[-1]) // 2, box) + b"".join(struct.pack(">ii", i + 1, len(s) // 2) + s for i, s in enumerate(shapes))
-        shx = header((HEADER + 8 * len(rows)) // 2, box) + b"".join(struct.pack(">ii", int(a) // 2, len(s) // 2) for a, s in zip(ends, shapes, strict=False))
+        shx = header((HEADER + 8 * len(shapes)) // 2, box) + b"".join(struct.pack(">ii", int(a) // 2, len(s) // 2) for a, s in zip(ends, shapes, strict=False))
         cells, fields = [], []
         for n in names:
             kind = self.schema[n].dataType
             if isinstance(kind, T.BooleanType):
-                letter, text = "L", [" " if r[n] is None else "T" if r[n] else "F" for r in rows]
+                letter, text = "L", [" " if v is None else "T" if v else "F" for v in own[n]]
             elif isinstance(kind, (T.DoubleType, T.FloatType)):
-                letter, text = "F", ["" if r[n] is None else repr(float(r[n])) for r in rows]
+                letter, text = "F", ["" if v is None else repr(float(v)) for v in own[n]]
             elif isinstance(kind, T.IntegralType):
-                letter, text = "N", ["" if r[n] is None else str(r[n]) for r in rows]
+                letter, text = "N", ["" if v is None else str(v) for v in own[n]]
             else:
-                letter, text = "C", ["" if r[n] is None else str(r[n]) for r in rows]
+                letter, text = "C", ["" if v is None else str(v) for v in own[n]]
             raw = [t.encode() for t in text]
             size = {"L": 1, "N": 18, "F": 24}.get(letter) or max(1, *map(len, raw))
             if max(map(len, raw)) > min(size, 254) or len(n.encode()) > 10:
@@ -239,7 +253,7 @@ class ShapefileWriter(DataSourceArrowWriter):
             cells.append([v.ljust(size) if letter in "CL" else v.rjust(size) for v in raw])
         width = 1 + sum(len(c[0]) for c in cells)
         start = 32 + 32 * len(fields) + 1
-        dbf = struct.pack("<B3BIHH20x", 3, 100, 1, 1, len(rows), start, width) + b"".join(fields) + b"\r" + b"".join(b" " + b"".join(c) for c in zip(*cells, strict=True)) + b"\x1a"
+        dbf = struct.pack("<B3BIHH20x", 3, 100, 1, 1, len(shapes), start, width) + b"".join(fields) + b"\r" + b"".join(b" " + b"".join(c) for c in zip(*cells, strict=True)) + b"\x1a"
         store, at = opened(self.path)
         store.create_dir(f"{at}/_parts")
         mark, files = uuid.uuid4().hex, []
@@ -247,7 +261,7 @@ class ShapefileWriter(DataSourceArrowWriter):
             with store.open_output_stream(f"{at}/_parts/{mark}.{ending}") as out:
                 out.write(data)
             files.append((f"{at}/_parts/{mark}.{ending}", f"{at}/{mark}.{ending}"))
-        return Written(files)
+        return files
 
     def commit(self, messages: list[Written | None]) -> None:
         store, at = opened(self.path)
