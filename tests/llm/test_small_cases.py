@@ -481,6 +481,16 @@ def test_a_lower_order_counts_the_same_bytes(spark):
     assert five.sum().tolist() == four.sum().tolist()
 
 
+def test_the_order_never_depends_on_the_tables():
+    """The alphabet bounds the n-grams, so nothing has to be switched when tables grow."""
+    import inspect
+
+    text = np.unique(np.frombuffer(bytes(range(256)).lower(), np.uint8))
+    signs = np.unique(toxicity.running_text(text, np.array([0, len(text)]))[0])
+    assert len(signs) == 155 and len(signs) ** toxicity.ORDER < 1 << 22
+    assert "most_grams" not in inspect.signature(toxicity.learn).parameters
+
+
 def test_learning_is_bounded_and_the_same_on_any_partitions(spark, docs, labels):
     many = spark.createDataFrame([(7, f"text {k % 3}") for k in range(500)], "doc_id long, text string")
     rows = training_rows(many, spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, toxic int"), "toxic", 10).collect()

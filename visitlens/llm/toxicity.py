@@ -11,9 +11,9 @@ log-likelihood ratios, each divided by the number of bytes it is of, into a scor
 its passages of each length in `windows`. The curve is fitted on at most `rows` labelled documents, each read by models that
 leave out the counts of its own part of `FOLDS`.
 
-The model is broadcast if it has `most_grams` n-grams or fewer. Where an order has more, the next lower one is taken,
-whose n-grams are sums of the higher one's: no text and no n-gram is left out, histories are a byte shorter. (Two bytes
-have 65,536 n-grams at most.) A rerun gives the same scores on any number of partitions.
+N-grams are of three bytes. Running text has 155 different ones (26 letters, the space, 128 that are not ASCII), so a model has
+at most 155 ** 3 = 3,723,875 n-grams, which are broadcast, whatever the size of the tables: no score depends on it. A rerun gives
+the same scores on any number of partitions.
 
 Nulls: a null text is an empty one, and a text without bytes, or of ASCII signs only, has ratios of 0. Texts of any length are
 read whole. Null labels are not learnt from; with no
@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from visitlens.llm.common import flat_text, held_out, labelled_ids, ragged, steps, stored, table, texts_of
 from visitlens.llm.wordhash import HashTable
 
-ORDER, FOLDS = 5, 4
+ORDER, FOLDS = 3, 4
 WINDOWS = (8, 16, 48)
 _B = np.arange(256)
 _SIGN = (_B < 128) & ~(((_B | 32) >= 97) & ((_B | 32) <= 122))
@@ -180,15 +180,16 @@ def _sum_by_gram(counts: DataFrame, *key: str) -> DataFrame:
 
 
 def models_of(counts: DataFrame, order: int, most_grams: int) -> ClassModels:
-    """The models of the highest order that has at most `most_grams` n-grams, from a stored table of counts."""
-    return fold_models(counts, order, most_grams, 0)[0]
+    """The models of the highest order that has at most `most_grams` n-grams, from a stored table of counts; operator 1 does not
+    ask for this, as its order is fixed."""
+    while order > 2 and counts.select("gram").distinct().count() > most_grams:
+        counts, order = stored(_sum_by_gram(counts.withColumn("gram", F.shiftrightunsigned("gram", 8)), "gram"), "toxic-grams"), order - 1
+    return fold_models(counts, order, 0)[0]
 
 
-def fold_models(counts: DataFrame, order: int, most_grams: int, folds: int) -> list[ClassModels]:
+def fold_models(counts: DataFrame, order: int, folds: int) -> list[ClassModels]:
     """The models of all counts, then for each fold those of the counts of all others."""
     key = [c for c in ("gram", "fold") if c in counts.columns]
-    while order > 2 and counts.select("gram").distinct().count() > most_grams:
-        counts, order = stored(_sum_by_gram(counts.withColumn("gram", F.shiftrightunsigned("gram", 8)), *key), "toxic-grams"), order - 1
     got = counts.select(*key, *(F.col(c).cast("int") for c in ("toxic", "ordinary"))).toArrow()
     grams, at = np.unique(got["gram"].to_numpy().view(np.uint64), return_inverse=True)
     fold = got["fold"].to_numpy() if folds else np.zeros(len(at), np.int32)
@@ -264,7 +265,7 @@ def curve(x: np.ndarray, shape: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip((x - shape[0]) / shape[1] @ w[:-1] + w[-1], -30, 30)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = 4_000, order: int = ORDER, most_grams: int = 1 << 22, windows: tuple[int, ...] = WINDOWS, few: int = 1 << 21):
+def learn(docs: DataFrame, labels: DataFrame, rows: int = 4_000, order: int = ORDER, windows: tuple[int, ...] = WINDOWS, few: int = 1 << 21):
     """(broadcast models, shape and weights of the curve). The texts of all labelled ids are counted, those of at most `rows`
     ids are for the curve. `few` or fewer labelled ids are broadcast to the documents, more are shuffled to them."""
     spark = docs.sparkSession
@@ -273,7 +274,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 4_000, order: int = OR
     counted = F.broadcast(counted) if ids.count() <= few else counted
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     counts = stored(count_grams(texts.join(counted, "doc_id"), order), "toxic-grams")
-    whole, *parts = fold_models(counts, order, most_grams, FOLDS)
+    whole, *parts = fold_models(counts, order, FOLDS)
     for_curve = stored(texts_of(docs, ids.orderBy("order", "doc_id").limit(rows)), "toxic-curve")
     names, seen = ["text_ratio", *(f"best_{w}" for w in windows)], []
     for k, part in enumerate(parts):
