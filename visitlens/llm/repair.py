@@ -49,15 +49,16 @@ def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
-def _pairs(seq: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The pair that begins at each symbol but the last; _NONE over a document's end and, in a run of one symbol, at every
-    other place, so that places of one pair never overlap."""
-    key = (seq[:-1] << _HALF) | seq[1:]
-    key[last[:-1]] = _NONE
-    same = np.flatnonzero((seq[:-1] == seq[1:]) & (key != _NONE))
+def _pairs(seq: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The pair that begins at each place of `at`, which holds all places of two equal symbols; _NONE over a document's end and,
+    in a run of one symbol, at every other place, so that places of one pair never overlap."""
+    key = (seq[at] << _HALF) | seq[at + 1]
+    key[last[at]] = _NONE
+    own = np.flatnonzero((seq[at] == seq[at + 1]) & (key != _NONE))
+    same = at[own]
     fresh = np.concatenate([[True], same[1:] != same[:-1] + 1])[: len(same)]
     first = np.maximum.accumulate(np.where(fresh, np.arange(len(same)), 0))
-    key[same[(np.arange(len(same)) - first) % 2 == 1]] = _NONE
+    key[own[(np.arange(len(same)) - first) % 2 == 1]] = _NONE
     return key
 
 
@@ -72,7 +73,11 @@ def _frequent(key: np.ndarray, least: int) -> np.ndarray:
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, least: int = 12):
-    """(symbols, rules, expansion lengths, rules of each round, symbol ends) of ids whose documents end before `ends`."""
+    """(symbols, rules, expansion lengths, rules of each round, symbol ends) of ids whose documents end before `ends`.
+
+    Places of old symbols never become more, so after the first round only places of pairs that were frequent, those beside a new
+    symbol and those of two equal symbols are looked at.
+    """
     seq = ids.astype(np.uint64)
     last = np.zeros(len(seq), bool)
     last[ends[ends > 0] - 1] = True
@@ -80,21 +85,21 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, least: int = 12):
     rules, per_round = [], []
     in_slot, rank_of = np.zeros(1 << _SLOT_BITS, np.uint64), np.zeros(1 << _SLOT_BITS, np.int32)
     slot = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).view(np.int64)
+    open_ = np.ones(len(seq), bool)
     while len(seq) > 1:
-        key = _pairs(seq, last)
-        slots = slot(key)
+        some = np.flatnonzero(open_[:-1] | (seq[:-1] == seq[1:]))
+        own = _pairs(seq, last, some)
+        slots = slot(own)
         full = np.bincount(slots, minlength=1 << _SLOT_BITS) >= least
-        some = np.flatnonzero(full[slots])  # a pair in a slot with fewer places can't be frequent
-        own = key[some]
-        real = own != _NONE
-        some, own = some[real], own[real]
+        keep = full[slots] & (own != _NONE)  # a pair in a slot with fewer places can't be frequent
+        some, own = some[keep], own[keep]
         pairs = _frequent(own, least)
         if not len(pairs):
             break
         in_slot[:], slots = _NONE, slot(pairs)
         in_slot[slots], rank_of[slots] = pairs, np.arange(1, len(pairs) + 1)  # of two in one slot the more frequent stays
         slots = slot(own)
-        rank = np.zeros(len(key) + 2, np.int32)  # that of the place before at i, of the place i at i + 1, after it at i + 2
+        rank = np.zeros(len(seq) + 1, np.int32)  # that of the place before at i, of the place i at i + 1, after it at i + 2
         rank[some + 1] = np.where(in_slot[slots] == own, rank_of[slots], 0)
         at = some[(rank[some + 1] > rank[some]) & (rank[some + 1] > rank[some + 2])]
         rank = rank[1:-1]
@@ -102,11 +107,18 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, least: int = 12):
         chosen = places >= least  # the most frequent pair always is
         name = (len(length) - 1 + np.cumsum(chosen)).astype(np.uint64)
         at = at[chosen[rank[at] - 1]]
+        full[:] = False
+        full[slot(pairs)] = True
+        open_[:] = False
+        open_[some[full[slots]]] = True
+        open_[at] = True
         seq[at] = name[rank[at] - 1]
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        new = at - np.arange(len(at))  # a place is lost after each one
+        seq, last, open_ = seq[keep], last[keep], open_[keep]
+        open_[np.maximum(new - 1, 0)] = True
         pair = np.stack([pairs[chosen] >> _HALF, pairs[chosen] & _LOW], 1).astype(np.int64)
         length = np.concatenate([length, length[pair].sum(1)])
         rules.append(pair)
