@@ -71,6 +71,32 @@ def test_balls_are_those_of_one_worker_at_a_time(spark):
     assert got == {(r[0], r[1]): want.get((r[0], r[1]), -1) for r in rows}
 
 
+def test_balls_do_not_depend_on_how_places_are_dealt(spark, monkeypatch):
+    from visitlens.plans import grid
+
+    rng = np.random.default_rng(8)
+    rows = [(f, int(i), lat + round(float(a), 3), 7 + round(float(b), 3)) for i, (f, a, b) in enumerate(zip(rng.integers(0, 12, 900), rng.random(900) * 0.1, rng.random(900) * 0.1)) for f, lat in [(int(f), 9.0 if f % 2 else 65.0)]]
+    rows += [(99, 5000, None, 7.0), (99, 5001, 9.0, 7.0), (7, 5001, float("nan"), 7.0), (50, 6000, 9.0, 180.0), (50, 6001, 9.0, -179.999), (50, 6002, 9.0, 179.999)]
+    v = spark.createDataFrame(rows, "flw_id long, visit_id long, latitude double, longitude double")
+    whole = {(r.flw_id, r.visit_id): r.cluster for r in ball_clusters(v.where("flw_id <> 50"), 1.0, 3).collect()}
+    assert whole == {(r.flw_id, r.visit_id): r.cluster for r in ball_clusters(v.where("flw_id <> 50"), 1.0, 3, most=60).collect()}
+    with monkeypatch.context() as m:  # components are for workers with very many places
+        m.setattr(grid, "min_label_components", lambda *a, **b: 1 / 0)
+        assert {r.cluster for r in ball_clusters(v, 1.0, 3).where("flw_id = 50").collect()} == {6000}
+    want = {}
+    for f in {r[0] for r in rows} - {50}:
+        own = [r for r in rows if r[0] == f and r[2] is not None]
+        for r in own:
+            if want.setdefault((f, r[1]), -1) < 0:
+                near = [q for q in own if want.get((f, q[1]), -1) < 0 and km(r[2:], q[2:]) <= 1.0]
+                if len(near) >= 3:
+                    want |= {(f, q[1]): r[1] for q in near}
+    assert whole == want and len({c for (f, _), c in want.items() if f % 2 == 0}) > 5
+    p = np.array([r[2:] for r in sorted(rows[:900])])
+    start, first = np.array([True, *(a[0] != b[0] for a, b in zip(sorted(rows[:900])[1:], sorted(rows[:900]), strict=False))]), np.array([r[1] for r in sorted(rows[:900])])
+    assert np.array_equal(*(grid.balls_of_groups(start, p, first, np.ones(900, np.int64), 1.0, 3, most) for most in (1, 1 << 22)))
+
+
 def test_tours_go_to_the_nearest_place(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     got = {(r.flw_id, str(r.visit_day)): (r.stops, r.km) for r in registry.queries()["udf_nearest_neighbour_tour"](spark, "/root/testdata/sf0.001").collect()}

@@ -376,38 +376,106 @@ def seed_radius_clusters(spark: SparkSession, d: str) -> DataFrame:
     return ball_clusters(visits(spark, d).select("flw_id", "visit_id", "latitude", "longitude"), km=1.0, least=3)
 
 
-def ball_clusters(v: DataFrame, km: float, least: int) -> DataFrame:
-    """(flw_id, visit_id, cluster): cluster is the number of the visit whose ball took this one, or -1.
-
-    Places are what a worker's visits have in common: each with its number of visits and its first one. Balls only reach from
-    place to place within `km`, so places are split into components of grid cells that touch, and a task gets the places
-    of a component, in the order of their first visits; the result goes back to the visits by a join.
+def balls_of_groups(start: np.ndarray, place: np.ndarray, first: np.ndarray, n: np.ndarray, km: float, least: int, most: int = 1 << 22) -> np.ndarray:
+    """The first visit of the ball that takes each place (degrees), or -1. Rows are sorted by group and first visit; start marks
+    a group's first row. Candidates for a ball stand in the grid cells around its centre; `most` of them, or those of
+    one place, are compared at a time."""
+    group, heads, p = np.cumsum(start) - 1, np.flatnonzero(start), np.radians(place)
+    lat, lon = np.nan_to_num(place).T
+    reach = np.sin(km / 6371.0) / np.maximum(np.cos(np.radians(np.maximum.reduceat(np.abs(lat), heads))), 1e-9)
+    wide = np.where(reach < 1, np.degrees(np.arcsin(np.minimum(reach, 1))) * 1.001, 1000.0)
+    wide = np.where(np.maximum.reduceat(lon, heads) - np.minimum.reduceat(lon, heads) > 180, 1000.0, wide)  # balls may reach over the end of the longitudes
+    cell = lambda x: np.clip(np.floor(x), -(1 << 30), 1 << 30).astype(np.int64)
+    rows_of_cells, row = np.unique((group << 32) + cell(lat / (km / 110.0)), return_inverse=True)
+    column = cell(lon / wide[group])
+    span, column = int(column.max() - column.min()) + 4, column - column.min() + 2
+    key = row * span + column
+    order = np.argsort(key, kind="stable")
+    begin, count = [], []
+    for step in (-1, 0, 1):
+        other = np.searchsorted(rows_of_cells, rows_of_cells + step)
+        there = np.append(rows_of_cells, np.iinfo(np.int64).max)[other] == rows_of_cells + step
+        low, high = (np.searchsorted(key[order], other[row] * span + column + x, side=side) for x, side in ((-1, "left"), (1, "right")))
+        begin.append(low)
+        count.append(np.where(there[row], high - low, 0))
+    begin, count = np.stack(begin, 1), np.stack(count, 1)
+    total = np.cumsum(count.sum(1))
+    cluster, at = np.full(len(place), -1, np.int64), 0
+    while at < len(place):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        rows = at + np.flatnonzero(cluster[at:stop] < 0)
+        at = stop
+        size = count[rows].ravel()
+        i = np.repeat(rows, count[rows].sum(1))
+        j = order[np.arange(len(i)) + np.repeat(begin[rows].ravel() - np.cumsum(size) + size, size)]
+        a = np.sin((p[j, 0] - p[i, 0]) / 2) ** 2 + np.cos(p[i, 0]) * np.cos(p[j, 0]) * np.sin((p[j, 1] - p[i, 1]) / 2) ** 2
+        near = (2 * 6371.0 * np.arcsin(np.sqrt(a)) <= km) & (cluster[j] < 0)
+        i, j = i[near], j[near]
+        rows = rows[np.bincount(i, n[j], len(place))[rows] >= least]  # later there can only be fewer
+        for r, x, y in zip(rows.tolist(), np.searchsorted(i, rows).tolist(), np.searchsorted(i, rows, side="right").tolist(), strict=True):
+            if cluster[r] < 0:
+                own = j[x:y]
+                own = own[cluster[own] < 0]
+                if n[own].sum() >= least:
+                    cluster[own] = first[r]
+    return cluster
+
+
+def ball_clusters(v: DataFrame, km: float, least: int, most: int = 20_000) -> DataFrame:
+    """(flw_id, visit_id, cluster): cluster is the number of the visit whose ball took this one, or -1. Visits without a worker
+    or a place are left out.
+
+    Places are what a worker's visits have in common: each with its number of visits and its first one. A task gets whole workers,
+    one after the other, with their places in the order of their first visits; the result goes back to the visits by a join.
+    Balls only reach from place to place within `km`, so the places of a worker with more than `most` are split before, into
+    components of grid cells that touch.
     """
-    places = saved(v.groupBy("flw_id", "latitude", "longitude").agg(F.min("visit_id").alias("first"), F.count("*").alias("n")), "places")
-    lat, lon = km / 110.0, km / 100.0  # cells no smaller than a ball's reach at these latitudes
-    cell = places.withColumns({"a": F.floor(F.col("latitude") / lat), "b": F.floor(F.col("longitude") / lon)})
+    v = v.where("flw_id IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL")
+    places = saved(v.groupBy("flw_id", "latitude", "longitude").agg(F.min("visit_id").alias("first"), F.count("*").alias("n")).where("first IS NOT NULL"), "places")
+    far = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(km / 6371.0)) / F.cos(F.radians(F.max(F.abs("latitude")))))))
+    large = saved(places.groupBy("flw_id").agg(F.count("*").alias("places"), (far * 1.001).alias("wide")).where(F.col("places") > most).drop("places"), "large")
+
+    def answer(t: pa.Table) -> pa.RecordBatch:
+        flw, part, first, n, lat, lon = (t.column(k).to_numpy() for k in ("flw_id", "part", "first", "n", "latitude", "longitude"))
+        start = np.concatenate([[True], (flw[1:] != flw[:-1]) | (part[1:] != part[:-1])])
+        cluster = balls_of_groups(start, np.stack([lat, lon], 1), first, n, km, least)
+        return pa.record_batch([pa.array(x) for x in (flw, lat, lon, cluster)], names=["flw_id", "latitude", "longitude", "cluster"])
+
+    def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the last group, which may go on in the next batch
+        for b in batches:
+            flw, part = b.column("flw_id").to_numpy(), b.column("part").to_numpy()
+            cut = int(np.count_nonzero((flw != flw[-1:]) | (part != part[-1:])))
+            fresh = held and b.num_rows and (held[-1].column("flw_id")[-1].as_py(), held[-1].column("part")[-1].as_py()) != (flw[-1], part[-1])
+            if cut or fresh:
+                yield answer(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            if b.num_rows:
+                held.append(b.slice(cut))
+        if held:
+            yield answer(pa.Table.from_batches(held))
+
+    def taken(df: DataFrame) -> DataFrame:
+        ordered = df.repartition("flw_id", "part").sortWithinPartitions("flw_id", "part", "first", "latitude", "longitude")
+        return ordered.select("flw_id", "part", "first", "n", "latitude", "longitude").mapInArrow(balls, "flw_id bigint, latitude double, longitude double, cluster bigint")
+
+    whole = F.lit(0).cast("bigint")
+    if large.isEmpty():
+        found = taken(places.withColumn("part", whole))
+    else:
+        found = taken(places.join(large, "flw_id", "left_anti").withColumn("part", whole)).unionByName(taken(_in_components(places.join(large, "flw_id"), km)))
+    return v.join(found, ["flw_id", "latitude", "longitude"]).select("flw_id", "visit_id", "cluster")
+
+
+def _in_components(places: DataFrame, km: float) -> DataFrame:
+    """places with the component (part) of touching grid cells that each lies in; cells are no smaller than a ball's reach, which
+    is `wide` degrees of longitude."""
+    cell = places.withColumns({"a": F.floor(F.col("latitude") / (km / 110.0)), "b": F.floor(F.col("longitude") / F.col("wide"))})
     cells_ = saved(cell.groupBy("flw_id", "a", "b").agg(F.min("first").alias("id")), "cells")
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))))
     to = cells_.select("flw_id", F.col("id").alias("u"), "a", "b", F.explode(steps).alias("s")).select("flw_id", "u", (F.col("a") + F.col("s.i")).alias("a"), (F.col("b") + F.col("s.j")).alias("b"))
     labels = min_label_components(cells_.select("id"), to.join(cells_, ["flw_id", "a", "b"]).select("u", F.col("id").alias("v")))
-    of = cell.join(cells_, ["flw_id", "a", "b"]).join(labels, "id").select("component", "first", "n", "latitude", "longitude")
-
-    def balls(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("first").reset_index(drop=True)
-        p, n = np.radians(g[["latitude", "longitude"]].to_numpy()), g["n"].to_numpy()
-        cluster = np.full(len(p), -1)
-        for i in range(len(p)):
-            if cluster[i] >= 0:
-                continue
-            a = np.sin((p[:, 0] - p[i, 0]) / 2) ** 2 + np.cos(p[i, 0]) * np.cos(p[:, 0]) * np.sin((p[:, 1] - p[i, 1]) / 2) ** 2
-            near = (2 * 6371.0 * np.arcsin(np.sqrt(a)) <= km) & (cluster < 0)
-            if n[near].sum() >= least:
-                cluster[near] = g["first"][i]
-        return pd.DataFrame({"first": g["first"], "cluster": cluster})
-
-    taken = of.groupBy("component").applyInPandas(balls, "first bigint, cluster bigint")
-    named = places.join(taken, "first").select("flw_id", "latitude", "longitude", "cluster")
-    return v.join(named, ["flw_id", "latitude", "longitude"]).select("flw_id", "visit_id", "cluster")
+    return cell.join(cells_, ["flw_id", "a", "b"]).join(labels, "id").withColumnRenamed("component", "part")
 
 
 @query("aggr_cluster_details", with_views("SELECT service_area_id, COUNT(*) AS n, ROUND(AVG(buildings), 6) AS mean_buildings, MIN(du_name) AS first_du, MAX(du_name) AS last_du, ROUND(100.0 * COUNT(*) FILTER (WHERE buildings = 1) / COUNT(*), 4) AS single_pct, ROUND(100.0 * COUNT(*) FILTER (WHERE buildings <= 5) / COUNT(*), 4) AS upto_five_pct FROM dus GROUP BY service_area_id"))
