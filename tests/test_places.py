@@ -42,6 +42,31 @@ def test_names_are_matched_as_by_comparing_all(spark):
     assert got == want and len(want) > 40 and 900 in got and 901 not in got
 
 
+def test_two_names_are_compared_once(spark, monkeypatch, tmp_path):
+    from visitlens.plans import cleaning, intake
+
+    rng = np.random.default_rng(9)
+    name = lambda: "".join(rng.choice(list("abcde \u0130\U0001f600"), int(rng.integers(0, 14))))
+    a, b = [name() for _ in range(400)] + ["x" * 3000, "b a"], [name() for _ in range(400)] + ["yx" * 1500, "A  B"]
+    want = [token_sort_ratio(x, y) for x, y in zip(a, b, strict=True)]
+    assert all(cleaning.token_sort_ratios(a, b, most).tolist() == want for most in (1, 50, 1 << 20)) and not len(cleaning.token_sort_ratios([], []))
+    real, log = cleaning.token_sort_ratios, str(tmp_path)
+
+    def logged(a, b):
+        import uuid
+
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+            f.writelines(f"{x}|{y}\n" for x, y in zip(a, b, strict=True))
+        return real(a, b)
+
+    monkeypatch.setattr(intake, "token_sort_ratios", logged)
+    frame = lambda k: spark.createDataFrame([(k + i, n, "s", "l", f"w{i // 3}") for i, n in enumerate(["tudun wada", "sabon gari", "birnin kebbi"] * 20)], "id long, name string, state string, lga string, ward string")
+    got = {r.id: (r.match, r.ratio) for r in match_names(frame(0), frame(1000)).collect()}
+    assert got == {i: (1000 + i, 100.0) for i in range(60)}
+    compared = [x for p in tmp_path.iterdir() for x in p.read_text().splitlines()]
+    assert len(compared) == len(set(compared)) >= 3
+
+
 def test_grown_clusters(spark):
     rng = np.random.default_rng(2)
     p = [(i, int(x), int(y)) for i, (x, y) in enumerate(rng.integers(-40, 40, (120, 2)))]

@@ -304,3 +304,29 @@ def token_sort_ratio(a: str, b: str) -> float:
         hit = np.append(0, row[:-1] + (codes == ord(c)))
         row = np.maximum.accumulate(np.maximum(row, hit))
     return 200.0 * int(row[-1]) / (len(a) + len(b))
+
+
+def token_sort_ratios(a: list[str], b: list[str], most: int = 1 << 20) -> np.ndarray:
+    """The same of many pairs. Pairs of like lengths are compared together, `most` characters or one pair at a time."""
+    plain = {x: np.frombuffer(" ".join(sorted(x.lower().split())).encode("utf-32-le"), np.int32) for x in {*a, *b}}
+    a, b = [plain[x] for x in a], [plain[x] for x in b]
+    n, m = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+    out, order, at = np.zeros(len(a)), np.lexsort((n, m)), 0
+    order = order[(n > 0)[order] & (m > 0)[order]]
+    widest = np.maximum.accumulate(np.maximum(n, m)[order])
+
+    def padded(side: list[np.ndarray], lengths: np.ndarray, rows: np.ndarray, blank: int) -> np.ndarray:
+        codes = np.full((len(rows), int(lengths[rows].max())), blank, np.int32)
+        codes[np.arange(codes.shape[1]) < lengths[rows, None]] = np.concatenate([side[i] for i in rows])
+        return codes
+
+    while at < len(order):
+        stop = at + max(1, int(np.count_nonzero(widest[at:] * np.arange(1, len(order) - at + 1) <= most)))
+        rows, at = order[at:stop], stop
+        x, y = padded(a, n, rows, -1), padded(b, m, rows, -2)
+        row = np.zeros((len(rows), y.shape[1] + 1), np.int32)
+        for k in range(x.shape[1]):
+            row[:, 1:] = np.maximum(row[:, 1:], row[:, :-1] + (y == x[:, k, None]))
+            np.maximum.accumulate(row, axis=1, out=row)
+        out[rows] = 200.0 * row[:, -1] / (n[rows] + m[rows])
+    return out

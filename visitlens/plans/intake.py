@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from visitlens.plans.cleaning import token_sort_ratio
+from visitlens.plans.cleaning import token_sort_ratios
 from visitlens.registry import query
 from visitlens.sources.storage import saved, scratch, set_changed
 from visitlens.sources.views import cells, table, visits, with_views
@@ -146,7 +146,8 @@ def _keys(name: Column) -> Column:
 def match_names(v: DataFrame, s: DataFrame, least: float = 80.0) -> DataFrame:
     """(id, match, ratio): for each village of v (id, name, state, lga, ward) the settlement of s whose name is most like its
     own, at `least` per cent; ties go to the lowest id. Candidates are the settlements of the ward, of the area where the ward
-    has none, of the state where the area has none either. Names are compared once each, and only those that share a key."""
+    has none, of the state where the area has none either. Two names are compared once, however many wards have them both, and
+    only if they share a key in one."""
     levels = {"w": ("state", "lga", "ward"), "l": ("state", "lga"), "s": ("state",)}
     block = lambda level: F.concat_ws("\x1f", F.lit(level), *(F.lower(F.trim(c)) for c in levels[level]))
     sorted_name = F.array_join(F.array_sort(F.split(F.lower(F.trim(F.regexp_replace("name", r"\s+", " "))), " ")), " ")
@@ -159,14 +160,14 @@ def match_names(v: DataFrame, s: DataFrame, least: float = 80.0) -> DataFrame:
     asked = wanted.select("name", "block").distinct()
     left, right = (x.withColumn("key", F.explode(_keys(F.col(c)))) for x, c in ((asked, "name"), (names.select("block", "own"), "own")))
     alike = (F.length("own") * 3 >= F.length("name") * 2) & (F.length("own") * 2 <= F.length("name") * 3)
-    pairs = left.join(right, ["block", "key"]).where(alike).select("block", "name", "own").distinct()
+    pairs = saved(left.join(right, ["block", "key"]).where(alike).select("block", "name", "own").distinct(), "pairs")
 
     def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield x.assign(ratio=[token_sort_ratio(a, b) for a, b in zip(x["name"], x["own"], strict=True)])
+            yield x.assign(ratio=token_sort_ratios(x["name"].tolist(), x["own"].tolist()))
 
-    scored = pairs.mapInPandas(ratios, "block string, name string, own string, ratio double").where(F.col("ratio") >= least)
-    best = scored.join(names, ["block", "own"]).groupBy("block", "name").agg(F.max_by("match", F.struct("ratio", -F.col("match"))).alias("match"), F.max("ratio").alias("ratio"))
+    scored = pairs.select("name", "own").distinct().mapInPandas(ratios, "name string, own string, ratio double").where(F.col("ratio") >= least)
+    best = pairs.join(scored, ["name", "own"]).join(names, ["block", "own"]).groupBy("block", "name").agg(F.max_by("match", F.struct("ratio", -F.col("match"))).alias("match"), F.max("ratio").alias("ratio"))
     return wanted.join(best, ["block", "name"]).select("id", "match", F.round("ratio", 4).alias("ratio"))
 
 
