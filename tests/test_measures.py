@@ -173,3 +173,27 @@ def test_silhouettes_are_those_of_plain_python(spark):
         b = min(d[i, c == o].mean() for o in set(c) - {c[i]})
         s.append(0.0 if a is None else (b - a) / max(a, b))
     assert abs(np.mean(s) - got[k][0]) < 0.02
+
+
+def test_clusters_weigh_places_by_their_visits(spark, tmp_path, monkeypatch):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    from visitlens import registry
+    from visitlens.plans import learning
+
+    g = np.random.default_rng(12)
+    rows = [(k, int(g.integers(0, k)), float(x) / 1000, float(y) / 1000, int(n)) for k in (2, 4) for x, y, n in g.integers(1, 90, (60, 3))] + [(4, 9, 5.0, 5.0, 1)]
+    assigned = spark.createDataFrame(rows, "k int, prediction int, x double, y double, n long")
+    got = learning.silhouettes(assigned)
+    points = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(assigned.selectExpr("*", "explode(sequence(1, n)) AS i"))
+    for k in (2, 4):
+        assert abs(got[k] - ClusteringEvaluator().evaluate(points.where(F.col("k") == k).withColumn("prediction", F.col("prediction").cast("double")))) < 1e-9
+
+    # Ten thousand visits at 36 places in three groups: the models read 36 rows, and the best number of clusters is three.
+    e = spark.range(10_000).selectExpr("id * 100 + (id % 3) * 40 + (id DIV 3) % 6 AS event_id", "timestamp'2024-01-01' AS ts", "id % 7 AS user_id", "'view' AS event_type", "1.0D AS value", "concat('{\"k\": ', (id % 3) * 40 + (id DIV 18) % 2, '}') AS props")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    fit, sizes = learning.KMeans.fit, []
+    monkeypatch.setattr(learning.KMeans, "fit", lambda self, df, *a: (sizes.append(df.count()), fit(self, df, *a))[1])
+    out = {r.k: r for r in registry.queries()["ml_k_means"](spark, str(tmp_path)).collect()}
+    assert set(sizes) == {36} and [k for k in out if out[k].is_best] == [3] and out[3].silhouette > 0.9

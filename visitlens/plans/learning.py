@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -109,10 +108,10 @@ def fold_scores(spark: SparkSession, d: str) -> DataFrame:
     return auc.unionByName(over.unpivot([], ["mean", "std", "median"], "fold", "auc")).withColumn("auc", F.round("auc", 6))
 
 
-def without_lonely(v: DataFrame, key: str, metres: float) -> DataFrame:
-    """Rows (key, latitude, longitude) with another row of their key within so many metres. Places are counted first; a place of
-    two rows needs no other, and the others look in the grid cells around them."""
-    places = v.groupBy(key, "latitude", "longitude").agg(F.count("*").alias("n"))
+def company(v: DataFrame, key: str, metres: float) -> DataFrame:
+    """Places (key, latitude, longitude) of rows with another row of their key within so many metres, each with its number n of
+    rows. A place of two rows needs no other, and the others look in the grid cells around them."""
+    places = saved(v.groupBy(key, "latitude", "longitude").agg(F.count("*").alias("n")), "places")
     lat, lon = metres / 110_000, metres / 100_000
     cell = places.withColumns({"a": F.floor(F.col("latitude") / lat), "b": F.floor(F.col("longitude") / lon)})
     around = F.sequence(F.lit(-1), F.lit(1))
@@ -120,18 +119,43 @@ def without_lonely(v: DataFrame, key: str, metres: float) -> DataFrame:
     other = cell.select(key, "a", "b", F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"))
     km = haversine_km(F.col("latitude"), F.col("longitude"), F.col("lat2"), F.col("lon2"))
     close = spread.join(other, [key, "a", "b"]).where((km <= metres / 1000) & ((F.col("latitude") != F.col("lat2")) | (F.col("longitude") != F.col("lon2"))))
-    met = close.select(key, "latitude", "longitude").distinct().unionByName(places.where("n > 1").select(key, "latitude", "longitude"))
-    return v.join(met, [key, "latitude", "longitude"], "left_semi")
+    return close.select(key, "latitude", "longitude", "n").distinct().unionByName(places.where("n > 1").select(key, "latitude", "longitude", "n"))
+
+
+def without_lonely(v: DataFrame, key: str, metres: float) -> DataFrame:
+    """Rows (key, latitude, longitude) with another row of their key within so many metres."""
+    return v.join(company(v, key, metres), [key, "latitude", "longitude"], "left_semi")
+
+
+def silhouettes(assigned: DataFrame) -> dict[int, float]:
+    """For each k, the mean silhouette of squared distances over assigned (k, prediction, x, y, n): n points at a place, in a
+    cluster. Sums of the clusters give every mean distance; a point alone in its cluster counts as zero."""
+    sums = assigned.groupBy("k", "prediction").agg(F.sum("n").alias("w"), *(F.sum(F.col("n") * F.col(c)).alias(f"s{c}") for c in "xy"), F.sum(F.col("n") * (F.col("x") * F.col("x") + F.col("y") * F.col("y"))).alias("q"))
+    table = F.broadcast(sums.groupBy("k").agg(F.collect_list(F.struct("prediction", "w", "sx", "sy", "q")).alias("clusters")))  # k clusters each
+    square = F.col("x") * F.col("x") + F.col("y") * F.col("y")
+    far = lambda c: F.greatest(F.lit(0.0), square + (c["q"] - 2 * (F.col("x") * c["sx"] + F.col("y") * c["sy"])) / c["w"])
+    own = F.filter("clusters", lambda c: c["prediction"] == F.col("prediction"))[0]
+    inner = far(own) * own["w"] / (own["w"] - 1)
+    outer = F.array_min(F.transform(F.filter("clusters", lambda c: c["prediction"] != F.col("prediction")), far))
+    value = F.when(own["w"] > 1, F.coalesce(F.try_divide(outer - inner, F.greatest(outer, inner)), F.lit(0.0))).otherwise(0.0)
+    means = assigned.join(table, "k").groupBy("k").agg((F.sum(F.col("n") * value) / F.sum("n")).alias("s"))
+    return {r.k: r.s for r in means.collect()}  # a row for each k
 
 
 @query("ml_k_means")
 def k_means(spark: SparkSession, d: str) -> DataFrame:
     """Places of the visits without those that are alone within five hundred metres, in two to ten clusters; the number with the
-    best silhouette is marked."""
-    v = without_lonely(visits(spark, d).select(F.lit(0).alias("all"), "visit_id", "latitude", "longitude"), "all", 500.0)
-    points = saved(VectorAssembler(inputCols=["latitude", "longitude"], outputCol="features").transform(v.select("visit_id", "latitude", "longitude")).select("visit_id", "features"), "points")
-    most = min(10, points.select("features").distinct().count() - 1)
-    scores = [(k, ClusteringEvaluator().evaluate(KMeans(k=k, seed=42).fit(points).transform(points))) for k in range(2, most + 1)]
+    best silhouette is marked. Models learn from places that weigh as many visits as they have."""
+    v = visits(spark, d).where("latitude IS NOT NULL AND longitude IS NOT NULL")
+    places = company(v.select(F.lit(0).alias("all"), "latitude", "longitude"), "all", 500.0).select("latitude", "longitude", F.col("n").cast("double").alias("n"))
+    points = saved(VectorAssembler(inputCols=["latitude", "longitude"], outputCol="features").transform(places), "points")
+    most = min(10, points.count() - 1)
+    assigned = None
+    for k in range(2, most + 1):  # nine models at most
+        model = KMeans(k=k, seed=42, weightCol="n").fit(points)
+        own = model.transform(points).select(F.lit(k).alias("k"), "prediction", F.col("latitude").alias("x"), F.col("longitude").alias("y"), "n")
+        assigned = own if assigned is None else assigned.unionByName(own)
+    scores = sorted(silhouettes(saved(assigned, "assigned")).items()) if assigned is not None else []
     best = max(scores, key=lambda x: x[1])[0] if scores else None
     return spark.createDataFrame([(k, round(s, 6), k == best) for k, s in scores], "k int, silhouette double, is_best boolean")
 
