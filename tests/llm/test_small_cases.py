@@ -613,3 +613,21 @@ def test_packing_costs_little_more_than_the_least(demand):
     cost = sum(packing.padded(sum(s * k for s, k in items.items()), capacity) * n for items, n in packing.packing_plan(dict(demand), capacity))
     bound = sum(packing.padded(sum(s * k for s, k in p.items()), capacity) * n for p, n in packing.fractional_patterns(dict(demand), capacity))
     assert least <= cost <= least + capacity and bound <= least * 1.001
+
+
+def test_grammars_hold_where_frequent_pairs_share_a_slot(monkeypatch):
+    import numpy as np
+
+    from visitlens.llm import repair
+
+    g = np.random.default_rng(3)
+    for bits in (1, 4, 17):
+        monkeypatch.setattr(repair, "_RANK_BITS", bits)
+        ids, ends = g.zipf(1.4, 4000).clip(0, 40).astype(np.uint32), np.array([0, 7, 7, 2500, 4000])
+        symbols, rules, lengths, rounds, stops = repair.compress(ids, ends, 41, least=4)
+        grammar = repair.Grammar(rules, rounds, 41)
+        assert len(rules) and np.array_equal(grammar.expand(symbols), ids)
+        assert [len(grammar.expand(symbols[:x])) for x in stops] == ends.tolist()
+        last = np.zeros(len(symbols), bool)
+        last[stops[stops > 0] - 1] = True
+        assert not len(repair._frequent((k := repair._pairs(symbols.astype(np.uint64), last, np.arange(len(symbols) - 1)))[k != repair._NONE], 4))

@@ -35,7 +35,7 @@ from visitlens.llm.tokens import encoder, tokenizer_path
 
 BLOCKS = "part int, block int, vocab int, first_doc bigint, last_doc bigint, doc_ids array<bigint>, n_ids array<int>, symbol_ends array<int>, rounds array<int>, rules binary, rule_lengths array<int>, symbols binary"
 _NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
-_SLOT_BITS = 21
+_SLOT_BITS, _RANK_BITS = 21, 17
 _NONE = np.uint64(2**64 - 1)
 _HALF, _LOW = np.uint64(32), np.uint64(2**32 - 1)
 
@@ -52,9 +52,11 @@ def from_planes(data: bytes) -> np.ndarray:
 def _pairs(seq: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The pair that begins at each place of `at`, which holds all places of two equal symbols; _NONE over a document's end and,
     in a run of one symbol, at every other place, so that places of one pair never overlap."""
-    key = (seq[at] << _HALF) | seq[at + 1]
-    key[last[at]] = _NONE
-    own = np.flatnonzero((seq[at] == seq[at + 1]) & (key != _NONE))
+    every = len(at) == len(seq) - 1
+    left, right = (seq[:-1], seq[1:]) if every else (seq[at], seq[at + 1])
+    key = (left << _HALF) | right
+    key[last[:-1] if every else last[at]] = _NONE
+    own = np.flatnonzero((left == right) & (key != _NONE))
     same = at[own]
     fresh = np.concatenate([[True], same[1:] != same[:-1] + 1])[: len(same)]
     first = np.maximum.accumulate(np.where(fresh, np.arange(len(same)), 0))
@@ -83,7 +85,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, least: int = 12):
     last[ends[ends > 0] - 1] = True
     length = np.ones(vocab, np.int64)
     rules, per_round = [], []
-    in_slot, rank_of = np.zeros(1 << _SLOT_BITS, np.uint64), np.zeros(1 << _SLOT_BITS, np.int32)
+    rank_of = np.zeros(1 << _RANK_BITS, np.int32)  # small, so that it stays near the processor
     slot = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).view(np.int64)
     open_ = np.ones(len(seq), bool)
     while len(seq) > 1:
@@ -91,17 +93,20 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, least: int = 12):
         own = _pairs(seq, last, some)
         slots = slot(own)
         full = np.bincount(slots, minlength=1 << _SLOT_BITS) >= least
-        keep = full[slots] & (own != _NONE)  # a pair in a slot with fewer places can't be frequent
-        some, own = some[keep], own[keep]
+        keep = np.flatnonzero(full[slots] & (own != _NONE))  # a pair in a slot with fewer places can't be frequent
+        some, own, slots = some[keep], own[keep], slots[keep]
         pairs = _frequent(own, least)
         if not len(pairs):
             break
-        in_slot[:], slots = _NONE, slot(pairs)
-        in_slot[slots], rank_of[slots] = pairs, np.arange(1, len(pairs) + 1)  # of two in one slot the more frequent stays
-        slots = slot(own)
+        rank_of[:] = 0
+        rank_of[slot(pairs) >> (_SLOT_BITS - _RANK_BITS)] = np.arange(1, len(pairs) + 1)  # of two in one slot the more frequent stays
+        found = rank_of[slots >> (_SLOT_BITS - _RANK_BITS)]
+        found[pairs[found - 1] != own] = 0
+        held = np.flatnonzero(found)
+        at, found = some[held], found[held]
         rank = np.zeros(len(seq) + 1, np.int32)  # that of the place before at i, of the place i at i + 1, after it at i + 2
-        rank[some + 1] = np.where(in_slot[slots] == own, rank_of[slots], 0)
-        at = some[(rank[some + 1] > rank[some]) & (rank[some + 1] > rank[some + 2])]
+        rank[at + 1] = found
+        at = at[(found > rank[at]) & (found > rank[at + 2])]
         rank = rank[1:-1]
         places = np.bincount(rank[at] - 1, minlength=len(pairs))
         chosen = places >= least  # the most frequent pair always is
@@ -116,6 +121,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, least: int = 12):
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
+        keep = np.flatnonzero(keep)
         new = at - np.arange(len(at))  # a place is lost after each one
         seq, last, open_ = seq[keep], last[keep], open_[keep]
         open_[np.maximum(new - 1, 0)] = True
