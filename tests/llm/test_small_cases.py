@@ -631,3 +631,58 @@ def test_grammars_hold_where_frequent_pairs_share_a_slot(monkeypatch):
         last = np.zeros(len(symbols), bool)
         last[stops[stops > 0] - 1] = True
         assert not len(repair._frequent((k := repair._pairs(symbols.astype(np.uint64), last, np.arange(len(symbols) - 1)))[k != repair._NONE], 4))
+
+
+def test_all_frequent_pairs_are_replaced_in_one_round(monkeypatch):
+    import numpy as np
+
+    from visitlens.llm import repair
+
+    n = 20_000  # pairs of four places each, in documents of one pair; some would share a slot of a hash table
+    ids = np.random.default_rng(7).permuted(np.tile(np.arange(n), 4)).repeat(2) * 2 + np.tile([0, 1], 4 * n)
+    ends = np.arange(2, len(ids) + 1, 2)
+    symbols, rules, lengths, rounds, stops = repair.compress(ids.astype(np.uint32), ends, 2 * n, least=4)
+    assert rounds == [n] and len(symbols) == 4 * n and (lengths == 2).all()
+    assert sorted(rules.tolist()) == [[2 * k, 2 * k + 1] for k in range(n)]
+    # A pair and its place in one number or in two: the same grammar.
+    g = np.random.default_rng(8)
+    ids, ends = g.zipf(1.3, 30_000).clip(0, 60).astype(np.uint32), np.array([0, 1, 1, 900, 901, 30_000])
+    whole = repair.compress(ids, ends, 61, least=4)
+    monkeypatch.setattr(repair, "_RANK_BITS", 3)
+    for a, b in zip(whole, repair.compress(ids, ends, 61, least=4), strict=True):
+        assert np.array_equal(a, b)
+    for size in (0, 1, 2):
+        symbols, rules, _, rounds, stops = repair.compress(ids[:size], np.array([0, size]), 61)
+        assert symbols.tolist() == ids[:size].tolist() and len(rules) == 0 and rounds == [] and stops.tolist() == [0, size]
+
+
+def test_words_met_again_stay_when_the_cache_is_full():
+    import numpy as np
+
+    from visitlens.llm.wordhash import WordCache
+
+    computed = Counter()
+
+    def compute(raw, starts, lengths):
+        words = [raw[a : a + n].tobytes() for a, n in zip(starts, lengths, strict=True)]
+        computed.update(words)
+        return np.array([int(w) for w in words for _ in range(int(w) % 3)], np.int64), np.array([int(w) % 3 for w in words])
+
+    def look(cache, numbers):
+        words = [b"%d" % k for k in numbers]
+        lengths = np.array([len(w) for w in words])
+        row = cache.rows(np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths, lengths)
+        for k, r in zip(numbers, row, strict=True):
+            assert cache.pool[cache.offset[r] : cache.offset[r] + cache.count[r]].tolist() == [k] * (k % 3)
+        assert cache.table.rows <= cache.table.capacity
+
+    cache = WordCache(compute, np.int64, capacity=100, pool=10_000)
+    for k in range(40):  # ten words that come again and again, thirty that don't
+        look(cache, [*range(10), *range(1000 + 30 * k, 1030 + 30 * k)])
+    assert all(computed[b"%d" % k] == 1 for k in range(10)) and max(computed.values()) == 1
+    for pool in (10_000, 60):  # all come again: half of them stay at most, by number and by length
+        computed.clear()
+        cache = WordCache(compute, np.int64, capacity=100, pool=pool)
+        for numbers in (range(90), range(90), range(90, 120), range(90), range(300), range(5)):
+            look(cache, list(numbers))
+    assert computed[b"89"] > 1

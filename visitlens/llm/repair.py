@@ -35,9 +35,9 @@ from visitlens.llm.tokens import encoder, tokenizer_path
 
 BLOCKS = "part int, block int, vocab int, first_doc bigint, last_doc bigint, doc_ids array<bigint>, n_ids array<int>, symbol_ends array<int>, rounds array<int>, rules binary, rule_lengths array<int>, symbols binary"
 _NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
-_SLOT_BITS, _RANK_BITS = 21, 17
+#: Where all symbols need no more bits than this, a pair and its place are sorted as one 64-bit number.
+_RANK_BITS = 20
 _NONE = np.uint64(2**64 - 1)
-_HALF, _LOW = np.uint64(32), np.uint64(2**32 - 1)
 
 
 def planes(symbols: np.ndarray) -> bytes:
@@ -49,90 +49,130 @@ def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
+def _keys(left: np.ndarray, right: np.ndarray, stop: np.ndarray, at: np.ndarray, after: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the pair that begins at each place of `at`, which of `at` begin two equal symbols). `at` holds all such places, `after` the
+    places that follow. The pair is _NONE over a document's end (`stop`) and, in a run of one symbol, at every other place, so
+    that places of one pair never overlap."""
+    key = left.astype(np.uint64)
+    key <<= np.uint64(bits)
+    key |= right
+    key[stop] = _NONE
+    own = np.flatnonzero((left == right) & ~stop)
+    fresh = np.concatenate([[True], at[own[1:]] != after[own[:-1]]])[: len(own)]
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(own)), 0))
+    key[own[(np.arange(len(own)) - first) % 2 == 1]] = _NONE
+    return key, own
+
+
 def _pairs(seq: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The pair that begins at each place of `at`, which holds all places of two equal symbols; _NONE over a document's end and,
-    in a run of one symbol, at every other place, so that places of one pair never overlap."""
-    every = len(at) == len(seq) - 1
-    left, right = (seq[:-1], seq[1:]) if every else (seq[at], seq[at + 1])
-    key = (left << _HALF) | right
-    key[last[:-1] if every else last[at]] = _NONE
-    own = np.flatnonzero((left == right) & (key != _NONE))
-    same = at[own]
-    fresh = np.concatenate([[True], same[1:] != same[:-1] + 1])[: len(same)]
-    first = np.maximum.accumulate(np.where(fresh, np.arange(len(same)), 0))
-    key[own[(np.arange(len(same)) - first) % 2 == 1]] = _NONE
-    return key
+    """The same of symbols that lie side by side."""
+    return _keys(seq[at], seq[at + 1], last[at], at, at + 1, 32)[0]
 
 
-def _frequent(key: np.ndarray, least: int) -> np.ndarray:
-    """The keys with `least` places or more, the most frequent last; ties by key."""
-    s = np.sort(key)
+def _runs(s: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, first place, number of places) of the values with `least` places or more in sorted s, the most frequent last;
+    ties by value."""
     at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])[: len(s)])
     n = np.diff(np.append(at, len(s)))
-    enough = n >= least
-    pairs, n = s[at[enough]], n[enough]
-    return pairs[np.lexsort((pairs, n))]
+    enough = np.flatnonzero(n >= least)
+    enough = enough[np.argsort(n[enough], kind="stable")]
+    return s[at[enough]], at[enough], n[enough]
+
+
+def _frequent(key: np.ndarray, least: int) -> np.ndarray:
+    """The keys with `least` places or more, the most frequent last; ties by key."""
+    return _runs(np.sort(key), least)[0]
+
+
+def _ranked(key: np.ndarray, at: np.ndarray, least: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(frequent pairs, the most frequent last; their places in any order; the rank of each place's pair, from 1). Symbols of a pair have `bits`
+    bits each. Where these leave room for a place, one sort puts pairs and places in order."""
+    room = 64 - 2 * bits
+    if room and int(at[-1]) < (1 << room) - 1:
+        s = key << np.uint64(room)
+        s |= at.view(np.uint64)
+        s[key == _NONE] = _NONE
+        s.sort()
+        s = s[: np.searchsorted(s, _NONE)]
+        pairs, first, n = _runs(s >> np.uint64(room), least)
+        held = ragged(first, n)
+        return pairs, (s[held] & np.uint64((1 << room) - 1)).view(np.int64), np.repeat(np.arange(1, len(pairs) + 1, dtype=np.int32), n)
+    known = np.flatnonzero(key != _NONE)
+    key, at = key[known], at[known]
+    pairs = _frequent(key, least)
+    order = np.argsort(pairs)
+    rank = order[np.minimum(np.searchsorted(pairs, key, sorter=order), len(pairs) - 1)] if len(pairs) else np.zeros(0, np.int64)
+    held = np.flatnonzero(pairs[rank] == key) if len(pairs) else rank
+    return pairs, at[held], rank[held] + 1
+
+
+def _in_order(parts: list[np.ndarray], without: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """The places of all parts in their order, each once. Many are read from `flags`, which are False before and after."""
+    if sum(map(len, parts)) < len(flags) >> 5:
+        return np.setdiff1d(np.concatenate(parts), without)
+    for x in parts:
+        flags[x] = True
+    flags[without] = False
+    places = np.flatnonzero(flags)
+    flags[places] = False
+    return places
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, least: int = 12):
     """(symbols, rules, expansion lengths, rules of each round, symbol ends) of ids whose documents end before `ends`.
 
     Places of old symbols never become more, so after the first round only places of pairs that were frequent, those beside a new
-    symbol and those of two equal symbols are looked at.
+    symbol and those of two equal symbols are looked at. Symbols stay where they are, linked to the next and the one before, so
+    that a round costs what it looks at.
     """
-    seq = ids.astype(np.uint64)
-    last = np.zeros(len(seq), bool)
+    size = len(ids)
+    seq = np.append(ids, 0).astype(np.uint32)
+    last = np.zeros(size + 1, bool)
     last[ends[ends > 0] - 1] = True
+    after, before = np.arange(1, size + 2), np.arange(-1, size)  # place `size` is beyond both ends
+    after[size], before[0] = size, size
     length = np.ones(vocab, np.int64)
     rules, per_round = [], []
-    rank_of = np.zeros(1 << _RANK_BITS, np.int32)  # small, so that it stays near the processor
-    slot = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).view(np.int64)
-    open_ = np.ones(len(seq), bool)
-    while len(seq) > 1:
-        some = np.flatnonzero(open_[:-1] | (seq[:-1] == seq[1:]))
-        own = _pairs(seq, last, some)
-        slots = slot(own)
-        full = np.bincount(slots, minlength=1 << _SLOT_BITS) >= least
-        keep = np.flatnonzero(full[slots] & (own != _NONE))  # a pair in a slot with fewer places can't be frequent
-        some, own, slots = some[keep], own[keep], slots[keep]
-        pairs = _frequent(own, least)
+    rank = np.zeros(size + 1, np.int32)
+    alive, flags = np.ones(size, bool), np.zeros(size + 1, bool)
+    some = np.arange(size - 1)
+    while len(some):
+        bits = _RANK_BITS if len(length) <= 1 << _RANK_BITS else 32
+        if rules:
+            follow = after[some]
+            key, same = _keys(seq[some], seq[follow], last[some], some, follow, bits)
+        else:
+            key, same = _keys(seq[:-2], seq[1:-1], last[:-2], some, after[:-2], bits)
+        pairs, held, found = _ranked(key, some, least, bits)
         if not len(pairs):
             break
-        rank_of[:] = 0
-        rank_of[slot(pairs) >> (_SLOT_BITS - _RANK_BITS)] = np.arange(1, len(pairs) + 1)  # of two in one slot the more frequent stays
-        found = rank_of[slots >> (_SLOT_BITS - _RANK_BITS)]
-        found[pairs[found - 1] != own] = 0
-        held = np.flatnonzero(found)
-        at, found = some[held], found[held]
-        rank = np.zeros(len(seq) + 1, np.int32)  # that of the place before at i, of the place i at i + 1, after it at i + 2
-        rank[at + 1] = found
-        at = at[(found > rank[at]) & (found > rank[at + 2])]
-        rank = rank[1:-1]
-        places = np.bincount(rank[at] - 1, minlength=len(pairs))
-        chosen = places >= least  # the most frequent pair always is
-        name = (len(length) - 1 + np.cumsum(chosen)).astype(np.uint64)
-        at = at[chosen[rank[at] - 1]]
-        full[:] = False
-        full[slot(pairs)] = True
-        open_[:] = False
-        open_[some[full[slots]]] = True
-        open_[at] = True
-        seq[at] = name[rank[at] - 1]
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        keep = np.flatnonzero(keep)
-        new = at - np.arange(len(at))  # a place is lost after each one
-        seq, last, open_ = seq[keep], last[keep], open_[keep]
-        open_[np.maximum(new - 1, 0)] = True
-        pair = np.stack([pairs[chosen] >> _HALF, pairs[chosen] & _LOW], 1).astype(np.int64)
+        rank[held] = found
+        held = _in_order([held], held[:0], flags)  # in their order places lie near one another
+        found, follow = rank[held], after[held]
+        won = np.flatnonzero((found > rank[before[held]]) & (found > rank[follow]))
+        rank[held] = 0
+        found = found[won] - 1
+        chosen = np.bincount(found, minlength=len(pairs)) >= least  # the most frequent pair always is
+        name = (len(length) - 1 + np.cumsum(chosen)).astype(np.uint32)
+        kept = np.flatnonzero(chosen[found])
+        found, won = found[kept], won[kept]
+        at, gone = held[won], follow[won]
+        seq[at] = name[found]
+        last[at] = last[gone]
+        alive[gone] = False
+        after[at] = after[gone]
+        before[after[at]] = at
+        some = _in_order([held, some[same], before[at]], np.append(gone, size), flags)
+        pair = np.stack([pairs[chosen] >> np.uint64(bits), pairs[chosen] & np.uint64((1 << bits) - 1)], 1).astype(np.int64)
         length = np.concatenate([length, length[pair].sum(1)])
         rules.append(pair)
         per_round.append(len(pair))
+    keep = np.flatnonzero(alive)
+    seq, last = seq[keep], last[keep]
     stops = np.zeros(len(ends), np.int64)
     stops[ends > np.concatenate([[0], ends[:-1]])] = np.flatnonzero(last) + 1
     table_ = np.concatenate(rules).astype(np.uint32) if rules else np.zeros((0, 2), np.uint32)
-    return seq.astype(np.uint32), table_, length[vocab:], per_round, np.maximum.accumulate(stops)
+    return seq, table_, length[vocab:], per_round, np.maximum.accumulate(stops)
 
 
 class Grammar:

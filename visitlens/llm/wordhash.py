@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from visitlens.llm.common import ragged
+
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _S = np.uint64(29)
 #: Bytes beyond which a word is hashed on its own.
@@ -113,7 +115,8 @@ def distinct(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordCache:
-    """Spans of values for each distinct word. compute(raw, starts, lengths) gives (values, counts) for new words."""
+    """Spans of values for each distinct word. compute(raw, starts, lengths) gives (values, counts) for new words. When it is full,
+    words that were met again since they came in, or since it was last full, stay, but fill no more than half of it."""
 
     def __init__(self, compute, dtype, capacity: int = 1_000_000, pool: int = 8_000_000):
         self.compute, self.dtype, self.pool_limit = compute, dtype, pool
@@ -124,29 +127,51 @@ class WordCache:
         self.table.clear()
         self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
         self.offset, self.count = np.zeros(self.table.capacity + 1, np.int64), np.zeros(self.table.capacity + 1, np.int32)
+        self.again = np.zeros(self.table.capacity + 1, bool)
+
+    def _thin(self) -> None:
+        """Leaves words that were met again, as rows 0, 1, ..."""
+        slots = np.flatnonzero(self.table.key)
+        slots = slots[self.again[self.table.value[slots]]]
+        filled = np.cumsum(self.count[self.table.value[slots]], dtype=np.int64)
+        slots = slots[: min(self.table.capacity // 2, int(np.searchsorted(filled, self.pool_limit // 2, side="right")))]
+        h1, h2, rows = self.table.key[slots], self.table.check[slots], self.table.value[slots]
+        counts = self.count[rows].astype(np.int64)
+        values = self.pool[ragged(self.offset[rows], counts)]
+        self.clear()
+        self._add(h1, h2, values, counts)
+
+    def _add(self, h1: np.ndarray, h2: np.ndarray, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        new = self.table.add(h1, h2)
+        need = self.used + len(values)
+        if need > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), need - len(self.pool)), self.dtype)])
+        self.pool[self.used : need] = values
+        self.offset[new], self.count[new] = self.used + np.cumsum(counts) - counts, counts
+        self.used = need
+        return new
 
     def rows(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Row of each word; offset[row] and count[row] give its span in pool."""
         h1, h2 = word_hashes(raw, starts, lengths)
         row = self.table.find(h1, h2)
+        self.again[row] = True  # of missing words the last, which is no row
         missing = np.flatnonzero(row < 0)
         if len(missing):
             first, inverse = distinct(h1[missing], h2[missing])
             if self.table.rows + len(first) > self.table.capacity or self.used > self.pool_limit:
-                self.clear()
-                missing = np.arange(len(row))
-                first, inverse = distinct(h1, h2)
-                if len(first) > self.table.capacity:
-                    self.table = HashTable(len(first))
+                self._thin()
+                row = self.table.find(h1, h2)
+                missing = np.flatnonzero(row < 0)
+                first, inverse = distinct(h1[missing], h2[missing])
+                if self.table.rows + len(first) > self.table.capacity:
                     self.clear()
+                    missing = np.arange(len(row))
+                    first, inverse = distinct(h1, h2)
+                    if len(first) > self.table.capacity:
+                        self.table = HashTable(len(first))
+                        self.clear()
             pick = missing[first]
             values, counts = self.compute(raw, starts[pick], lengths[pick])
-            new = self.table.add(h1[pick], h2[pick])
-            need = self.used + len(values)
-            if need > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), need - len(self.pool)), self.dtype)])
-            self.pool[self.used : need] = values
-            self.offset[new], self.count[new] = self.used + np.cumsum(counts) - counts, counts
-            self.used = need
-            row[missing] = new[inverse]
+            row[missing] = self._add(h1[pick], h2[pick], values, counts)[inverse]
         return row
