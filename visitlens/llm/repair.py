@@ -85,15 +85,16 @@ def _frequent(key: np.ndarray, least: int) -> np.ndarray:
 
 
 def _ranked(key: np.ndarray, at: np.ndarray, least: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(frequent pairs, the most frequent last; their places in any order; the rank of each place's pair, from 1). Symbols of a pair have `bits`
-    bits each. Where these leave room for a place, one sort puts pairs and places in order."""
+    """(frequent pairs, the most frequent last; their places in any order; the rank of each place's pair, from 1). Symbols of a
+    pair have `bits` bits each. Where these leave room for a place, one sort puts pairs and places in order. `key` may change."""
     room = 64 - 2 * bits
     if room and int(at[-1]) < (1 << room) - 1:
-        s = key << np.uint64(room)
-        s |= at.view(np.uint64)
-        s[key == _NONE] = _NONE
-        s.sort()
-        s = s[: np.searchsorted(s, _NONE)]
+        none = key == _NONE
+        key <<= np.uint64(room)
+        key |= at.view(np.uint64)
+        key[none] = _NONE
+        key.sort()
+        s = key[: np.searchsorted(key, _NONE)]
         pairs, first, n = _runs(s >> np.uint64(room), least)
         held = ragged(first, n)
         return pairs, (s[held] & np.uint64((1 << room) - 1)).view(np.int64), np.repeat(np.arange(1, len(pairs) + 1, dtype=np.int32), n)
@@ -106,18 +107,6 @@ def _ranked(key: np.ndarray, at: np.ndarray, least: int, bits: int) -> tuple[np.
     return pairs, at[held], rank[held] + 1
 
 
-def _in_order(parts: list[np.ndarray], without: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    """The places of all parts in their order, each once. Many are read from `flags`, which are False before and after."""
-    if sum(map(len, parts)) < len(flags) >> 5:
-        return np.setdiff1d(np.concatenate(parts), without)
-    for x in parts:
-        flags[x] = True
-    flags[without] = False
-    places = np.flatnonzero(flags)
-    flags[places] = False
-    return places
-
-
 def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, least: int = 12):
     """(symbols, rules, expansion lengths, rules of each round, symbol ends) of ids whose documents end before `ends`.
 
@@ -134,7 +123,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, least: int = 12):
     length = np.ones(vocab, np.int64)
     rules, per_round = [], []
     rank = np.zeros(size + 1, np.int32)
-    alive, flags = np.ones(size, bool), np.zeros(size + 1, bool)
+    alive = np.ones(size, bool)
     some = np.arange(size - 1)
     while len(some):
         bits = _RANK_BITS if len(length) <= 1 << _RANK_BITS else 32
@@ -147,7 +136,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, least: int = 12):
         if not len(pairs):
             break
         rank[held] = found
-        held = _in_order([held], held[:0], flags)  # in their order places lie near one another
+        many = len(held) > size >> 5
+        if many:  # in their order places lie near one another
+            flags = rank != 0
+            held = np.flatnonzero(flags)
+        else:
+            held = np.sort(held)
         found, follow = rank[held], after[held]
         won = np.flatnonzero((found > rank[before[held]]) & (found > rank[follow]))
         rank[held] = 0
@@ -162,7 +156,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, least: int = 12):
         alive[gone] = False
         after[at] = after[gone]
         before[after[at]] = at
-        some = _in_order([held, some[same], before[at]], np.append(gone, size), flags)
+        if many:
+            flags[some[same]] = flags[before[at]] = True
+            flags[gone] = flags[size] = False
+            some = np.flatnonzero(flags)
+        else:
+            some = np.setdiff1d(np.concatenate([held, some[same], before[at]]), np.append(gone, size))
         pair = np.stack([pairs[chosen] >> np.uint64(bits), pairs[chosen] & np.uint64((1 << bits) - 1)], 1).astype(np.int64)
         length = np.concatenate([length, length[pair].sum(1)])
         rules.append(pair)

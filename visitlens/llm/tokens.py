@@ -80,7 +80,7 @@ def pieces(raw: np.ndarray, offsets: np.ndarray, added: re.Pattern | None = None
 class Encoder:
     """Documents to ids; `path` is a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, words: int = 500_000, special: bool = True):
+    def __init__(self, path: str, words: int = 1 << 20, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
